@@ -185,7 +185,7 @@ CANDIDATES = {"qty": "qty", "line": "line", "double_qty": "qty * 2", "disc": "di
     + " UNION ALL ".join(
         f"SELECT {i} AS position, '{b}' AS column_name, "
         + ("greatest(" + ", ".join(f"abs(corr({CANDIDATES[a]}, {CANDIDATES[b]}))" for a in list(CANDIDATES)[:i]) + ")" if i else "NULL::DOUBLE")
-        + " AS max_corr FROM train" for i, b in enumerate(CANDIDATES)) + ")"))
+        + " AS max_corr" + (" FROM train" if i else "") for i, b in enumerate(CANDIDATES)) + ")"))
 def drop_correlated(spark, sf):
     df = train(spark, sf).select(*[F.expr(e.replace("0.25", "0.25D")).alias(n) for n, e in CANDIDATES.items()])
     return metrics.drop_correlated(df, list(CANDIDATES)).withColumn("max_corr", F.round("max_corr", 6))
