@@ -96,9 +96,9 @@ def groupby_then_rank(df: DataFrame, value: str, key: str, out: str | None = Non
     """Percent rank (average over ties) of ``value`` inside the rows that share ``key``."""
     out = out or f"groupby_then_rank_{value}_by_{key}"
     ranks = materialize(average_ranks(df, value, by=[key]))
-    sizes = ranks.groupBy(key).agg(F.sum("n").alias("__size"))
-    sized = ranks.join(sizes, ranks[key].eqNullSafe(sizes[key])).select(
-        ranks[key], value, "n", (F.col("rank") / F.col("__size")).alias(out))
+    sizes = ranks.groupBy(F.col(key).alias("__group")).agg(F.sum("n").alias("__size"))
+    sized = ranks.join(sizes, F.col(key).eqNullSafe(F.col("__group"))).select(
+        key, value, "n", (F.col("rank") / F.col("__size")).alias(out))
     return attach(df, materialize(sized), [key, value], [out], weight="n")
 
 

@@ -11,7 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("source_queries", "scalar_queries", "join_queries", "aggregate_queries", "order_queries", "set_queries")
+MODULES = ("source_queries", "scalar_queries", "join_queries", "aggregate_queries", "order_queries", "set_queries",
+           "model_queries")
 
 
 def query(name: str, sql: str | None = None):
