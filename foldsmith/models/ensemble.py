@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-BATCH = 250
+from foldsmith.functions.exact import quoted
+
+# larger aggregates outgrow one generated class and fall back to interpreted evaluation
+BATCH = 50
 
 
 def weight_grid(step: float = 0.01, limit: float = 0.5, negative: bool = True) -> list[float]:
@@ -29,17 +32,12 @@ class Climb:
         return spark.createDataFrame(self.steps, "step int, model string, weight double, score double")
 
 
-def squared_log_error(log_y: Column, pred: Column) -> Column:
-    gap = log_y - F.log1p(F.greatest(pred, F.lit(0.0)))
-    return gap * gap
-
-
-def score_candidates(wide: DataFrame, log_y: str, candidates: Sequence[Column]) -> list[float]:
-    """RMSLE of every candidate blend, a few hundred per aggregate."""
+def score_candidates(wide: DataFrame, log_y: str, candidates: Sequence[str]) -> list[float]:
+    """RMSLE of every candidate blend (a SQL expression each), many per aggregate."""
     out: list[float] = []
     for start in range(0, len(candidates), BATCH):
-        batch = candidates[start:start + BATCH]
-        row = wide.agg(*[F.avg(squared_log_error(F.col(log_y), c)).alias(f"c{i}") for i, c in enumerate(batch)]).first()
+        gaps = [f"({log_y} - log1p(greatest({c}, 0D)))" for c in candidates[start:start + BATCH]]
+        row = wide.selectExpr(*[f"avg({g} * {g}) AS c{i}" for i, g in enumerate(gaps)]).first()
         out += [float(v) ** 0.5 for v in row]
     return out
 
@@ -55,7 +53,7 @@ def hill_climb(wide: DataFrame, models: Sequence[str], target: str, tol: float =
     models = list(models)
     rows = wide.select(F.log1p(F.col(target).cast("double")).alias("__log_y"), *models).persist()
     try:
-        scores = score_candidates(rows, "__log_y", [F.col(m) for m in models])
+        scores = score_candidates(rows, "__log_y", [quoted(m) for m in models])
         best = min(range(len(models)), key=lambda i: (scores[i], models[i]))
         weights = {m: 0.0 for m in models}
         weights[models[best]], score = 1.0, scores[best]
@@ -67,7 +65,7 @@ def hill_climb(wide: DataFrame, models: Sequence[str], target: str, tol: float =
             current = rows.withColumn("__blend", blend)
             cells = [(m, w) for m in models for w in grid if used != [m]]
             scores = score_candidates(
-                current, "__log_y", [F.col("__blend") * F.lit(1.0 - w) + F.col(m) * F.lit(w) for m, w in cells])
+                current, "__log_y", [f"__blend * {1.0 - w!r}D + {quoted(m)} * {w!r}D" for m, w in cells])
             best = min(range(len(cells)), key=lambda i: (scores[i], cells[i]))
             if score - scores[best] < tol:
                 break

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-BATCH = 400
+BATCH = 100
 
 
 @dataclass
@@ -43,7 +43,7 @@ def gram_by_fold(df: DataFrame, columns: Sequence[str], target: str, fold_col: s
     # an aggregate of several thousand sums would outgrow one generated class
     for start in range(0, len(cells), BATCH):
         batch = cells[start:start + BATCH]
-        sums = rows.groupBy("fold").agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"c{n}")
+        sums = rows.groupBy("fold").agg(*[F.expr(f"sum(v{i} * v{j})").alias(f"c{n}")
                                           for n, (i, j) in enumerate(batch)]).collect()
         for row in sums:
             matrix = folds.setdefault(row["fold"], np.zeros((size, size)))

@@ -7,7 +7,9 @@ that never saw them; test rows get the mean over the folds' models, or a refit o
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -67,6 +69,24 @@ def vectorised(df: DataFrame, stage: PipelineModel, features: Sequence[str], kee
     return stage.transform(filled).select(*[c for c in keep if c in df.columns], "features")
 
 
+@contextmanager
+def cached(*frames: DataFrame):
+    """Training rows kept for the many passes of a fit, in at least as many partitions as there are cores."""
+    held, out = [], []
+    try:
+        for df in frames:
+            held.append(df.persist())
+            held[-1].count()
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            if held[-1].rdd.getNumPartitions() < cores:
+                held.append(held[-1].repartition(cores).persist())
+            out.append(held[-1])
+        yield out
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 class CVTrainer:
     """Settings of a run; ``train_and_score`` and ``train_on_full`` may be called with different data."""
 
@@ -119,21 +139,16 @@ class CVTrainer:
 
     def _shared_frame(self, train, target, features, test):
         stage = assembler(train, features)
-        data = vectorised(self._label(train.withColumn("y", F.col(target).cast("double")), target), stage, features,
-                          self._columns()).persist()
         scored, models = [], []
-        try:
+        rows = vectorised(self._label(train.withColumn("y", F.col(target).cast("double")), target), stage, features,
+                          self._columns())
+        with cached(rows) as (data,):
             for k in range(self.n_splits):
                 fold = F.col(self.fold_col) == k
                 val = data.filter(fold)
                 models.append(self._fit(self._fit_rows(data.filter(~fold)), val))
                 scored.append(models[-1].transform(val).select("id", "y", self._prediction(F.col("__raw")).alias("pred")))
-            oof = scored[0]
-            for part in scored[1:]:
-                oof = oof.unionByName(part)
-            oof = materialize(oof)
-        finally:
-            data.unpersist()
+            oof = materialize(reduce(DataFrame.unionByName, scored))
         return oof, None if test is None else self._mean_over_models(test, stage, features, models), models
 
     def _mean_over_models(self, test, stage, features, models) -> DataFrame:
@@ -152,36 +167,24 @@ class CVTrainer:
             parts = self.hook(train.filter(~fold), train.filter(fold), test, k)
             stage = assembler(parts[0], features)
             fit, val = (vectorised(self._label(p, target), stage, features, self._columns()) for p in parts[:2])
-            fit, val = self._fit_rows(fit).persist(), val.persist()
-            try:
+            with cached(self._fit_rows(fit), val) as (fit, val):
                 models.append(self._fit(fit, val))
                 scored.append(materialize(models[-1].transform(val).select(
                     "id", "y", self._prediction(F.col("__raw")).alias("pred"))))
-            finally:
-                fit.unpersist(), val.unpersist()
             if test is not None:
                 tests.append(models[-1].transform(vectorised(parts[2], stage, features, ["id"])).select(
                     "id", self._prediction(F.col("__raw")).alias("pred")))
-        oof = scored[0]
-        for part in scored[1:]:
-            oof = oof.unionByName(part)
-        if not tests:
-            return oof, None, models
-        stacked = tests[0]
-        for part in tests[1:]:
-            stacked = stacked.unionByName(part)
-        return oof, fold_mean_predictions(stacked), models
+        oof = reduce(DataFrame.unionByName, scored)
+        return oof, fold_mean_predictions(reduce(DataFrame.unionByName, tests)) if tests else None, models
 
     def train_on_full(self, train: DataFrame, target: str, features: Sequence[str], test: DataFrame,
                       best_iterations: Sequence[int] | None = None, factor: float = 1.2) -> DataFrame:
         """Refit on all rows with ``factor`` times the mean best iteration, and predict test."""
         stage = assembler(train, features)
-        rows = vectorised(self._label(train, target), stage, features, self._columns()).persist()
+        rows = vectorised(self._label(train, target), stage, features, self._columns())
         trees = {} if not best_iterations else {"maxIter": max(1, int(sum(best_iterations) / len(best_iterations) * factor))}
-        try:
-            model = self._learner(False, **trees).fit(self._fit_rows(rows))
-        finally:
-            rows.unpersist()
+        with cached(self._fit_rows(rows)) as (data,):
+            model = self._learner(False, **trees).fit(data)
         return model.transform(vectorised(test, stage, features, ["id"])).select(
             "id", self._prediction(F.col("__raw")).alias("pred"))
 
@@ -202,17 +205,15 @@ def early_stopping(trainer: CVTrainer, train: DataFrame, target: str, features:
     """(fold, best iteration, validation error) from the validation curve of every fold's model."""
     stage = assembler(train, features)
     rows = vectorised(trainer._label(train.withColumn("y", F.col(target).cast("double")), target), stage, features,
-                      trainer._columns()).persist()
+                      trainer._columns())
     found = []
-    try:
+    with cached(rows) as (data,):
         for k in range(trainer.n_splits):
             fold = F.col(trainer.fold_col) == k
-            model = trainer._learner(False).fit(rows.filter(~fold))
-            curve = model.evaluateEachIteration(rows.filter(fold), "squared")
+            model = trainer._learner(False).fit(data.filter(~fold))
+            curve = model.evaluateEachIteration(data.filter(fold), "squared")
             best = best_iteration(curve, rounds)
             found.append((k, best, curve[best - 1]))
-    finally:
-        rows.unpersist()
     return found
 
 
@@ -233,10 +234,8 @@ def cv_by_segment(trainer: CVTrainer, train: DataFrame, target: str, features: S
     """A separate run per category value; predictions are stacked and scored together."""
     runs = [trainer.train_and_score(train.filter(F.col(cat) == v), target, features,
                                     None if test is None else test.filter(F.col(cat) == v)) for v in values]
-    oof, out = runs[0].oof, runs[0].test
-    for run in runs[1:]:
-        oof = oof.unionByName(run.oof)
-        out = out if out is None else out.unionByName(run.test)
+    oof = reduce(DataFrame.unionByName, [r.oof for r in runs])
+    out = None if test is None else reduce(DataFrame.unionByName, [r.test for r in runs])
     score = oof.agg(trainer.scoring_fn(F.col("y"), F.col("pred"))).first()[0]
     return RunResult(score, [n for r in runs for n in r.best_iterations], oof, out, [m for r in runs for m in r.models])
 
@@ -287,19 +286,13 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
     """Classifier of train against test rows: (auc, importances, out-of-fold scores)."""
     rows = kfold(adversarial_frame(train.select("id", *features), test.select("id", *features)), n_splits, seed)
     stage = assembler(rows, features)
-    data = vectorised(rows, stage, features, ["id", "label", "fold"]).persist()
     parts, models = [], []
-    try:
+    with cached(vectorised(rows, stage, features, ["id", "label", "fold"])) as (data,):
         for k in range(n_splits):
             fold = F.col("fold") == k
             learner = GBTClassifier(featuresCol="features", labelCol="label", **spark_params(params))
             models.append(learner.fit(data.filter(~fold)))
             parts.append(models[-1].transform(data.filter(fold)).select(
                 "id", "label", vector_to_array("probability")[1].alias("score")))
-        oof = parts[0]
-        for part in parts[1:]:
-            oof = oof.unionByName(part)
-        oof = materialize(oof)
-    finally:
-        data.unpersist()
+        oof = materialize(reduce(DataFrame.unionByName, parts))
     return auc(oof, "label", "score"), feature_importances(models, features, rows.sparkSession), oof

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldsmith.functions.exact import mean, mean_of, total
+from foldsmith.functions.exact import mean, mean_of, mean_of_sql, quoted, units_sql
 from foldsmith.operators.folds import inner_fold
 from foldsmith.operators.lookup import attach
 from foldsmith.storage import materialize
@@ -35,23 +35,22 @@ class TargetEncoder:
         self.out = te_name(self.cols)
 
     def fit(self, train: DataFrame, target: str) -> "TargetEncoder":
-        y, fold = F.col(target), F.col(self.fold_col)
-        per_fold = [
-            F.struct(F.coalesce(total(F.when(fold == k, y), self.scale), F.lit(0)).alias("s"),
-                     F.count(F.when(fold == k, y)).alias("n")) for k in range(self.n_splits)]
+        y, fold = quoted(target), quoted(self.fold_col)
+        inside = [f"CASE WHEN {fold} = {k} THEN {y} END" for k in range(self.n_splits)]
+        per_fold = ", ".join(f"struct(coalesce(sum({units_sql(v, self.scale)}), 0) AS s, count({v}) AS n)" for v in inside)
         self.table = materialize(train.groupBy(*self.cols).agg(
-            total(y, self.scale).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows"),
-            F.array(*per_fold).alias("folds")))
-        # fold parts of the overall mean, for smoothing and filling
-        parts = [F.sum(F.col("folds")[k][f]).alias(f"{f}{k}") for k in range(self.n_splits) for f in ("s", "n")]
-        sums = self.table.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), *parts)
-        self.overall = sums.select(
-            mean_of(F.col("s"), F.col("n"), self.scale).alias("all"),
-            F.array(*[mean_of(F.col("s") - F.col(f"s{k}"), F.col("n") - F.col(f"n{k}"), self.scale)
-                      for k in range(self.n_splits)]).alias("without"))
-        self._prior = (self.overall.select(F.struct("all", "without")).scalar() if smooth_or_fill(self) else None)
+            F.expr(f"sum({units_sql(y, self.scale)})").alias("s"), F.expr(f"count({y})").alias("n"),
+            F.count(F.lit(1)).alias("rows"), F.expr(f"array({per_fold})").alias("folds")))
+        self._prior = self._overall() if self.smooth or self.fillna else None
         return self
 
+    def _overall(self) -> Column:
+        """Overall mean, and the one without each fold, from the fitted table."""
+        parts = ", ".join(f"sum(folds[{k}].s) AS s{k}, sum(folds[{k}].n) AS n{k}" for k in range(self.n_splits))
+        sums = self.table.selectExpr("sum(s) AS s", "sum(n) AS n", *parts.split(", "))
+        without = ", ".join(mean_of_sql(f"(s - s{k})", f"(n - n{k})", self.scale) for k in range(self.n_splits))
+        return sums.selectExpr(f"struct({mean_of_sql('s', 'n', self.scale)} AS all, array({without}) AS without) AS v").scalar()
+
     def _finish(self, joined: DataFrame, keep: Sequence[str], s: Column, n: Column, prior: Column | None) -> DataFrame:
         value = mean_of(s, n, self.scale, self.smooth, prior)
         if self.fillna:
@@ -72,10 +71,6 @@ class TargetEncoder:
                             None if self._prior is None else self._prior["all"])
 
 
-def smooth_or_fill(encoder: TargetEncoder) -> bool:
-    return bool(encoder.smooth) or encoder.fillna
-
-
 def target_encode_kfold(train: DataFrame, test: DataFrame, target: str, cols: Sequence[str],
                         **options) -> tuple[DataFrame, DataFrame]:
     """Flat encoding: out-of-fold for train, all of train for test."""
@@ -93,46 +88,45 @@ def target_encode_nested(train: DataFrame, test: DataFrame, target: str, cols: S
     outer folds it trains in, without being copied.
     """
     cols, out = list(cols), te_name(cols)
-    y, own = F.col(target), F.col(fold_col)
+    y, own = quoted(target), quoted(fold_col)
     rows = train.select(id_col, *cols, target, fold_col,
                         *[inner_fold(o, inner, seed, id_col).alias(f"__inner_{o}") for o in range(outer)])
     cells = []
     for o in range(outer):
         for j in range(inner):
-            inside = F.when((own != o) & (F.col(f"__inner_{o}") == j), y)
-            cells.append(F.struct(F.coalesce(total(inside, scale), F.lit(0)).alias("s"), F.count(inside).alias("n")))
-    table = materialize(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows"), F.array(*cells).alias("cells")))
-
-    prior = None
-    if smooth or fillna:
-        prior = table.agg(F.array(*[
-            F.struct(F.sum(F.col("cells")[i]["s"]).alias("s"), F.sum(F.col("cells")[i]["n"]).alias("n"))
-            for i in range(outer * inner)])).scalar()
-
-    def add(cells: Column, o: int, without: int | None) -> tuple[Column, Column]:
-        used = [cells[o * inner + j] for j in range(inner) if j != without]
-        return sum((c["s"] for c in used), F.lit(0)), sum((c["n"] for c in used), F.lit(0))
-
-    def encoded(o: int, without: int | None) -> Column:
+            inside = f"CASE WHEN {own} <> {o} AND __inner_{o} = {j} THEN {y} END"
+            cells.append(f"struct(coalesce(sum({units_sql(inside, scale)}), 0) AS s, count({inside}) AS n)")
+    table = materialize(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows"),
+                                                F.expr(f"array({', '.join(cells)})").alias("cells")))
+    with_prior = bool(smooth or fillna)
+    if with_prior:
+        sums = ", ".join(f"struct(sum(cells[{i}].s) AS s, sum(cells[{i}].n) AS n)" for i in range(outer * inner))
+        prior = table.agg(F.expr(f"array({sums})")).scalar()
+
+    def add(array: str, field: str, o: int, without: int | None) -> str:
+        return "(" + " + ".join(f"{array}[{o * inner + j}].{field}" for j in range(inner) if j != without) + ")"
+
+    def encoded(o: int, without: int | None) -> str:
         """Mean over the inner folds of outer fold ``o`` other than ``without``."""
-        overall = None if prior is None else mean_of(*add(prior, o, without), scale)
-        value = mean_of(*add(F.col("cells"), o, without), scale, smooth, overall)
-        return F.coalesce(value, overall) if fillna else value
+        overall = None
+        if with_prior:
+            overall = mean_of_sql(add("__prior", "s", o, without), add("__prior", "n", o, without), scale)
+        value = mean_of_sql(add("cells", "s", o, without), add("cells", "n", o, without), scale, smooth, overall)
+        return f"coalesce({value}, {overall})" if fillna else value
 
-    def fitted_rows(o: int) -> Column:
-        value = F.when(own == o, encoded(o, None))
-        for j in range(inner):
-            value = value.when(F.col(f"__inner_{o}") == j, encoded(o, j))
-        return F.struct(F.lit(o).alias("outer_fold"), F.when(own == o, "val").otherwise("train").alias("part"),
-                        value.cast("float").alias(out))
+    def fitted_rows(o: int) -> str:
+        inside = " ".join(f"WHEN __inner_{o} = {j} THEN {encoded(o, j)}" for j in range(inner))
+        return (f"struct({o} AS outer_fold, CASE WHEN {own} = {o} THEN 'val' ELSE 'train' END AS part, "
+                f"cast(CASE WHEN {own} = {o} THEN {encoded(o, None)} {inside} END AS float) AS {quoted(out)})")
 
-    def other_rows(o: int) -> Column:
-        return F.struct(F.lit(o).alias("outer_fold"), F.lit("test").alias("part"),
-                        encoded(o, None).cast("float").alias(out))
+    def other_rows(o: int) -> str:
+        return (f"struct({o} AS outer_fold, 'test' AS part, cast({encoded(o, None)} AS float) AS {quoted(out)})")
 
     def long(joined: DataFrame, cell) -> DataFrame:
-        cells = F.array(*[cell(o) for o in range(outer)])
-        return joined.select(id_col, F.explode(cells).alias("c")).select(id_col, "c.*")
+        if with_prior:
+            joined = joined.withColumn("__prior", prior)
+        exploded = joined.select(id_col, F.expr(f"explode(array({', '.join(cell(o) for o in range(outer))}))").alias("c"))
+        return exploded.select(id_col, "c.*")
 
     fitted = attach(rows, table, cols, ["cells"], weight="rows", spread=[id_col])
     others = attach(test.select(id_col, *cols), table, cols, ["cells"], spread=[id_col])

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from foldsmith.functions.exact import quoted
 from foldsmith.operators.lookup import attach, null_safe
 from foldsmith.storage import materialize
 
@@ -58,21 +59,19 @@ def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[
     # one row per column name
     counts = counts.join(F.broadcast(rows), "column_name")
 
-    def at(column: str, rank: Column) -> Column:
-        hit = (F.col("column_name") == column) & (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(hit, F.col("value")))
-
     found = []
     for column in columns:
+        own = f"column_name = '{column}'"
         cells = []
         for p in probabilities:
-            position = F.lit(float(p)) * (F.col("rows") - 1).cast("double")
-            share = F.max(F.when(F.col("column_name") == column, position - F.floor(position)))
-            cells.append(F.struct(at(column, F.floor(position)).alias("low"), at(column, F.ceil(position)).alias("high"),
-                                  share.alias("share")))
-        found.append(F.array(*cells).alias(column))
-    return counts.agg(*found).select(
-        *[F.transform(c, lambda q: q["low"] + (q["high"] - q["low"]) * q["share"]).alias(c) for c in columns])
+            position = f"({float(p)!r}D * (rows - 1))"
+            low, high = (f"max(CASE WHEN {own} AND n_before <= {f}{position} AND {f}{position} < n_before + n THEN value END)"
+                         for f in ("floor", "ceil"))
+            cells.append(f"struct({low} AS low, {high} AS high, "
+                         f"max(CASE WHEN {own} THEN {position} - floor{position} END) AS share)")
+        found.append(F.expr(f"array({', '.join(cells)})").alias(column))
+    between = "transform({0}, q -> q.low + (q.high - q.low) * q.share) AS {0}"
+    return counts.agg(*found).selectExpr(*[between.format(quoted(c)) for c in columns])
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foldsmith.functions.exact import mean
 from foldsmith.operators.encoders import TargetEncoder
 from foldsmith.operators.folds import kfold
+from foldsmith.storage import spread
 
 FEATURES = ["status", "flag", "line", "qty", "disc", "tax", "mon"]
 MODELS = ["m_mean", "m_qty", "m_qty_disc"]
@@ -19,7 +20,7 @@ CENTS = 100
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 def frame(spark: SparkSession, sf_dir: str, *splits: str) -> DataFrame:
