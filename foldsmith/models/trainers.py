@@ -218,7 +218,11 @@ def early_stopping(trainer: CVTrainer, train: DataFrame, target: str, features:
 
 
 def with_folded_features(folded: DataFrame, columns: Sequence[str]) -> FoldHook:
-    """Fold hook that brings each fold's own encoded columns to its train, validation and test part."""
+    """Fold hook that brings each fold's own encoded columns to its train, validation and test part.
+
+    ``folded`` is read once per fold and part: pass a stored table (the feature store prunes to the
+    fold's folders) or a materialized one.
+    """
     def attach_part(df: DataFrame, fold: int, part: str) -> DataFrame:
         rows = folded.filter((F.col("outer_fold") == fold) & (F.col("part") == part)).select("id", *columns)
         return df.join(rows, "id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.functions.exact import mean, mean_of, mean_of_sql, quoted, units_sql
 from foldsmith.operators.folds import inner_fold
-from foldsmith.operators.lookup import attach
+from foldsmith.operators.lookup import BROADCAST_ROWS, attach
 from foldsmith.storage import materialize
 
 
@@ -128,8 +128,10 @@ def target_encode_nested(train: DataFrame, test: DataFrame, target: str, cols: S
         exploded = joined.select(id_col, F.expr(f"explode(array({', '.join(cell(o) for o in range(outer))}))").alias("c"))
         return exploded.select(id_col, "c.*")
 
-    fitted = attach(rows, table, cols, ["cells"], weight="rows", spread=[id_col])
-    others = attach(test.select(id_col, *cols), table, cols, ["cells"], spread=[id_col])
+    # a row of the table holds outer * inner cells, so fewer rows are broadcast
+    bound = BROADCAST_ROWS // (outer * inner)
+    fitted = attach(rows, table, cols, ["cells"], weight="rows", spread=[id_col], max_broadcast_rows=bound)
+    others = attach(test.select(id_col, *cols), table, cols, ["cells"], spread=[id_col], max_broadcast_rows=bound)
     return long(fitted, fitted_rows).unionByName(long(others, other_rows))
 
 

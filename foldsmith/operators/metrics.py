@@ -51,15 +51,22 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return drift_by_feature(df, label, [score]).select("auc", "positives", "negatives")
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: correlation over the rows where both are present; NULL when either does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def corr_pearson_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Correlation of every column with the target, from one aggregate."""
-    wide = df.agg(*[F.corr(F.col(c), F.col(target)).alias(c) for c in columns])
+    wide = df.agg(*[pearson(F.col(c), F.col(target)).alias(c) for c in columns])
     return wide.unpivot([], list(columns), "column_name", "corr")
 
 
 def _against(wide: DataFrame, base_model: str, models: Sequence[str], out: str) -> DataFrame:
     others = [m for m in models if m != base_model]
-    row = wide.agg(*[F.corr(F.col(base_model), F.col(m)).alias(m) for m in others])
+    row = wide.agg(*[pearson(F.col(base_model), F.col(m)).alias(m) for m in others])
     return row.unpivot([], others, "model", out).orderBy(F.desc(out), "model")
 
 
@@ -80,7 +87,7 @@ def drop_correlated(df: DataFrame, columns: Sequence[str], max_corr: float = 0.9
     """Columns with their highest absolute correlation to an earlier column, and whether to drop them."""
     columns = list(columns)
     pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
-    row = df.agg(*[F.abs(F.corr(F.col(a), F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
+    row = df.agg(*[F.abs(pearson(F.col(a), F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
     cells = [F.struct(F.lit(i).alias("position"), F.lit(b).alias("column_name"),
                       (F.greatest(*both) if len(both) > 1 else both[0] if both else F.lit(None).cast("double")).alias("max_corr"))
              for i, b in enumerate(columns)

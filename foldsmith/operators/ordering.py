@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foldsmith.functions.exact import quoted
-from foldsmith.operators.lookup import attach, null_safe
+from foldsmith.operators.lookup import attach
 from foldsmith.storage import materialize
 
 
@@ -28,14 +28,13 @@ def running_totals(df: DataFrame, order_by: Sequence[str], weights: Sequence[str
     earlier = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(
         W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    offsets = sums.select(
-        *[F.col(b).alias(f"__by_{b}") for b in by], F.col("__part").alias("__by_part"),
-        *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), zero).alias(f"__off_{w}") for w in weights])
-    joined = parts.join(offsets, null_safe(parts, offsets, [(b, f"__by_{b}") for b in by] + [("__part", "__by_part")]))
+    # one row per group and range partition; small unless there are very many groups
+    offsets = materialize(sums.select(
+        *by, "__part", *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), zero).alias(f"__off_{w}") for w in weights]))
     inside = W.partitionBy(*by, "__part").orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"__off_{w}") + F.coalesce(F.sum(w).over(inside), zero)).alias(f"{w}_before") for w in weights])
+    counted = parts.withColumns({f"__in_{w}": F.coalesce(F.sum(w).over(inside), zero) for w in weights})
+    return attach(counted, offsets, [*by, "__part"], [f"__off_{w}" for w in weights], spread=order_by).select(
+        *df.columns, *[(F.col(f"__off_{w}") + F.col(f"__in_{w}")).alias(f"{w}_before") for w in weights])
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "column_name",

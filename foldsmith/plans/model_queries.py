@@ -9,6 +9,7 @@ from foldsmith.models import ensemble, linear, search, selection, trainers
 from foldsmith.operators import encoders, metrics
 from foldsmith.plans.registry import query
 from foldsmith.plans.standin import CENTS, MODELS, model_frames, models_sql, sql, sql_nested, test, train
+from foldsmith.storage import materialize
 
 SMALL = {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3}
 FEATURES = ["status", "line", "qty", "disc", "tax", "mon"]
@@ -85,7 +86,7 @@ def cv_gbt_stack(spark, sf):
     sql_nested("e", ["qty", "disc"])))
 def folded_training_frame(spark, sf):
     tr = train(spark, sf)
-    folded = encoders.target_encode_nested(tr, test(spark, sf), "y", ["qty", "disc"], scale=CENTS)
+    folded = materialize(encoders.target_encode_nested(tr, test(spark, sf), "y", ["qty", "disc"], scale=CENTS))
     hook = trainers.with_folded_features(folded, ["te_mean_qty_disc"])
     out = None
     for k in range(5):
@@ -100,7 +101,7 @@ def folded_training_frame(spark, sf):
 @query("cv_with_folded_features")
 def cv_with_folded_features(spark, sf):
     tr, te = _halves(train(spark, sf)), test(spark, sf)
-    folded = encoders.target_encode_nested(tr, te, "y", ["qty", "disc"], outer=2, inner=4, scale=CENTS)
+    folded = materialize(encoders.target_encode_nested(tr, te, "y", ["qty", "disc"], outer=2, inner=4, scale=CENTS))
     hook = trainers.with_folded_features(folded, ["te_mean_qty_disc"])
     return _stack(_trainer(fn_modify_fold_data=hook).train_and_score(tr, "y", [*NUMERIC, "te_mean_qty_disc"], te))
 
