@@ -37,7 +37,7 @@ def frame(spark: SparkSession, sf_dir: str, *splits: str) -> DataFrame:
              else F.when(bounds["ext"], "ext").when(bounds["train"], "train").otherwise("test"))
     rows = rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                    F.date_format(ship, "yyyyMMdd")).alias("id"),
+                    F.translate(ship.cast("date").cast("string"), "-", "")).alias("id"),
         F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag"),
         F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"),
         (F.col("l_discount") + F.lit(0.0)).alias("disc"), (F.col("l_tax") + F.lit(0.0)).alias("tax"),

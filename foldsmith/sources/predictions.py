@@ -33,15 +33,13 @@ def predictions_read(spark: SparkSession, path: str) -> DataFrame:
 
 def predictions_load(predictions: DataFrame) -> DataFrame:
     """OOF rows, and for each model its test rows: from the full refit where it has them, else fold means."""
+    # one row per model
     have = predictions.groupBy("model").agg(
-        *[F.max(F.when(F.col("split") == s, 1)).isNotNull().alias(s) for s in SPLITS]).cache()
-    try:
-        bare = [r["model"] for r in have.filter("oof AND NOT test AND NOT test_from_full").collect()]
-        if bare:
-            raise ValueError(f"no test predictions for {sorted(bare)}")
-        chosen = [(r["model"], "test_from_full" if r["test_from_full"] else "test") for r in have.filter("oof").collect()]
-    finally:
-        have.unpersist()
+        *[F.max(F.when(F.col("split") == s, 1)).isNotNull().alias(s) for s in SPLITS]).filter("oof").collect()
+    bare = sorted(r["model"] for r in have if not (r["test"] or r["test_from_full"]))
+    if bare:
+        raise ValueError(f"no test predictions for {bare}")
+    chosen = [(r["model"], "test_from_full" if r["test_from_full"] else "test") for r in have]
     keep = F.lit(False)
     for model, split in chosen:
         keep = keep | ((F.col("model") == model) & F.col("split").isin("oof", split))
