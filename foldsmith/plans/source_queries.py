@@ -113,32 +113,55 @@ def feature_store_criteria(spark, sf):
     return both.withColumn("poly_qty2_disc", F.col("poly_qty2_disc").cast("double"))
 
 
-@query("feature_store_latest", sql("SELECT column_name, filename_prefix, created_at FROM latest", CATALOG_SQL))
+SIZES_SQL = """sized AS (SELECT c.*, CASE WHEN outer_folds IS NULL THEN n ELSE 5 * n END AS rows
+ FROM catalog c, (SELECT count(*) AS n FROM f WHERE split <> 'ext'))"""
+
+
+def _stored_rows(spark, sf):
+    """Stored rows per prefix, plain and folded."""
+    path = filled_store(spark, sf).path
+    counts = [spark.read.parquet(f"{path}/{folder}").groupBy(F.col("feature").alias("filename_prefix")).agg(
+        F.count(F.lit(1)).alias("rows")) for folder in ("features", "folded")]
+    return counts[0].unionByName(counts[1])
+
+
+@query("feature_store_latest", sql(
+    "SELECT column_name, filename_prefix, created_at, rows FROM latest JOIN sized USING (column_name, filename_prefix, created_at)",
+    CATALOG_SQL, SIZES_SQL))
 def feature_store_latest(spark, sf):
-    return fs.newest(filled_store(spark, sf).catalog()).select("column_name", "filename_prefix", "created_at")
+    chosen = fs.newest(filled_store(spark, sf).catalog()).select("column_name", "filename_prefix", "created_at")
+    return chosen.join(_stored_rows(spark, sf), "filename_prefix")
 
 
 @query("feature_store_order", sql(
-    "SELECT CAST(row_number() OVER (ORDER BY created_at DESC) AS BIGINT) AS place, column_name FROM latest", CATALOG_SQL))
+    "SELECT row_number() OVER (ORDER BY created_at DESC) AS place, column_name, rows FROM latest JOIN sized "
+    "USING (column_name, filename_prefix, created_at)", CATALOG_SQL, SIZES_SQL))
 def feature_store_order(spark, sf):
-    ordered = [r["column_name"] for r in fs.newest_first(fs.newest(filled_store(spark, sf).catalog())).collect()]
-    return spark.createDataFrame(list(enumerate(ordered, start=1)), "place long, column_name string")
-
-
-WANTED = ["Multiply_qty_line", "te_mean_line", "poly_qty2_disc", "bins_qty_3_uniform"]
+    chosen = fs.newest_first(fs.newest(filled_store(spark, sf).catalog())).select("column_name", "filename_prefix").collect()
+    order = spark.createDataFrame([(i, *r) for i, r in enumerate(chosen, start=1)],
+                                  "place long, column_name string, filename_prefix string")
+    return order.join(_stored_rows(spark, sf), "filename_prefix").select("place", "column_name", "rows")
 
 
 @query("feature_store_missing", sql(
-    f"SELECT unnest({WANTED}) AS column_name EXCEPT SELECT column_name FROM catalog", CATALOG_SQL))
+    "SELECT column_name, count(*) AS rows FROM (SELECT unnest(['masked_qty_x_' || status, 'te_mean_qty', 'bins_' || flag]) AS column_name "
+    "FROM train) WHERE column_name NOT IN (SELECT column_name FROM catalog) GROUP BY column_name", CATALOG_SQL))
 def feature_store_missing(spark, sf):
-    return fs.missing(filled_store(spark, sf).catalog(), WANTED)
+    # the names a run over these rows would ask for, with the number of rows that need them
+    wanted = train(spark, sf).select(F.explode(F.array(
+        F.concat(F.lit("masked_qty_x_"), "status"), F.lit("te_mean_qty"), F.concat(F.lit("bins_"), "flag"))).alias("column_name"))
+    wanted = wanted.groupBy("column_name").agg(F.count(F.lit(1)).alias("rows"))
+    absent = fs.missing(filled_store(spark, sf).catalog(), [r["column_name"] for r in wanted.select("column_name").collect()])
+    return wanted.join(absent, "column_name")
 
 
 @query("feature_store_overview", sql(
-    "SELECT type, subtype, outer_folds IS NOT NULL AS folded, count(*) AS features, max(created_at) AS newest FROM catalog GROUP BY ALL",
-    CATALOG_SQL))
+    "SELECT type, subtype, outer_folds IS NOT NULL AS folded, count(*) AS features, max(created_at) AS newest, "
+    "CAST(sum(rows) AS BIGINT) AS rows FROM sized GROUP BY ALL", CATALOG_SQL, SIZES_SQL))
 def feature_store_overview(spark, sf):
-    return filled_store(spark, sf).overview()
+    made = filled_store(spark, sf)
+    rows = made.catalog().join(_stored_rows(spark, sf), "filename_prefix").groupBy("type", "subtype").agg(F.sum("rows").alias("rows"))
+    return made.overview().join(rows, ["type", "subtype"])
 
 
 @query("folded_features_read", sql(
