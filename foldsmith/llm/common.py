@@ -37,6 +37,16 @@ def drop_table(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pack(df: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and all others in a struct ``_row``, so that no name of theirs can clash with a computed one."""
+    return df.select(*own, F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in df.columns if c not in own)).alias("_row"))
+
+
+def unpack(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The columns of the frame that was packed, in their order."""
+    return df.select(*(c if c in own else F.col("_row").getField(c).alias(c) for c in columns))
+
+
 _shipped: set[str] = set()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from foldsmith.llm.common import map_batches, write_table
+from foldsmith.llm.common import map_batches, pack, unpack, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS, ROUNDS, DIGITS = 32, 6, 6
@@ -152,7 +152,8 @@ def mix_documents(documents: DataFrame, repetition: float | None = 2.0, entropy:
     How often follows from the row's source and key alone: whole rounds, and one more up to the key where the budget ends. So
     only a row per source is joined to the texts.
     """
-    keyed = with_keys(documents, seed)
+    own = ("doc_id", "text", "source")
+    keyed = with_keys(pack(documents, *own), seed)
     facts = write_table(keyed.select("source", "_key", "_n"), "facts")
     limits = budgets(facts, repetition, entropy).withColumnRenamed("source", "_source")
     placed = offsets(facts).join(limits, F.col("source").eqNullSafe(F.col("_source")))
@@ -163,4 +164,5 @@ def mix_documents(documents: DataFrame, repetition: float | None = 2.0, entropy:
                         "cuts")
     rows = keyed.join(table, F.col("source").eqNullSafe(F.col("_source")))
     often = F.col("_full") + F.coalesce((F.col("_key") <= F.col("_cut")).cast("long"), F.lit(0))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), often))).select(*documents.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), often))).transform(
+        unpack, documents.columns, *own)

@@ -218,5 +218,6 @@ def pseudonymize(documents: DataFrame, key: bytes) -> DataFrame:
                                              names=["doc_id", "text", "spans"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").transform(map_batches,
+    return documents.select("doc_id", "text").transform(
+        map_batches,
         run, f"doc_id {kind}, text string, spans array<struct<kind: string, start: int, end: int>>")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foldsmith.llm.common import map_batches, drop_table, slices, words, write_table
+from foldsmith.llm.common import drop_table, map_batches, pack, slices, unpack, words, write_table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 SYMBOLS = b"#*$%&|<>"
@@ -18,12 +18,12 @@ CAPITALS = bytes(set(range(256)) - set(range(65, 91)))
 
 # metric: numerator, denominator, least threshold in thousandths
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 250),
-    "dup_lines": ("n_dup_lines", "n_lines", 300),
-    "repeats": ("n_repeat_words", "n_words", 250),
-    "word_length": ("word_chars", "n_words", 12000),
-    "capitals": ("n_upper", "word_chars", 300),
-    "marks": ("n_marks", "n_words", 300),
+    "symbols": ("n_symbols", "n_words", 150),
+    "dup_lines": ("n_dup_lines", "n_lines", 400),
+    "repeats": ("n_repeat_words", "n_words", 450),
+    "word_length": ("word_chars", "n_words", 6500),
+    "capitals": ("n_upper", "word_chars", 200),
+    "marks": ("n_marks", "n_words", 150),
 }
 
 
@@ -97,14 +97,14 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
-    """Upper fence Q3 + spread * (Q3 - Q1) per group and metric, with the group's size."""
+    """Upper fence Q3 + spread * (Q3 - Q1) per group and metric, with the group's size; Q3 stands for the whole of its bucket."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
     run = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("size", F.sum("n").over(group))
     low, high = (F.min(F.when(F.col("upto") * 4 >= F.col("size") * q, F.col("bucket"))) for q in (1, 3))
     cut = run.groupBy(*keys, "metric").agg(low.alias("low"), high.alias("high"), F.max("size").alias("size"))
-    low, high = bucket_floor(F.col("low")), bucket_floor(F.col("high"))
-    return cut.select(*keys, "metric", "size", (high + spread * (high - low)).alias("fence"))
+    low, high, top = bucket_floor(F.col("low")), bucket_floor(F.col("high")), bucket_floor(F.col("high") + 1) - 1
+    return cut.select(*keys, "metric", "size", (top + spread * (high - low)).alias("fence"))
 
 
 def thresholds(sketch: DataFrame, spread: int = 3, least_rows: int = 100) -> DataFrame:
@@ -156,7 +156,6 @@ def quality_verdicts(documents: DataFrame, spread: int = 3, least_rows: int = 10
 def keep_good(documents: DataFrame, spread: int = 3, least_rows: int = 100) -> DataFrame:
     """The rows of ``documents`` that `quality_verdicts` keeps, with all their columns."""
     own = ("text", "lang", "source")
-    packed = documents.select(*own, F.struct(*(c for c in documents.columns if c not in own)).alias("_row"))
-    measured = write_table(measure(packed), "measured")
+    measured = write_table(measure(pack(documents, *own)), "measured")
     kept = judge(measured, thresholds(sketches(measured), spread, least_rows)).where("kept")
-    return kept.select(*(c if c in own else F.col("_row").getField(c).alias(c) for c in documents.columns))
+    return unpack(kept, documents.columns, *own)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.llm.common import map_batches, drop_table, slices, words, write_table
+from foldsmith.llm.common import drop_table, map_batches, pack, slices, unpack, words, write_table
 from foldsmith.llm.graph import connected_components
 
 CHUNK = 1 << 15
@@ -140,8 +140,8 @@ def keep_one(documents: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataF
     """
     found = near_duplicates(documents, shingle, max_bits)
     stay = write_table(found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct(), "stay")
-    digest = F.xxhash64("text")
-    rows = documents.where("doc_id IS NOT NULL").join(stay, F.col("doc_id") == F.col("stays"), "left_semi")
-    once = Window.partitionBy("doc_id", digest).orderBy(F.lit(1))
-    first = rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return first.unionByName(documents.where("doc_id IS NULL"))
+    packed = pack(documents, "doc_id", "text")
+    rows = packed.join(stay, packed["doc_id"] == stay["stays"], "left_semi").withColumn("_h", F.xxhash64("text"))
+    once = Window.partitionBy("doc_id", "_h").orderBy(F.lit(1))
+    first = rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth", "_h")
+    return unpack(first.unionByName(packed.where("doc_id IS NULL")), documents.columns, "doc_id", "text")

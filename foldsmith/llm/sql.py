@@ -53,12 +53,12 @@ FROM p LEFT JOIN ruled USING (url) LEFT JOIN tied ON p.form = tied.form LEFT JOI
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_METRICS = {"symbols": ("n_symbols", "n_words", 250), "dup_lines": ("n_dup_lines", "n_lines", 300), "repeats": ("n_repeat_words", "n_words", 250),
-            "word_length": ("word_chars", "n_words", 12000), "capitals": ("n_upper", "word_chars", 300), "marks": ("n_marks", "n_words", 300)}
+_METRICS = {"symbols": ("n_symbols", "n_words", 150), "dup_lines": ("n_dup_lines", "n_lines", 400), "repeats": ("n_repeat_words", "n_words", 450),
+            "word_length": ("word_chars", "n_words", 6500), "capitals": ("n_upper", "word_chars", 200), "marks": ("n_marks", "n_words", 150)}
 _CELLS = " UNION ALL ".join(
     f"SELECT r, lang, source, '{m}' AS metric, {least} AS least, (1000 * {a})::BIGINT // {b} AS v FROM s WHERE {b} > 0"
     for m, (a, b, least) in _METRICS.items())
-_FENCE = """SELECT {keys} metric, max(size) AS size, max(hi) + 3 * (max(hi) - max(lo)) AS fence FROM (
+_FENCE = """SELECT {keys} metric, max(size) AS size, max(hi) + CASE WHEN max(hi) < 64 THEN 0 ELSE (1 << (length(bin(max(hi))) - 6)) - 1 END + 3 * (max(hi) - max(lo)) AS fence FROM (
   SELECT {keys} metric, size, min(low) FILTER (upto * 4 >= size) OVER g AS lo, min(low) FILTER (upto * 4 >= 3 * size) OVER g AS hi FROM (
     SELECT {keys} metric, low, sum(n) OVER (PARTITION BY {keys} metric ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {keys} metric) AS size
     FROM (SELECT {keys} metric, low, count(*) AS n FROM sk GROUP BY {keys} metric, low))

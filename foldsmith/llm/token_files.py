@@ -71,7 +71,7 @@ class WordEncoder:
         for word in missing:
             text = word.decode("utf-8", "surrogatepass")
             plain = SIMPLE.fullmatch(text)
-            if plain and plain[1].isalpha():
+            if plain and plain[1].isalpha() and plain[1].lower().isalpha():
                 stems[word] = ((plain[1].lower() if text.isascii() else plain[1]).encode(), plain[2].encode())
         wanted = {s for pair in stems.values() for s in pair if s} | (missing - stems.keys())
         known: dict[bytes, bytes] = {}

@@ -115,12 +115,14 @@ def read_bundle(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, block
 
 
-def record_name(page_id: int | None, nth: int) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}:{nth}"
+def record_name(page_id: int | None, url: str | None, digest: str, nth: int) -> str:
+    """A name of its own for every record: page, url and payload, and a number for rows equal in all three."""
+    rest = hashlib.sha1(f"{digest} {'' if url is None else '<' + url}".encode("utf-8", "surrogatepass")).hexdigest()[:20]
+    return f"urn:page:{'' if page_id is None else page_id}:{rest}:{nth}"
 
 
 def plan_records(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(page_id, url, payload, digest, size, nth, first_id, first_nth): what each record is, the payload null for revisits.
+    """(page_id, url, payload, digest, size, nth, first_id, first_url, revisit): what each record is, the payload null for revisits.
 
     Payload digests are counted on narrow rows with map-side combining; the payloads themselves are shuffled once, by
     page_id, url and digest, so a digest that a third of the pages share is spread. Rows equal in all three are told
@@ -135,14 +137,14 @@ def plan_records(pages: DataFrame, min_bytes: int) -> DataFrame:
     first = write_table(first.select(F.col("digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")),
                         "first")
     again = write_table(met.join(first, met["digest"] == first["d"]).select(
-        F.col("digest").alias("_d"), F.col("page_id").alias("_p"), F.col("url").alias("_u"), "first_id",
+        F.col("digest").alias("_d"), F.col("page_id").alias("_p"), F.col("url").alias("_u"), "first_id", "first_url",
         (F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))).alias("leads")), "again")
     same = Window.partitionBy("page_id", "url", "digest").orderBy(F.lit(1))
     rows = keyed.withColumn("nth", F.row_number().over(same))
     joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")) & (F.col("digest") == F.col("_d")),
                        "left")
     revisit = F.col("_d").isNotNull() & ~(F.col("leads") & (F.col("nth") == 1))
-    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", "nth", "first_id",
+    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", "nth", "first_id", "first_url",
                          revisit.alias("revisit"))
 
 
@@ -166,10 +168,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_byte
                                                pa.array([bundle.index], kind)], names=["bundle", "archive", "index"])
 
         for piece in slices(batches, 64):
-            for page, url, payload, digest, size, nth, first, revisit in zip(*(c.to_pylist() for c in piece.columns)):
-                name = record_name(page, nth)
+            for page, url, payload, digest, size, nth, first_page, first_url, revisit in zip(*(c.to_pylist() for c in piece.columns)):
+                name = record_name(page, url, digest, nth)
                 bundle.add(name, make_record(name, url, payload or b"", size, base64.b32encode(bytes.fromhex(digest)).decode(),
-                                             record_name(first, 1) if revisit else None))
+                                             record_name(first_page, first_url, digest, 1) if revisit else None))
                 if bundle.bytes >= bundle_bytes:
                     yield packed()
                     number, bundle = number + 1, Bundle(frame_bytes)
