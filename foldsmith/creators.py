@@ -17,9 +17,9 @@ from foldsmith.sources.feature_store import FeatureStore
 
 def _save_all(store: FeatureStore, train: DataFrame, test: DataFrame, names: Mapping[str, Sequence[str]],
               **meta: object) -> list[str]:
-    """Save the columns ``{name: source columns}``; each write reads only the columns it needs."""
-    for name, sources in names.items():
-        store.save(train.select("id", name), test.select("id", name), name, {**meta, "feature_list": list(sources)})
+    """Save the columns ``{name: source columns}`` in one write."""
+    if names:
+        store.save_many(train, test, {n: {**meta, "feature_list": list(s)} for n, s in names.items()})
     return list(names)
 
 
@@ -65,12 +65,20 @@ def create_masked(store: FeatureStore, train: DataFrame, test: DataFrame, featur
 
 def create_bins(store: FeatureStore, train: DataFrame, test: DataFrame, cols: Sequence[str],
                 bin_counts: range = range(3, 21), strategies: Sequence[str] = bins.STRATEGIES) -> list[str]:
-    saved = []
-    for n_bins, strategy, col in bins.all_specs(list(cols), bin_counts, tuple(strategies)):
-        tr, te = bins.compute_binned(train.select("id", col), test.select("id", col), n_bins, strategy, col)
-        saved += _save_all(store, tr, te, {f"bins_{col}_{n_bins}_{strategy}": [col]}, type="binning", n_bins=n_bins,
-                           strategy=strategy, subtype=f"binning with {n_bins} bins and {strategy} strategy", fillna=False)
-    return saved
+    specs = bins.all_specs(list(cols), bin_counts, tuple(strategies))
+    edges = bins.fit_all(train, specs)
+    metas = {}
+    for spec in specs:
+        n_bins, strategy, col = spec
+        train, test = bins.compute_binned(train, test, n_bins, strategy, col, edges[spec])
+        metas[f"bins_{col}_{n_bins}_{strategy}"] = {
+            "type": "binning", "n_bins": n_bins, "strategy": strategy, "feature_list": [col], "fillna": False,
+            "subtype": f"binning with {n_bins} bins and {strategy} strategy"}
+    names = list(metas)
+    # a projection of some hundred sums would outgrow one generated class
+    for start in range(0, len(names), 54):
+        store.save_many(train, test, {n: metas[n] for n in names[start:start + 54]})
+    return names
 
 
 def create_external_maps(store: FeatureStore, train: DataFrame, test: DataFrame, external: DataFrame, columns: Sequence[str],

@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+WIDEST = 40.0
+
+
 def transform(value: Column, lam: float) -> Column:
     up = F.log1p(value) if lam == 0 else (F.pow(value + 1, F.lit(lam)) - 1) / F.lit(lam)
     low = 2.0 - lam
@@ -34,12 +37,26 @@ def log_likelihoods(df: DataFrame, col: str, grid: Sequence[float]) -> list[floa
 
 
 def fit(df: DataFrame, col: str, low: float = -2.0, high: float = 4.0, points: int = 9, rounds: int = 7) -> float:
-    """Maximum likelihood exponent: each round scores a whole grid in one pass and narrows around the best."""
-    best = low
-    for _ in range(rounds):
+    """Maximum likelihood exponent: each round scores a whole grid in one pass and narrows around the best.
+
+    While the best exponent is at an end of the grid, the grid moves on by its width; a likelihood that still grows
+    ``WIDEST`` away from 1 has no useful optimum and raises.
+    """
+    done = 0
+    while True:
         step = (high - low) / (points - 1)
         grid = [round(low + i * step, 10) for i in range(points)]
         scores = log_likelihoods(df, col, grid)
-        best = max((s, -i, g) for i, (s, g) in enumerate(zip(scores, grid)) if s is not None)[2]
+        known = [(s, -i, g) for i, (s, g) in enumerate(zip(scores, grid)) if s is not None]
+        if not known:
+            raise ValueError(f"{col} has no spread to fit")
+        best = max(known)[2]
+        if not done and best in (grid[0], grid[-1]):
+            if abs(best - 1) > WIDEST:
+                raise ValueError(f"no best exponent for {col} within {WIDEST} of 1")
+            low, high = best - (high - low) / 2, best + (high - low) / 2
+            continue
+        done += 1
+        if done == rounds:
+            return best
         low, high = best - step, best + step
-    return best

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.functions.exact import quoted
+from foldsmith.functions.scalar import bounded, nan_to_null
+from foldsmith.operators.metrics import rmsle
+
+Score = Callable[[Column, Column], Column]
 
 # larger aggregates outgrow one generated class and fall back to interpreted evaluation
 BATCH = 50
@@ -23,6 +27,7 @@ class Climb:
     weights: dict[str, float]
     score: float
     steps: list[tuple[int, str, float, float]]
+    converged: bool = True
 
     def weights_frame(self, spark) -> DataFrame:
         used = [(m, float(w)) for m, w in self.weights.items() if w != 0.0]
@@ -32,47 +37,55 @@ class Climb:
         return spark.createDataFrame(self.steps, "step int, model string, weight double, score double")
 
 
-def score_candidates(wide: DataFrame, log_y: str, candidates: Sequence[str]) -> list[float]:
-    """RMSLE of every candidate blend (a SQL expression each), many per aggregate."""
+def score_candidates(wide: DataFrame, target: str, candidates: Sequence[str], scoring_fn: Score = rmsle) -> list[float]:
+    """Score of every candidate blend (a SQL expression each) floored at 0, many per aggregate."""
     out: list[float] = []
     for start in range(0, len(candidates), BATCH):
-        gaps = [f"({log_y} - log1p(greatest({c}, 0D)))" for c in candidates[start:start + BATCH]]
-        row = wide.selectExpr(*[f"avg({g} * {g}) AS c{i}" for i, g in enumerate(gaps)]).first()
-        out += [float(v) ** 0.5 for v in row]
+        row = wide.agg(*[scoring_fn(F.col(target), bounded(F.expr(c), 0.0)).alias(f"c{i}")
+                         for i, c in enumerate(candidates[start:start + BATCH])]).first()
+        out += [float(v) for v in row]
     return out
 
 
 def hill_climb(wide: DataFrame, models: Sequence[str], target: str, tol: float = 1e-5, use_negative_weights: bool = True,
-               step: float = 0.01, max_steps: int = 100) -> Climb:
-    """Start from the best model; each step mixes in the model and weight that lower RMSLE most.
+               step: float = 0.01, max_steps: int | None = None, scoring_fn: Score = rmsle) -> Climb:
+    """Start from the best model; each step mixes in the model and weight that lower the score most.
 
     With weight w the blend becomes ``(1 - w) * blend + w * model``.  Stops when the gain is below
-    ``tol``.  ``wide`` has one column per model; it is cached once for all steps, and one aggregate
-    scores the grid of a step.
+    ``tol``; ``max_steps`` may end it earlier, and ``converged`` says which.  ``wide`` has one column per model, is
+    cached once for all steps, and must have no missing prediction or target: a blend over fewer models than the
+    weights say would be another blend.
     """
     models = list(models)
-    rows = wide.select(F.log1p(F.col(target).cast("double")).alias("__log_y"), *models).persist()
+    rows = wide.select(F.col(target).cast("double").alias("__y"), *models).persist()
     try:
-        scores = score_candidates(rows, "__log_y", [quoted(m) for m in models])
+        gaps = rows.agg(*[F.count_if(nan_to_null(F.col(c)).isNull()).alias(c) for c in ["__y", *models]]).first()
+        if absent := [c for c in ["__y", *models] if gaps[c]]:
+            raise ValueError(f"missing values in {[target if c == '__y' else c for c in absent]}")
+        scores = score_candidates(rows, "__y", [quoted(m) for m in models], scoring_fn)
         best = min(range(len(models)), key=lambda i: (scores[i], models[i]))
         weights = {m: 0.0 for m in models}
         weights[models[best]], score = 1.0, scores[best]
-        steps = [(0, models[best], 1.0, score)]
+        steps, converged = [(0, models[best], 1.0, score)], False
         grid = weight_grid(step, negative=use_negative_weights)
-        for n in range(1, max_steps + 1):
+        while max_steps is None or len(steps) <= max_steps:
             used = [m for m in models if weights[m] != 0.0]
             blend = sum((F.lit(weights[m]) * F.col(m) for m in used), F.lit(0.0))
             current = rows.withColumn("__blend", blend)
             cells = [(m, w) for m in models for w in grid if used != [m]]
+            if not cells:
+                converged = True
+                break
             scores = score_candidates(
-                current, "__log_y", [f"__blend * {1.0 - w!r}D + {quoted(m)} * {w!r}D" for m, w in cells])
+                current, "__y", [f"__blend * {1.0 - w!r}D + {quoted(m)} * {w!r}D" for m, w in cells], scoring_fn)
             best = min(range(len(cells)), key=lambda i: (scores[i], cells[i]))
-            if score - scores[best] < tol:
+            if score - scores[best] < tol or score == scores[best]:
+                converged = True
                 break
             (model, w), score = cells[best], scores[best]
             weights = {m: v * (1.0 - w) for m, v in weights.items()}
             weights[model] += w
-            steps.append((n, model, w, score))
+            steps.append((len(steps), model, w, score))
     finally:
         rows.unpersist()
-    return Climb(weights, score, steps)
+    return Climb(weights, score, steps, converged)

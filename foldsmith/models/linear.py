@@ -10,10 +10,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-BATCH = 100
-
 
 @dataclass
 class Gram:
@@ -29,26 +28,39 @@ class Gram:
 
 def gram_by_fold(df: DataFrame, columns: Sequence[str], target: str, fold_col: str = "fold",
                  log_target: bool = True, log_columns: bool = False) -> Gram:
-    """Sums of products by fold; missing values count as 0."""
+    """Sums of products by fold, from one pass: every task sends one matrix per fold, and Spark adds them cell by cell.
+
+    A missing value is an error, as any number in its place would change the fit.
+    """
     columns = list(columns)
     y = F.col(target).cast("double")
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    values = [F.col(c).cast("double") for c in columns]
     if log_columns:
         values = [F.log1p(v) for v in values]
-    named = [F.lit(1.0), *values, F.log1p(y) if log_target else y]
-    size = len(named)
-    rows = df.select(F.col(fold_col).alias("fold"), *[v.alias(f"v{i}") for i, v in enumerate(named)])
-    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    cells = [F.lit(1.0), *values, F.log1p(y) if log_target else y]
+    size = len(cells)
+    rows = df.select(F.col(fold_col).cast("int").alias("fold"), F.array(*cells).alias("v"))
+
+    def partial(batches):
+        folds = {}
+        for batch in batches:
+            fold = batch.column(0).to_numpy(zero_copy_only=False)
+            cells = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+            for k in np.unique(fold):
+                own = cells[fold == k]
+                folds[k] = folds.get(k, 0.0) + own.T @ own
+        if folds:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(k) for k in folds], pa.int32()), pa.array([m.ravel().tolist() for m in folds.values()], pa.list_(pa.float64()))],
+                names=["fold", "cells"])
+
+    sums = rows.mapInArrow(partial, "fold int, cells array<double>").select("fold", F.posexplode("cells").alias("at", "cell"))
     folds: dict[int, np.ndarray] = {}
-    # an aggregate of several thousand sums would outgrow one generated class
-    for start in range(0, len(cells), BATCH):
-        batch = cells[start:start + BATCH]
-        sums = rows.groupBy("fold").agg(*[F.expr(f"sum(v{i} * v{j})").alias(f"c{n}")
-                                          for n, (i, j) in enumerate(batch)]).collect()
-        for row in sums:
-            matrix = folds.setdefault(row["fold"], np.zeros((size, size)))
-            for n, (i, j) in enumerate(batch):
-                matrix[i, j] = matrix[j, i] = row[f"c{n}"]
+    for row in sums.groupBy("fold", "at").agg(F.sum("cell").alias("cell")).collect():
+        folds.setdefault(row["fold"], np.zeros((size, size))).flat[row["at"]] = row["cell"]
+    names = ["1", *columns, target]
+    if wrong := [n for i, n in enumerate(names) if any(not np.isfinite(m[i, i]) for m in folds.values())]:
+        raise ValueError(f"missing or infinite values in {wrong}")
     return Gram(columns, folds)
 
 
@@ -82,7 +94,7 @@ def cv_score(gram: Gram, columns: Sequence[str], alpha: float = 0.0) -> float:
 def _expression(columns: Sequence[str], fit: tuple[float, np.ndarray], log_columns: bool) -> Column:
     out = F.lit(fit[0])
     for c, w in zip(columns, fit[1]):
-        value = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        value = F.col(c).cast("double")
         out = out + F.lit(float(w)) * (F.log1p(value) if log_columns else value)
     return out
 

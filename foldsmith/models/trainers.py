@@ -11,14 +11,15 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldsmith.functions.scalar import bounded
+from foldsmith.functions.scalar import bounded, nan_to_null
+from foldsmith.operators.lookup import attach
 from foldsmith.operators.metrics import auc, fold_mean_predictions, rmsle
 from foldsmith.operators.sets import adversarial_frame
 from foldsmith.operators.folds import kfold
@@ -28,8 +29,8 @@ from foldsmith.storage import materialize
 PARAM_NAMES = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
                "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
                "min_child_weight": "minInstancesPerNode", "max_bin": "maxBins", "random_state": "seed"}
-# stands for a missing feature value; below every real value, so trees can split it off
-MISSING = -1e9
+# a text column with more values than this is taken by its frequencies; the trees' own default for maxBins
+LABELS = 32
 
 FoldHook = Callable[[DataFrame, DataFrame, DataFrame, int], tuple[DataFrame, DataFrame, DataFrame]]
 
@@ -50,38 +51,59 @@ def spark_params(params: Mapping[str, object]) -> dict[str, object]:
     return {"seed": 42, **out}
 
 
-def assembler(df: DataFrame, features: Sequence[str]) -> PipelineModel:
-    """Features to one vector: text columns are indexed, missing numbers become ``MISSING``."""
-    text = [n for n, t in df.select(*features).dtypes if t == "string"]
-    stages = []
-    if text:
-        stages.append(StringIndexer(inputCols=text, outputCols=[f"__ix_{c}" for c in text],
-                                    handleInvalid="keep").fit(df))
-    stages.append(VectorAssembler(inputCols=[f"__ix_{c}" if c in text else f"__num_{c}" for c in features],
-                                  outputCol="features"))
-    return PipelineModel(stages)
-
-
-def vectorised(df: DataFrame, stage: PipelineModel, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    numeric = [n for n, t in df.select(*features).dtypes if t != "string"]
-    filled = df.withColumns({f"__num_{c}": F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")),
-                                                      F.lit(MISSING)) for c in numeric})
-    return stage.transform(filled).select(*[c for c in keep if c in df.columns], "features")
+@dataclass
+class Inputs:
+    """How columns become one vector, fitted on training rows."""
+
+    features: list[str]
+    labels: dict[str, list[str]]
+    frequencies: dict[str, DataFrame]
+    missing: dict[str, float]
+
+
+def assembler(df: DataFrame, features: Sequence[str]) -> Inputs:
+    """Fit the inputs: text of few values is numbered, text of many is taken by frequency, and a missing
+    number becomes one less than the column's least value."""
+    types = dict(df.select(*features).dtypes)
+    labels, frequencies = {}, {}
+    for c in (c for c in features if types[c] == "string"):
+        few = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(LABELS + 1).collect()]
+        if len(few) < LABELS:
+            labels[c] = sorted(few)
+        else:
+            frequencies[c] = materialize(df.groupBy(F.col(c).alias(f"__key_of_{c}")).agg(F.count(F.lit(1)).cast("double").alias(f"__in_{c}")))
+    numeric = [c for c in features if types[c] != "string"]
+    least = df.agg(*[F.min(nan_to_null(F.col(c).cast("double"))).alias(c) for c in numeric]).first() if numeric else {}
+    return Inputs(list(features), labels, frequencies, {c: -1.0 if least[c] is None else least[c] - 1.0 for c in numeric})
+
+
+def vectorised(df: DataFrame, stage: Inputs, keep: Sequence[str]) -> DataFrame:
+    """The kept columns and the vector; a text value not seen in training has code or frequency 0."""
+    kept = [c for c in keep if c in df.columns]
+    rows = df.select(*kept, *[F.col(c).alias(f"__raw_{c}") for c in stage.features])
+    for c, table in stage.frequencies.items():
+        rows = attach(rows.withColumnRenamed(f"__raw_{c}", f"__key_of_{c}"), table, [f"__key_of_{c}"], [f"__in_{c}"])
+    inputs = {}
+    for c, few in stage.labels.items():
+        codes = F.create_map(*[F.lit(x) for i, v in enumerate(few) for x in (v, float(i + 1))]) if few else None
+        inputs[f"__in_{c}"] = F.lit(0.0) if codes is None else F.coalesce(codes[F.col(f"__raw_{c}")], F.lit(0.0))
+    for c, missing in stage.missing.items():
+        inputs[f"__in_{c}"] = F.coalesce(nan_to_null(F.col(f"__raw_{c}").cast("double")), F.lit(missing))
+    for c in stage.frequencies:
+        inputs[f"__in_{c}"] = F.coalesce(F.col(f"__in_{c}"), F.lit(0.0))
+    vector = VectorAssembler(inputCols=[f"__in_{c}" for c in stage.features], outputCol="features")
+    return vector.transform(rows.withColumns(inputs)).select(*kept, "features")
 
 
 @contextmanager
 def cached(*frames: DataFrame):
-    """Training rows kept for the many passes of a fit, in at least as many partitions as there are cores."""
-    held, out = [], []
+    """Training rows dealt evenly over at least all cores and kept for the many passes of a fit."""
+    held = []
     try:
         for df in frames:
-            held.append(df.persist())
-            held[-1].count()
-            cores = df.sparkSession.sparkContext.defaultParallelism
-            if held[-1].rdd.getNumPartitions() < cores:
-                held.append(held[-1].repartition(cores).persist())
-            out.append(held[-1])
-        yield out
+            parts = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+            held.append(df.repartition(parts).persist())
+        yield held
     finally:
         for df in held:
             df.unpersist()
@@ -92,12 +114,15 @@ class CVTrainer:
 
     def __init__(self, params: Mapping[str, object], scoring_fn: Callable[[Column, Column], Column] = rmsle,
                  log_transform_targets: bool = True, clip_preds: tuple[float | None, float | None] = (None, None),
-                 early_stop: bool = False, early_stop_tol: float = 0.0, n_splits: int = 5, fold_col: str = "fold",
+                 early_stop: bool = False, early_stop_tol: float = 0.0, early_stop_rounds: int | None = None,
+                 eval_metric: Callable[[Column, Column], Column] | None = None, n_splits: int = 5, fold_col: str = "fold",
                  weight_col: str | None = None, outlier_ids: DataFrame | None = None,
                  fn_modify_fold_data: FoldHook | None = None):
         self.params, self.scoring_fn = spark_params(params), scoring_fn
         self.log, self.clip, self.n_splits, self.fold_col = log_transform_targets, clip_preds, n_splits, fold_col
-        self.early_stop, self.tol = early_stop, early_stop_tol
+        self.early_stop, self.tol, self.rounds = early_stop, early_stop_tol, early_stop_rounds
+        self.eval_metric = eval_metric or scoring_fn
+        self.curves: list[list[float]] = []
         self.weight_col, self.outlier_ids, self.hook = weight_col, outlier_ids, fn_modify_fold_data
 
     def _learner(self, validate: bool, **override) -> GBTRegressor:
@@ -121,14 +146,44 @@ class CVTrainer:
         return df.join(self.outlier_ids.select("id"), "id", "left_anti")
 
     def _fit(self, fit: DataFrame, val: DataFrame):
+        """One fold's model.  With ``early_stop_rounds`` it is cut to the iterations up to the best one on the validation
+        rows, by ``eval_metric`` (default: the run's score) and before so many iterations without a gain."""
+        if self.rounds:
+            model = self._learner(False).fit(fit)
+            curve = self.curve(model, val)
+            self.curves.append(curve)
+            return first_trees(model, best_iteration(curve, self.rounds))
         if not self.early_stop:
             return self._learner(False).fit(fit)
         rows = fit.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)))
         return self._learner(True).fit(rows)
 
+    def curve(self, model: GBTRegressionModel, val: DataFrame, batch: int = 25) -> list[float]:
+        """Validation error after every iteration; the trees of a batch are summed side by side in one pass."""
+        trees, weights, out = model.trees, list(model.treeWeights), []
+        rows = val.select("y", "features").withColumn("__sum", F.lit(0.0)).persist()
+        for start in range(0, len(trees), batch):
+            names = []
+            scored = rows
+            for i in range(start, min(start + batch, len(trees))):
+                tree = trees[i].copy()
+                tree.setFeaturesCol("features").setPredictionCol(f"__t{i}")
+                before = names[-1] if names else "__sum"
+                scored = tree.transform(scored).withColumn(f"__s{i}", F.col(before) + F.lit(float(weights[i])) * F.col(f"__t{i}"))
+                names.append(f"__s{i}")
+            found = scored.agg(*[self.eval_metric(F.col("y"), self._prediction(F.col(n))).alias(n) for n in names]).first()
+            out += [float(v) for v in found]
+            following = scored.select("y", "features", F.col(names[-1]).alias("__sum")).persist()
+            following.count()
+            rows.unpersist()
+            rows = following
+        rows.unpersist()
+        return out
+
     def train_and_score(self, train: DataFrame, target: str, features: Sequence[str],
                         test: DataFrame | None = None) -> RunResult:
         """Out-of-fold predictions of train, mean test predictions, and the overall score."""
+        self.curves = []
         run = self._shared_frame if self.hook is None else self._frame_per_fold
         oof, test_out, models = run(train, target, list(features), test)
         score = oof.agg(self.scoring_fn(F.col("y"), F.col("pred"))).first()[0]
@@ -140,8 +195,7 @@ class CVTrainer:
     def _shared_frame(self, train, target, features, test):
         stage = assembler(train, features)
         scored, models = [], []
-        rows = vectorised(self._label(train.withColumn("y", F.col(target).cast("double")), target), stage, features,
-                          self._columns())
+        rows = vectorised(self._label(train.withColumn("y", F.col(target).cast("double")), target), stage, self._columns())
         with cached(rows) as (data,):
             for k in range(self.n_splits):
                 fold = F.col(self.fold_col) == k
@@ -149,11 +203,11 @@ class CVTrainer:
                 models.append(self._fit(self._fit_rows(data.filter(~fold)), val))
                 scored.append(models[-1].transform(val).select("id", "y", self._prediction(F.col("__raw")).alias("pred")))
             oof = materialize(reduce(DataFrame.unionByName, scored))
-        return oof, None if test is None else self._mean_over_models(test, stage, features, models), models
+        return oof, None if test is None else self._mean_over_models(test, stage, models), models
 
-    def _mean_over_models(self, test, stage, features, models) -> DataFrame:
+    def _mean_over_models(self, test, stage, models) -> DataFrame:
         """All models score a row side by side, so the mean over folds needs no shuffle."""
-        rows = vectorised(test, stage, features, ["id"])
+        rows = vectorised(test, stage, ["id"])
         for k, model in enumerate(models):
             rows = model.transform(rows).withColumn(f"__p{k}", self._prediction(F.col("__raw"))).drop("__raw")
         total = sum((F.col(f"__p{k}") for k in range(len(models))), F.lit(0.0))
@@ -166,13 +220,13 @@ class CVTrainer:
             fold = F.col(self.fold_col) == k
             parts = self.hook(train.filter(~fold), train.filter(fold), test, k)
             stage = assembler(parts[0], features)
-            fit, val = (vectorised(self._label(p, target), stage, features, self._columns()) for p in parts[:2])
+            fit, val = (vectorised(self._label(p, target), stage, self._columns()) for p in parts[:2])
             with cached(self._fit_rows(fit), val) as (fit, val):
                 models.append(self._fit(fit, val))
                 scored.append(materialize(models[-1].transform(val).select(
                     "id", "y", self._prediction(F.col("__raw")).alias("pred"))))
             if test is not None:
-                tests.append(models[-1].transform(vectorised(parts[2], stage, features, ["id"])).select(
+                tests.append(models[-1].transform(vectorised(parts[2], stage, ["id"])).select(
                     "id", self._prediction(F.col("__raw")).alias("pred")))
         oof = reduce(DataFrame.unionByName, scored)
         return oof, fold_mean_predictions(reduce(DataFrame.unionByName, tests)) if tests else None, models
@@ -181,11 +235,11 @@ class CVTrainer:
                       best_iterations: Sequence[int] | None = None, factor: float = 1.2) -> DataFrame:
         """Refit on all rows with ``factor`` times the mean best iteration, and predict test."""
         stage = assembler(train, features)
-        rows = vectorised(self._label(train, target), stage, features, self._columns())
+        rows = vectorised(self._label(train, target), stage, self._columns())
         trees = {} if not best_iterations else {"maxIter": max(1, int(sum(best_iterations) / len(best_iterations) * factor))}
         with cached(self._fit_rows(rows)) as (data,):
             model = self._learner(False, **trees).fit(data)
-        return model.transform(vectorised(test, stage, features, ["id"])).select(
+        return model.transform(vectorised(test, stage, ["id"])).select(
             "id", self._prediction(F.col("__raw")).alias("pred"))
 
 
@@ -200,21 +254,23 @@ def best_iteration(curve: Sequence[float], rounds: int) -> int:
     return best + 1
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model after its first ``n`` iterations."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], float(java.treeWeights()[i])
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    return GBTRegressionModel(cut).setFeaturesCol("features").setPredictionCol("__raw")
+
+
 def early_stopping(trainer: CVTrainer, train: DataFrame, target: str, features: Sequence[str],
                    rounds: int) -> list[tuple[int, int, float]]:
-    """(fold, best iteration, validation error) from the validation curve of every fold's model."""
-    stage = assembler(train, features)
-    rows = vectorised(trainer._label(train.withColumn("y", F.col(target).cast("double")), target), stage, features,
-                      trainer._columns())
-    found = []
-    with cached(rows) as (data,):
-        for k in range(trainer.n_splits):
-            fold = F.col(trainer.fold_col) == k
-            model = trainer._learner(False).fit(data.filter(~fold))
-            curve = model.evaluateEachIteration(data.filter(fold), "squared")
-            best = best_iteration(curve, rounds)
-            found.append((k, best, curve[best - 1]))
-    return found
+    """(fold, best iteration, validation error) of a run that stops after ``rounds`` iterations without a gain."""
+    trainer.rounds = rounds
+    run = trainer.train_and_score(train, target, features)
+    return [(k, n, trainer.curves[k][n - 1]) for k, n in enumerate(run.best_iterations)]
 
 
 def with_folded_features(folded: DataFrame, columns: Sequence[str]) -> FoldHook:
@@ -234,10 +290,20 @@ def with_folded_features(folded: DataFrame, columns: Sequence[str]) -> FoldHook:
 
 
 def cv_by_segment(trainer: CVTrainer, train: DataFrame, target: str, features: Sequence[str], cat: str,
-                  values: Sequence[object], test: DataFrame | None = None) -> RunResult:
-    """A separate run per category value; predictions are stacked and scored together."""
-    runs = [trainer.train_and_score(train.filter(F.col(cat) == v), target, features,
-                                    None if test is None else test.filter(F.col(cat) == v)) for v in values]
+                  values: Sequence[object] | None = None, test: DataFrame | None = None) -> RunResult:
+    """A separate run per category value, NULL being one; predictions are stacked and scored together.
+
+    ``values`` defaults to all of train's.  A row whose value is not among them is an error, as it would get no
+    prediction.
+    """
+    if values is None:
+        values = [r[0] for r in train.select(cat).distinct().orderBy(cat).collect()]
+    own = [F.col(cat).eqNullSafe(F.lit(v)) for v in values]
+    listed = reduce(lambda a, b: a | b, own, F.lit(False))
+    for df in (train, test):
+        if df is not None and (stray := df.filter(~listed).select(cat).first()):
+            raise ValueError(f"no run for {cat} = {stray[0]!r}")
+    runs = [trainer.train_and_score(train.filter(v), target, features, None if test is None else test.filter(v)) for v in own]
     oof = reduce(DataFrame.unionByName, [r.oof for r in runs])
     out = None if test is None else reduce(DataFrame.unionByName, [r.test for r in runs])
     score = oof.agg(trainer.scoring_fn(F.col("y"), F.col("pred"))).first()[0]
@@ -261,7 +327,11 @@ def two_round_outlier_fit(trainer: CVTrainer, train: DataFrame, target: str, fea
 
 def predict_mean_std(trainer: CVTrainer, train: DataFrame, target: str, features: Sequence[str],
                      test: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """Mean and standard deviation per row: a second run fits the log squared out-of-fold residual."""
+    """Mean and standard deviation per row: a second run fits the log squared out-of-fold residual.
+
+    The mean of a logarithm lies below the logarithm of the mean, so variances are scaled until the squared out-of-fold
+    residual is, on average, one variance.
+    """
     mean_run = trainer.train_and_score(train, target, features, test)
     gap = F.col("y") - F.col("pred")
     residual = mean_run.oof.select("id", F.log(gap * gap + F.lit(1e-12)).alias("__log_var"), F.col("pred").alias("__mean"))
@@ -269,8 +339,12 @@ def predict_mean_std(trainer: CVTrainer, train: DataFrame, target: str, features
                             n_splits=trainer.n_splits, fold_col=trainer.fold_col)
     var_run = var_trainer.train_and_score(train.join(residual.select("id", "__log_var"), "id"), "__log_var", features, test)
 
+    ratio = F.exp(F.col("y") - F.col("pred"))  # y is the log squared residual, pred the log variance
+    scale = var_run.oof.agg(F.avg(ratio)).first()[0]
+
     def joined(means: DataFrame, logs: DataFrame) -> DataFrame:
-        return means.select("id", "pred").join(logs.select("id", F.sqrt(F.exp("pred")).alias("pred_std")), "id")
+        std = F.sqrt(F.exp("pred") * F.lit(float(scale)))
+        return means.select("id", "pred").join(logs.select("id", std.alias("pred_std")), "id")
 
     return joined(mean_run.oof, var_run.oof), joined(mean_run.test, var_run.test), mean_run.score
 
@@ -291,7 +365,7 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
     rows = kfold(adversarial_frame(train.select("id", *features), test.select("id", *features)), n_splits, seed)
     stage = assembler(rows, features)
     parts, models = [], []
-    with cached(vectorised(rows, stage, features, ["id", "label", "fold"])) as (data,):
+    with cached(vectorised(rows, stage, ["id", "label", "fold"])) as (data,):
         for k in range(n_splits):
             fold = F.col("fold") == k
             learner = GBTClassifier(featuresCol="features", labelCol="label", **spark_params(params))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.functions.exact import mean, mean_of, mean_of_sql, quoted, units_sql
 from foldsmith.operators.folds import inner_fold
-from foldsmith.operators.lookup import BROADCAST_ROWS, attach
+from foldsmith.operators.lookup import attach
 from foldsmith.storage import materialize
 
 
@@ -128,10 +128,8 @@ def target_encode_nested(train: DataFrame, test: DataFrame, target: str, cols: S
         exploded = joined.select(id_col, F.expr(f"explode(array({', '.join(cell(o) for o in range(outer))}))").alias("c"))
         return exploded.select(id_col, "c.*")
 
-    # a row of the table holds outer * inner cells, so fewer rows are broadcast
-    bound = BROADCAST_ROWS // (outer * inner)
-    fitted = attach(rows, table, cols, ["cells"], weight="rows", spread=[id_col], max_broadcast_rows=bound)
-    others = attach(test.select(id_col, *cols), table, cols, ["cells"], spread=[id_col], max_broadcast_rows=bound)
+    fitted = attach(rows, table, cols, ["cells"], weight="rows", spread=[id_col])
+    others = attach(test.select(id_col, *cols), table, cols, ["cells"], spread=[id_col])
     return long(fitted, fitted_rows).unionByName(long(others, other_rows))
 
 
@@ -196,13 +194,12 @@ def frequency_encode_external(external: DataFrame, columns: Sequence[str], *fram
 
 def category_codes(train: DataFrame, test: DataFrame, cols: Sequence[str],
                    suffix: str = "_cat") -> tuple[DataFrame, DataFrame]:
-    """Category codes shared by train and test: the position of the value among all values."""
+    """Category codes shared by train and test: the position of the value among all values, whatever its type."""
     from foldsmith.operators.ordering import dense_codes
 
-    codes = materialize(dense_codes(train.select(*cols).unionByName(test.select(*cols)), cols))
     for c in cols:
-        table = codes.filter(F.col("column_name") == c).select(
-            F.col("value").alias("__v"), F.col("code").alias(c + suffix), "n")
-        train, test = (attach(df.withColumn("__v", F.col(c).cast("double")), table, ["__v"], [c + suffix], weight="n")
-                       .drop("__v") for df in (train, test))
+        codes = materialize(dense_codes(train.select(c).unionByName(test.select(c)), c))
+        table = codes.select(F.col("value").alias("__v"), F.col("code").alias(c + suffix), "n")
+        train, test = (attach(df.withColumn("__v", F.col(c)), table, ["__v"], [c + suffix], weight="n").drop("__v")
+                       for df in (train, test))
     return train, test

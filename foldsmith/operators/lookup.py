@@ -1,6 +1,6 @@
 """Joining a fitted table (one row per key) to a large frame.
 
-A fitted table that is small by count is broadcast, so the large frame is not shuffled at all.
+A fitted table that is small by measured bytes is broadcast, so the large frame is not shuffled at all.
 Beyond the bound the join is a shuffle join in which hot keys are salted: only the keys above
 ``1/HOT_SHARE`` of all rows, so little is copied.
 """
@@ -14,13 +14,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.storage import materialize
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 256
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows as Spark would hold them, about: text by its length, nested values by their JSON."""
+    width = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        value = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.octet_length(value), F.lit(0)) + 16
+        elif kind.startswith(("array", "struct", "map")):
+            width += F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 16
+        else:
+            width += F.lit(8)
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the rows of ``df`` measure at most ``max_bytes``."""
+    return measured_bytes(df) <= max_bytes
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -48,7 +62,7 @@ def _salted(base: DataFrame, table: DataFrame, keys: Sequence[str], weight: str
 
 def attach(base: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str] | None = None,
            weight: str | None = None, spread: Sequence[str] | None = None,
-           max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left join on null-safe ``keys``; ``table`` has at most one row per key and is cheap to re-read.
 
     ``weight`` names the column of ``table`` with the number of base rows per key, when the table was
@@ -58,7 +72,7 @@ def attach(base: DataFrame, table: DataFrame, keys: Sequence[str], values: Seque
     keys = list(keys)
     values = [c for c in table.columns if c not in keys and c != weight] if values is None else list(values)
     keep = base.columns
-    small = is_small(table, max_broadcast_rows)
+    small = is_small(table, max_broadcast_bytes)
     on = list(keys)
     if not small:
         spread = list(spread or (["id"] if "id" in keep else keep))

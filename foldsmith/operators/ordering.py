@@ -16,8 +16,9 @@ from foldsmith.storage import materialize
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], weights: Sequence[str],
-                   by: Sequence[str] = ()) -> DataFrame:
-    """Add ``<weight>_before``: the sum of ``weight`` over all earlier rows of the same group.
+                   by: Sequence[str] = (), totals: bool = False) -> DataFrame:
+    """Add ``<weight>_before``: the sum of ``weight`` over all earlier rows of the same group; with ``totals``
+    also ``<weight>_total``, the group's whole sum, which comes from the same table of partition sums.
 
     ``order_by`` must be unique inside a group, so one heavy value is one row and no group has to
     fit in one task: a large group simply spans many range partitions.
@@ -28,13 +29,16 @@ def running_totals(df: DataFrame, order_by: Sequence[str], weights: Sequence[str
     earlier = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(
         W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     # one row per group and range partition; small unless there are very many groups
     offsets = materialize(sums.select(
-        *by, "__part", *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), zero).alias(f"__off_{w}") for w in weights]))
+        *by, "__part", *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), zero).alias(f"__off_{w}") for w in weights],
+        *[F.sum(f"__sum_{w}").over(whole).alias(f"{w}_total") for w in weights if totals]))
+    all_sums = [f"{w}_total" for w in weights if totals]
     inside = W.partitionBy(*by, "__part").orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
     counted = parts.withColumns({f"__in_{w}": F.coalesce(F.sum(w).over(inside), zero) for w in weights})
-    return attach(counted, offsets, [*by, "__part"], [f"__off_{w}" for w in weights], spread=order_by).select(
-        *df.columns, *[(F.col(f"__off_{w}") + F.col(f"__in_{w}")).alias(f"{w}_before") for w in weights])
+    return attach(counted, offsets, [*by, "__part"], [*[f"__off_{w}" for w in weights], *all_sums], spread=order_by).select(
+        *df.columns, *[(F.col(f"__off_{w}") + F.col(f"__in_{w}")).alias(f"{w}_before") for w in weights], *all_sums)
 
 
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "column_name",
@@ -84,25 +88,23 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct ``(by, value)`` with row count ``n`` and 1-based average rank ``rank``."""
+    """Distinct ``(by, value)`` with row count ``n``, 1-based average rank ``rank`` and the group's ``size``."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_totals(counts, [value], ["n"], by=by).select(
-        *by, value, "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+    return running_totals(counts, [value], ["n"], by=by, totals=True).select(
+        *by, value, "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"), F.col("n_total").alias("size"))
 
 
 def groupby_then_rank(df: DataFrame, value: str, key: str, out: str | None = None) -> DataFrame:
     """Percent rank (average over ties) of ``value`` inside the rows that share ``key``."""
     out = out or f"groupby_then_rank_{value}_by_{key}"
-    ranks = materialize(average_ranks(df, value, by=[key]))
-    sizes = ranks.groupBy(F.col(key).alias("__group")).agg(F.sum("n").alias("__size"))
-    sized = ranks.join(sizes, F.col(key).eqNullSafe(F.col("__group"))).select(
-        key, value, "n", (F.col("rank") / F.col("__size")).alias(out))
-    return attach(df, materialize(sized), [key, value], [out], weight="n")
-
-
-def dense_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, value, n, code)``: codes 0, 1, ... in value order for every column."""
-    counts = (melt(df, columns).groupBy("column_name", "value")
-              .agg(F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("one")))
-    return running_totals(counts, ["value"], ["one"], by=["column_name"]).select(
-        "column_name", "value", "n", F.col("one_before").alias("code"))
+    ranks = average_ranks(df, value, by=[key]).select(key, value, "n", (F.col("rank") / F.col("size")).alias(out))
+    return attach(df, materialize(ranks), [key, value], [out], weight="n")
+
+
+def dense_codes(df: DataFrame, column: str) -> DataFrame:
+    """``(value, n, code)``: codes 0, 1, ... in value order, in the column's own type; NULL and NaN have none."""
+    rows = df.select(F.col(column).alias("value")).filter("value IS NOT NULL")
+    if dict(rows.dtypes)["value"] in ("float", "double"):
+        rows = rows.filter(~F.isnan("value"))
+    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("one"))
+    return running_totals(counts, ["value"], ["one"]).select("value", "n", F.col("one_before").alias("code"))

@@ -1,4 +1,7 @@
-"""Model runs, selection and blending.  Trees are few and shallow so that a whole run stays short."""
+"""Model runs, selection and blending, on five folds and all features.
+
+Tree runs return facts that SQL can tell too: what was predicted, and whether scores and stops agree with the rows.
+"""
 
 from __future__ import annotations
 
@@ -11,45 +14,62 @@ from foldsmith.plans.registry import query
 from foldsmith.plans.standin import CENTS, MODELS, model_frames, models_sql, sql, sql_nested, test, train
 from foldsmith.storage import materialize
 
-SMALL = {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3}
-FEATURES = ["status", "line", "qty", "disc", "tax", "mon"]
+TREES = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}
+FEATURES = ["status", "flag", "line", "qty", "disc", "tax", "mon"]
 NUMERIC = ["line", "qty", "disc", "tax", "mon"]
 
 
-def _halves(df):
-    """Two folds in place of five."""
-    return df.withColumn("fold", F.when(F.col("fold") < 2, 0).otherwise(1))
+def _trainer(**options):
+    return trainers.CVTrainer(TREES, n_splits=5, clip_preds=(1.0, None), **options)
+
 
+def _split_facts(df, split, *more):
+    """What SQL can tell of predictions without fitting trees: every id once, none missing, all inside the clip."""
+    return df.agg(F.lit(split).alias("split"), F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"),
+                  F.count_if(F.col("pred").isNull() | F.isnan("pred")).alias("missing"), F.count_if(F.col("pred") < 1.0).alias("below"), *more)
 
-def _trainer(**options):
-    return trainers.CVTrainer(SMALL, n_splits=2, clip_preds=(1.0, None), **options)
 
+def _facts(run):
+    """Facts of a run's predictions; its score equals the one of its rows and is not far above that of the
+    constant prediction (the stand-in's target hardly depends on its features)."""
+    score = metrics.rmsle(F.col("y"), F.col("pred"))
+    rows = _split_facts(run.oof, "oof", (F.abs(score - F.lit(run.score)) < 1e-9).alias("score_matches"),
+                        (score < 1.25 * F.stddev_pop(F.log1p("y"))).alias("near_mean"))
+    if run.test is None:
+        return rows
+    none = F.first(F.lit(None).cast("boolean"))
+    return rows.unionByName(_split_facts(run.test, "test", none.alias("score_matches"), none.alias("near_mean")))
 
-def _stack(run, score=None):
-    """Out-of-fold and test predictions of a run below each other, with the run's score."""
-    rows = run.oof.select("id", "pred", F.lit("oof").alias("split"))
-    if run.test is not None:
-        rows = rows.unionByName(run.test.select("id", "pred", F.lit("test").alias("split")))
-    return rows.withColumn("score", F.lit(run.score if score is None else score))
 
+_COUNTS = "count(*) AS rows, count(DISTINCT id) AS ids, 0::BIGINT AS missing, 0::BIGINT AS below"
+OOF_FACTS = f"SELECT 'oof' AS split, {_COUNTS}, TRUE AS score_matches, TRUE AS near_mean FROM train"
+RUN_FACTS = f"{OOF_FACTS} UNION ALL SELECT 'test', {_COUNTS}, NULL::BOOLEAN, NULL::BOOLEAN FROM test"
 
-@query("cv_regress_gbt")
+
+@query("cv_regress_gbt", sql(RUN_FACTS))
 def cv_regress_gbt(spark, sf):
-    return _stack(_trainer().train_and_score(_halves(train(spark, sf)), "y", FEATURES, test(spark, sf)))
+    return _facts(_trainer().train_and_score(train(spark, sf), "y", FEATURES, test(spark, sf)))
 
 
-@query("early_stopping")
+@query("early_stopping", sql("SELECT CAST(unnest(range(5)) AS INTEGER) AS fold, TRUE AS stops_at_the_best, TRUE AS oof_is_of_the_best"))
 def early_stopping(spark, sf):
-    found = trainers.early_stopping(_trainer(), _halves(train(spark, sf)), "y", NUMERIC, rounds=2)
-    return spark.createDataFrame(found, "fold int, best_iteration int, error double")
+    """Per fold: the model ends where its validation curve is lowest, and out-of-fold rows come from that model."""
+    trainer, tr = _trainer(early_stop_rounds=3), train(spark, sf)
+    run = trainer.train_and_score(tr, "y", NUMERIC)
+    errors = {r["fold"]: r["score"] for r in run.oof.join(tr.select("id", "fold"), "id").groupBy("fold").agg(
+        metrics.rmsle(F.col("y"), F.col("pred")).alias("score")).collect()}
+    found = []
+    for k, (curve, n) in enumerate(zip(trainer.curves, run.best_iterations)):
+        seen = curve[:n + 3]
+        found.append((k, curve[n - 1] == min(seen), abs(errors[k] - curve[n - 1]) < 1e-9))
+    return spark.createDataFrame(found, "fold int, stops_at_the_best boolean, oof_is_of_the_best boolean")
 
 
-@query("refit_full")
+@query("refit_full", sql(f"SELECT 'test' AS split, {_COUNTS} FROM test"))
 def refit_full(spark, sf):
-    trainer = _trainer(early_stop=True)
-    tr = _halves(train(spark, sf))
+    trainer, tr = _trainer(early_stop_rounds=3), train(spark, sf)
     run = trainer.train_and_score(tr, "y", NUMERIC)
-    return trainer.train_on_full(tr, "y", NUMERIC, test(spark, sf), run.best_iterations)
+    return _split_facts(trainer.train_on_full(tr, "y", NUMERIC, test(spark, sf), run.best_iterations), "test")
 
 
 RIDGE_SQL = """SELECT o.id, o.y, round(exp((my - w * mx) + w * ln(1 + m_qty)) - 1, 2) AS pred FROM oof_w o JOIN (
@@ -60,25 +80,25 @@ RIDGE_SQL = """SELECT o.id, o.y, round(exp((my - w * mx) + w * ln(1 + m_qty)) -
 
 @query("cv_ridge_stack", models_sql(RIDGE_SQL))
 def cv_ridge_stack(spark, sf):
-    oof, tst = model_frames(spark, sf)
+    oof, tst = (df.na.fill(0.0, MODELS) for df in model_frames(spark, sf))
     out, _, _ = linear.cv_ridge_stack(oof, tst, ["m_qty"], "y", alpha=1.5)
     return out.withColumn("pred", F.round("pred", 2))
 
 
 @query("cv_ridge_stack_all")
 def cv_ridge_stack_all(spark, sf):
-    oof, tst = model_frames(spark, sf)
+    oof, tst = (df.na.fill(0.0, MODELS) for df in model_frames(spark, sf))
     out, test_out, _ = linear.cv_ridge_stack(oof, tst, MODELS, "y", alpha=1.9, clip=(1.0, None))
     return out.select("id", "pred", F.lit("oof").alias("split")).unionByName(
         test_out.select("id", "pred", F.lit("test").alias("split")))
 
 
-@query("cv_gbt_stack")
+@query("cv_gbt_stack", sql(RUN_FACTS))
 def cv_gbt_stack(spark, sf):
     oof, tst = model_frames(spark, sf)
     tr, te = train(spark, sf), test(spark, sf)
-    stacked = _halves(tr.join(oof.select("id", *MODELS), "id"))
-    return _stack(_trainer().train_and_score(stacked, "y", [*NUMERIC, *MODELS], te.join(tst.select("id", *MODELS), "id")))
+    stacked = tr.join(oof.select("id", *MODELS), "id")
+    return _facts(_trainer().train_and_score(stacked, "y", [*NUMERIC, *MODELS], te.join(tst.select("id", *MODELS), "id")))
 
 
 @query("folded_training_frame", sql(
@@ -98,52 +118,66 @@ def folded_training_frame(spark, sf):
     return out
 
 
-@query("cv_with_folded_features")
+@query("cv_with_folded_features", sql(RUN_FACTS))
 def cv_with_folded_features(spark, sf):
-    tr, te = _halves(train(spark, sf)), test(spark, sf)
-    folded = materialize(encoders.target_encode_nested(tr, te, "y", ["qty", "disc"], outer=2, inner=4, scale=CENTS))
+    tr, te = train(spark, sf), test(spark, sf)
+    folded = materialize(encoders.target_encode_nested(tr, te, "y", ["qty", "disc"], scale=CENTS))
     hook = trainers.with_folded_features(folded, ["te_mean_qty_disc"])
-    return _stack(_trainer(fn_modify_fold_data=hook).train_and_score(tr, "y", [*NUMERIC, "te_mean_qty_disc"], te))
+    return _facts(_trainer(fn_modify_fold_data=hook).train_and_score(tr, "y", [*NUMERIC, "te_mean_qty_disc"], te))
 
 
-@query("cv_by_segment")
+@query("cv_by_segment", sql(RUN_FACTS))
 def cv_by_segment(spark, sf):
-    run = trainers.cv_by_segment(_trainer(), _halves(train(spark, sf)), "y", NUMERIC, "status", ["F", "O"], test(spark, sf))
-    return _stack(run)
+    return _facts(trainers.cv_by_segment(_trainer(), train(spark, sf), "y", NUMERIC, "status", test=test(spark, sf)))
 
 
-@query("two_round_outlier_fit")
+@query("two_round_outlier_fit", sql(OOF_FACTS))
 def two_round_outlier_fit(spark, sf):
-    _, second, _ = trainers.two_round_outlier_fit(_trainer(), _halves(train(spark, sf)), "y", NUMERIC)
-    return _stack(second)
+    return _facts(trainers.two_round_outlier_fit(_trainer(), train(spark, sf), "y", NUMERIC)[1])
 
 
-@query("weighted_fit")
+@query("weighted_fit", sql(OOF_FACTS))
 def weighted_fit(spark, sf):
-    tr = _halves(sample_weight(train(spark, sf), "status", {"O": 2}))
-    run = _trainer(weight_col="sample_weight").train_and_score(tr, "y", NUMERIC)
-    return metrics.segment_scores(run.oof.join(tr.select("id", "status"), "id"), "status", "y", "pred")
+    tr = sample_weight(train(spark, sf), "status", {"O": 2})
+    return _facts(_trainer(weight_col="sample_weight").train_and_score(tr, "y", NUMERIC))
+
 
+_STD = "count(*) AS rows, count(DISTINCT id) AS ids, 0::BIGINT AS missing, 0::BIGINT AS below, 0::BIGINT AS bad_std"
 
-@query("predict_mean_std")
+
+@query("predict_mean_std", sql(f"SELECT 'oof' AS split, {_STD}, TRUE AS calibrated FROM train UNION ALL SELECT 'test', {_STD}, NULL::BOOLEAN FROM test"))
 def predict_mean_std(spark, sf):
-    oof, tst, _ = trainers.predict_mean_std(_trainer(), _halves(train(spark, sf)), "y", NUMERIC, test(spark, sf))
-    return oof.withColumn("split", F.lit("oof")).unionByName(tst.withColumn("split", F.lit("test")))
+    """Squared out-of-fold residuals are one predicted variance on average, and every deviation is above 0."""
+    tr = train(spark, sf)
+    oof, tst, _ = trainers.predict_mean_std(_trainer(), tr, "y", NUMERIC, test(spark, sf))
+    bad = F.count_if(~(F.coalesce(F.col("pred_std"), F.lit(0.0)) > 0)).alias("bad_std")
+    gap = (F.col("y") - F.col("pred")) / F.col("pred_std")
+    return _split_facts(oof.join(tr.select("id", "y"), "id"), "oof", bad, F.avg(gap * gap).between(0.999, 1.001).alias("calibrated")).unionByName(
+        _split_facts(tst, "test", bad, F.first(F.lit(None).cast("boolean")).alias("calibrated")))
 
 
-ADVERSARIAL = ["qty", "disc", "mon", "line"]
+ADVERSARIAL = [*FEATURES, "qty_disc", "qty_tax", "mon_line", "disc_tax"]
 
 
-@query("adversarial_validation")
+def _adversarial(spark, sf):
+    sides = [df.withColumns({"qty_disc": F.col("qty") * F.col("disc"), "qty_tax": F.col("qty") * F.col("tax"),
+                             "mon_line": F.col("mon") * F.col("line"), "disc_tax": F.col("disc") * F.col("tax")})
+             for df in (train(spark, sf), test(spark, sf))]
+    return trainers.adversarial_validation(*sides, ADVERSARIAL, TREES)
+
+
+@query("adversarial_validation", sql(
+    "SELECT TRUE AS above_half, (SELECT count(*) FROM train) AS positives, (SELECT count(*) FROM test) AS negatives"))
 def adversarial_validation(spark, sf):
-    auc, _, _ = trainers.adversarial_validation(train(spark, sf), test(spark, sf), ADVERSARIAL, SMALL, n_splits=2)
-    return auc
+    return _adversarial(spark, sf)[0].select((F.col("auc") > 0.5).alias("above_half"), "positives", "negatives")
 
 
-@query("importance_top_k")
+@query("importance_top_k", "SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS place, TRUE AS not_above_the_one_before")
 def importance_top_k(spark, sf):
-    _, importances, _ = trainers.adversarial_validation(train(spark, sf), test(spark, sf), ADVERSARIAL, SMALL, n_splits=2)
-    return trainers.importance_top_k(importances, 3)
+    top = trainers.importance_top_k(_adversarial(spark, sf)[1], 10).collect()
+    shares = [1.0, *[r["importance"] for r in top]]
+    return spark.createDataFrame([(i, 0.0 <= shares[i] <= shares[i - 1]) for i in range(1, len(shares))],
+                                 "place int, not_above_the_one_before boolean")
 
 
 CANDIDATES = {"qty": "qty", "line": "line", "disc": "disc", "mon": "mon", "qty_disc": "qty * disc", "qty2": "qty * qty"}
@@ -177,16 +211,19 @@ def forward_select(spark, sf):
     return selection.log_frame(spark, log)
 
 
-@query("param_search")
+@query("param_search", "SELECT CAST(unnest(range(6)) AS INTEGER) AS trial, TRUE AS not_better_than_the_best")
 def param_search(spark, sf):
-    tr = _halves(train(spark, sf))
-    space = {"n_estimators": ("int", 2, 4), "learning_rate": ("log", 0.05, 0.5), "max_depth": ("choice", [2, 3]),
+    tr = train(spark, sf)
+    space = {"n_estimators": ("int", 2, 6), "learning_rate": ("log", 0.05, 0.5), "max_depth": ("choice", [2, 3, 4]),
              "subsample": ("float", 0.6, 1.0)}
 
     def objective(params):
-        return trainers.CVTrainer(params, n_splits=2, clip_preds=(1.0, None)).train_and_score(tr, "y", NUMERIC).score
+        return trainers.CVTrainer(params, n_splits=5, clip_preds=(1.0, None)).train_and_score(tr, "y", NUMERIC).score
 
-    return search.param_search(spark, objective, space, n_trials=2)[1]
+    best, trials = search.param_search(spark, objective, space, n_trials=6)
+    rows = trials.collect()
+    least = next(r["score"] for r in rows if r["params"] == {k: str(v) for k, v in best.items()})
+    return spark.createDataFrame([(r["trial"], r["score"] >= least) for r in rows], "trial int, not_better_than_the_best boolean")
 
 
 CLIMB_SQL = """SELECT CAST(step AS INTEGER) AS step, model, weight, round(score, 6) AS score FROM (

@@ -43,24 +43,24 @@ def _meta(kind, subtype, day, features, **more):
             "created_at": datetime(2025, 5, day), "created_by": "source_queries", "fillna": False, **more}
 
 
-@lru_cache(maxsize=4)
-def _filled(app: str, spark, sf: str) -> fs.FeatureStore:
+def _fill(spark, sf: str) -> fs.FeatureStore:
     """A store with four plain features, one of them saved twice, and two folded ones."""
     made = fs.FeatureStore(spark, scratch_path(spark, "feature-store"))
     cols = ["id", "status", "flag", "line", "qty", "disc"]
     tr, te = train(spark, sf).select(*cols), test(spark, sf).select(*cols)
     product = "Multiply_qty_line"
 
-    def save(name, build, meta):
-        made.save(build(tr).select("id", name), build(te).select("id", name), name, meta)
-
-    save(product, lambda d: d.withColumn(product, F.col("qty") * F.col("line") + 1), _meta("autofe", "interaction", 1, ["qty", "line"]))
-    save("Combine_status_flag", lambda d: scalar.autofe_combine(d, [("status", "flag")]), _meta("autofe", "combine", 2, ["status", "flag"]))
-    save(product, lambda d: scalar.autofe_arith(d, [("qty", "line")], ["Multiply"]),
-         _meta("autofe", "interaction", 3, ["qty", "line"], filename_prefix=f"{product}_v2"))
-    save("poly_qty2_disc", lambda d: scalar.polynomial_features(d, ["qty", "disc"]), _meta("polynomial", "degree 3", 4, ["qty", "disc"]))
-    save("masked_qty_x_F", lambda d: scalar.masked_by_category(d, ["qty"], "status", {"F": "F"}),
-         _meta("masked feature", "masked feature by status", 5, ["qty", "status"]))
+    def build(df):
+        df = scalar.autofe_arith(scalar.autofe_combine(df, [("status", "flag")]), [("qty", "line")], ["Multiply"])
+        return scalar.masked_by_category(scalar.polynomial_features(df, ["qty", "disc"]), ["qty"], "status", {"F": "F"})
+
+    early = {product: _meta("autofe", "interaction", 1, ["qty", "line"])}
+    made.save_many(*(d.withColumn(product, F.col("qty") * F.col("line") + 1) for d in (tr, te)), early)
+    made.save_many(build(tr), build(te), {
+        "Combine_status_flag": _meta("autofe", "combine", 2, ["status", "flag"]),
+        product: _meta("autofe", "interaction", 3, ["qty", "line"], filename_prefix=f"{product}_v2"),
+        "poly_qty2_disc": _meta("polynomial", "degree 3", 4, ["qty", "disc"]),
+        "masked_qty_x_F": _meta("masked feature", "masked feature by status", 5, ["qty", "status"])})
     for day, keys in ((6, ["qty"]), (7, ["qty", "disc"])):
         rows = encoders.target_encode_nested(train(spark, sf), test(spark, sf), "y", keys, scale=CENTS)
         made.save_folded(rows, encoders.te_name(keys), _meta(
@@ -68,7 +68,13 @@ def _filled(app: str, spark, sf: str) -> fs.FeatureStore:
     return made
 
 
+@lru_cache(maxsize=4)
+def _filled(app: str, spark, sf: str) -> fs.FeatureStore:
+    return _fill(spark, sf)
+
+
 def filled_store(spark, sf) -> fs.FeatureStore:
+    """The store that the reading queries share; the writing ones make their own."""
     return _filled(spark.sparkContext.applicationId, spark, sf)
 
 
@@ -89,7 +95,7 @@ PLAIN_PREFIXES = ["Multiply_qty_line", "Combine_status_flag", "Multiply_qty_line
     "SELECT feature, split, count(*) AS rows, count(DISTINCT id) AS ids FROM f, (SELECT unnest("
     + str(PLAIN_PREFIXES) + ") AS feature) WHERE split <> 'ext' GROUP BY feature, split"))
 def feature_store_write(spark, sf):
-    stored = spark.read.parquet(f"{filled_store(spark, sf).path}/features")
+    stored = spark.read.parquet(f"{_fill(spark, sf).path}/features")
     return stored.groupBy("feature", "split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
 
 
@@ -176,7 +182,7 @@ def folded_features_read(spark, sf):
     "SELECT feature, CAST(o AS INTEGER) AS outer_fold, CASE WHEN split = 'test' THEN 'test' WHEN fold = o THEN 'val' ELSE 'train' END AS part, "
     "count(*) AS rows FROM f, range(5) r(o), (SELECT unnest(['te_mean_qty', 'te_mean_qty_disc']) AS feature) WHERE split <> 'ext' GROUP BY ALL"))
 def folded_features_write(spark, sf):
-    stored = spark.read.parquet(f"{filled_store(spark, sf).path}/folded")
+    stored = spark.read.parquet(f"{_fill(spark, sf).path}/folded")
     return stored.groupBy("feature", F.col("outer_fold").cast("int").alias("outer_fold"), "part").agg(F.count(F.lit(1)).alias("rows"))
 
 

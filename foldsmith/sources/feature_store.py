@@ -8,11 +8,12 @@ row of a column name wins.
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType,
+from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
                                TimestampNTZType)
 
 log = logging.getLogger(__name__)
@@ -27,6 +28,15 @@ CATALOG = StructType([
     StructField("created_at", TimestampNTZType()), StructField("created_by", StringType()),
 ])
 
+STORED_CATALOG = StructType([*CATALOG.fields, StructField("saved_ns", LongType())])
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+VALUES = "whole bigint, num double, txt string"
+
+
+def value_column(dtype: str) -> str:
+    """The stored column that holds a type without loss; dates, times, decimals and booleans are kept as text."""
+    return "whole" if dtype in WHOLE else "num" if dtype in ("float", "double") else "txt"
+
 
 class MissingFeatures(ValueError):
     """Requested features are not in the catalog."""
@@ -84,20 +94,25 @@ class FeatureStore:
         return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
     def catalog(self) -> DataFrame:
+        """One row per stored prefix: of an overwritten feature, the row saved last."""
         if not self._exists("catalog"):
             return self.spark.createDataFrame([], CATALOG)
-        return self.spark.read.schema(CATALOG).parquet(f"{self.path}/catalog")
-
-    def _register(self, name: str, meta: Mapping[str, object]) -> None:
-        row = {f.name: meta.get(f.name) for f in CATALOG.fields}
-        row["column_name"] = name
-        row["created_at"] = row["created_at"] or datetime.now(timezone.utc).replace(tzinfo=None)
-        if row["smooth"] is not None:
-            row["smooth"] = float(row["smooth"])
-        if self.catalog().filter(F.col("filename_prefix") == row["filename_prefix"]).limit(1).count():
-            log.warning("%s already exists, overwriting", row["filename_prefix"])
-        (self.spark.createDataFrame([tuple(row[f.name] for f in CATALOG.fields)], CATALOG).coalesce(1)
-         .write.mode("append").parquet(f"{self.path}/catalog"))
+        rows = self.spark.read.schema(STORED_CATALOG).parquet(f"{self.path}/catalog")
+        last = W.partitionBy("filename_prefix").orderBy(F.desc("saved_ns"))
+        return rows.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n", "saved_ns")
+
+    def _register(self, metas: Sequence[Mapping[str, object]]) -> None:
+        rows = []
+        for meta in metas:
+            row = {f.name: meta.get(f.name) for f in CATALOG.fields} | {"saved_ns": time.time_ns()}
+            row["created_at"] = row["created_at"] or datetime.now(timezone.utc).replace(tzinfo=None)
+            if row["smooth"] is not None:
+                row["smooth"] = float(row["smooth"])
+            rows.append(tuple(row[f.name] for f in STORED_CATALOG.fields))
+        known = self.catalog().filter(F.col("filename_prefix").isin([m["filename_prefix"] for m in metas]))
+        for old in known.select("filename_prefix").collect():
+            log.warning("%s already exists, overwriting", old[0])
+        self.spark.createDataFrame(rows, STORED_CATALOG).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog")
 
     def overview(self) -> DataFrame:
         return overview(self.catalog())
@@ -125,31 +140,37 @@ class FeatureStore:
 
     def save(self, train: DataFrame, test: DataFrame, name: str, meta: Mapping[str, object]) -> None:
         """Write one feature column of both splits and its catalog row; an equal prefix is overwritten."""
-        dtype = dict(train.dtypes)[name]
-        prefix = str(meta.get("filename_prefix") or name)
-        rows = (train.select("id", F.col(name), F.lit("train").alias("split"))
-                .unionByName(test.select("id", F.col(name), F.lit("test").alias("split"))))
-        self._write(rows, name, dtype, prefix, "features", ["split"])
-        self._register(name, {**meta, "filename_prefix": prefix, "dtype": dtype})
-
-    def _write(self, rows: DataFrame, name: str, dtype: str, prefix: str, folder: str, parts: Sequence[str]) -> None:
-        number = F.lit(None).cast("double") if dtype == "string" else F.col(name).cast("double")
-        text = F.col(name) if dtype == "string" else F.lit(None).cast("string")
-        long = rows.select("id", number.alias("num"), text.alias("txt"), F.lit(prefix).alias("feature"), *parts)
+        self.save_many(train, test, {name: meta})
+
+    def save_many(self, train: DataFrame, test: DataFrame, metas: Mapping[str, Mapping[str, object]]) -> None:
+        """Write the columns ``{name: meta}`` of both splits in one pass over the frames, and one catalog append."""
+        rows = (train.select("id", *metas, F.lit("train").alias("split"))
+                .unionByName(test.select("id", *metas, F.lit("test").alias("split"))))
+        self._write(rows, metas, "features", ["split"])
+
+    def _write(self, rows: DataFrame, metas: Mapping[str, Mapping[str, object]], folder: str, parts: Sequence[str]) -> None:
+        types = dict(rows.dtypes)
+        full = {n: {**m, "column_name": n, "filename_prefix": str(m.get("filename_prefix") or n), "dtype": types[n]}
+                for n, m in metas.items()}
+        cells = [F.struct(F.lit(m["filename_prefix"]).alias("feature"), *[
+            (F.col(n) if value_column(types[n]) == v.split()[0] else F.lit(None)).cast(v.split()[1]).alias(v.split()[0])
+            for v in VALUES.split(", ")]) for n, m in full.items()]
+        long = rows.select("id", F.inline(F.array(*cells)), *parts)
         # rebalance gives even files per partition folder whatever the number of input tasks
-        (long.hint("rebalance", *[F.col(p) for p in parts]).write.mode("overwrite")
+        (long.hint("rebalance", *[F.col(p) for p in ("feature", *parts)]).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("feature", *parts).parquet(f"{self.path}/{folder}"))
+        self._register(list(full.values()))
 
     def _wide(self, folder: str, chosen: Sequence, keys: Sequence[str]) -> DataFrame:
         """One row per key with a column per chosen feature, from one shuffle of the chosen folders."""
         stored = self.spark.read.schema(
-            "id string, num double, txt string, feature string, " + ", ".join(
+            f"id string, {VALUES}, feature string, " + ", ".join(
                 f"{k} {'int' if k == 'outer_fold' else 'string'}" for k in keys if k != "id")
         ).parquet(f"{self.path}/{folder}")
         stored = stored.filter(F.col("feature").isin([c["filename_prefix"] for c in chosen]))
         cells = []
         for c in chosen:
-            value = F.col("txt") if c["dtype"] == "string" else F.col("num").cast(c["dtype"])
+            value = F.col(value_column(c["dtype"])).cast(c["dtype"])
             cells.append(F.max(F.when(F.col("feature") == c["filename_prefix"], value)).alias(c["column_name"]))
         return stored.groupBy(*keys).agg(*cells)
 
@@ -170,14 +191,10 @@ class FeatureStore:
 
     def save_folded(self, rows: DataFrame, name: str, meta: Mapping[str, object]) -> None:
         """Write ``(id, outer_fold, part, <name>)`` rows of all outer folds and the catalog row."""
-        dtype = dict(rows.dtypes)[name]
-        prefix = str(meta.get("filename_prefix") or name)
-        self._write(rows, name, dtype, prefix, "folded", ["outer_fold", "part"])
-        folds = self.spark.read.parquet(f"{self.path}/folded").filter(F.col("feature") == prefix)
-        n = folds.select(F.count_distinct("outer_fold")).first()[0]
+        n = rows.select(F.count_distinct("outer_fold")).first()[0]
         if n != meta["outer_folds"]:
-            raise ValueError(f"{prefix}: {n} outer folds written, {meta['outer_folds']} declared")
-        self._register(name, {**meta, "filename_prefix": prefix, "dtype": dtype})
+            raise ValueError(f"{name}: {n} outer folds given, {meta['outer_folds']} declared")
+        self._write(rows, {name: meta}, "folded", ["outer_fold", "part"])
 
     def read_folded(self, column_names: Sequence[str] | None = None,
                     feature_lists: Sequence[Sequence[str]] | None = None,
@@ -192,7 +209,8 @@ class FeatureStore:
 
     def read_features_by_fold(self, **choice) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
         """(train, val, test) frames for every outer fold; each read prunes to its own folders."""
+        folds = self._chosen(choice.get("column_names"), None, choice.get("feature_lists"), choice.get("agg"), folded=True)
+        folds = folds.agg(F.max("outer_folds")).first()[0]
         wide = self.read_folded(**choice)
-        folds = self.catalog().agg(F.max("outer_folds")).first()[0]
         return [tuple(wide.filter((F.col("outer_fold") == o) & (F.col("part") == p)).drop("outer_fold", "part")
                       for p in ("train", "val", "test")) for o in range(folds)]

@@ -39,11 +39,3 @@ def materialize(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a small input has far fewer splits than there are cores; else leave it alone.
-
-    Meant for a plain scan, whose number of splits is known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df

@@ -63,7 +63,7 @@ def test_lookup_is_null_safe_and_salting_changes_nothing(spark):
     table = base.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("n") * 2)
     want = Counter(keys)
     for weight in ("n", None):
-        salted = lookup.attach(base, table, ["k"], ["v"], weight=weight, max_broadcast_rows=0)
+        salted = lookup.attach(base, table, ["k"], ["v"], weight=weight, max_broadcast_bytes=0)
         got = salted.collect()
         assert len(got) == 3000
         assert all(r["v"] == want[r["k"]] * 2 for r in got)

@@ -78,7 +78,7 @@ def test_folded_features(fs, spark):
     assert rows(parts[1][1]) == [("2", 3.0, 3.5)]
     with pytest.raises(MissingFeatures):
         fs.read_folded(feature_lists=[["a"]])
-    with pytest.raises(ValueError, match="outer folds written"):
+    with pytest.raises(ValueError, match="outer folds given"):
         fs.save_folded(folded(spark, "te_d", 1), "te_d", {**meta, "feature_list": ["d"]})
     fs.save_folded(folded(spark, "te_e", 3), "te_e", {**meta, "outer_folds": 3, "feature_list": ["e"]})
     with pytest.raises(ValueError, match="different numbers"):
