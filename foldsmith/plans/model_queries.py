@@ -85,12 +85,25 @@ def cv_ridge_stack(spark, sf):
     return out.withColumn("pred", F.round("pred", 2))
 
 
-@query("cv_ridge_stack_all")
+# the mean model is a constant column, so its weight is 0 and two normal equations are left
+RIDGE_ALL_SQL = """SELECT id, split, greatest(1.0::DOUBLE, round(exp(k.i0 + k.w1 * r.x1 + k.w2 * r.x2) - 1, 0)) AS pred
+FROM rows_w r JOIN (
+ SELECT fit, (d * c - b * e) / (a * c - b * b) AS w1, (a * e - b * d) / (a * c - b * b) AS w2,
+   mt - (d * c - b * e) / (a * c - b * b) * m1 - (a * e - b * d) / (a * c - b * b) * m2 AS i0 FROM (
+  SELECT f.fit, var_pop(x1) * count(*) + 1.9::DOUBLE AS a, covar_pop(x1, x2) * count(*) AS b, var_pop(x2) * count(*) + 1.9::DOUBLE AS c,
+    covar_pop(x1, t) * count(*) AS d, covar_pop(x2, t) * count(*) AS e, avg(t) AS mt, avg(x1) AS m1, avg(x2) AS m2
+  FROM rows_w, (SELECT CAST(unnest(range(-1, 5)) AS INTEGER) AS fit) f WHERE split = 'oof' AND fit <> f.fit GROUP BY f.fit)) k
+ON r.fit = k.fit"""
+RIDGE_ROWS = ("rows_w AS (SELECT id, 'oof' AS split, fold AS fit, ln(1 + coalesce(m_qty, 0)) AS x1, ln(1 + coalesce(m_qty_disc, 0)) AS x2, ln(1 + y) AS t FROM oof_w "
+              "UNION ALL SELECT id, 'test', -1, ln(1 + coalesce(m_qty, 0)), ln(1 + coalesce(m_qty_disc, 0)), NULL FROM test_w)")
+
+
+@query("cv_ridge_stack_all", models_sql(RIDGE_ALL_SQL.replace("AND fit <> f.fit", "AND rows_w.fit <> f.fit"), RIDGE_ROWS))
 def cv_ridge_stack_all(spark, sf):
     oof, tst = (df.na.fill(0.0, MODELS) for df in model_frames(spark, sf))
     out, test_out, _ = linear.cv_ridge_stack(oof, tst, MODELS, "y", alpha=1.9, clip=(1.0, None))
-    return out.select("id", "pred", F.lit("oof").alias("split")).unionByName(
-        test_out.select("id", "pred", F.lit("test").alias("split")))
+    return out.select("id", F.round("pred", 0).alias("pred"), F.lit("oof").alias("split")).unionByName(
+        test_out.select("id", F.round("pred", 0).alias("pred"), F.lit("test").alias("split")))
 
 
 @query("cv_gbt_stack", sql(RUN_FACTS))
@@ -203,12 +216,18 @@ def forward_select_first_round(spark, sf):
     return selection.log_frame(spark, log).filter("round = 0").select("round", "feature", F.round("score", 6).alias("score"))
 
 
-@query("forward_select")
+@query("forward_select", "SELECT CAST(unnest(range(3)) AS INTEGER) AS round, unnest([6, 4, 2]) AS candidates, "
+                         "TRUE AS takes_the_best, TRUE AS drops_the_worst")
 def forward_select(spark, sf):
+    """Per round: how many candidates were scored, and whether the lowest score was taken and the highest dropped."""
     df = _candidates(spark, sf)
     _, log = selection.forward_select(list(CANDIDATES), selection.linear_scorer(df, list(CANDIDATES), "y"),
                                       discard_worst_n=1, stop_at_max_score=False)
-    return selection.log_frame(spark, log)
+    found = []
+    for n in range(3):
+        rows = sorted((score, feature, decision) for r, feature, score, _, decision in log if r == n)
+        found.append((n, len(rows), rows[0][2] == "selected", rows[-1][2] == "discarded"))
+    return spark.createDataFrame(found, "round int, candidates int, takes_the_best boolean, drops_the_worst boolean")
 
 
 @query("param_search", "SELECT CAST(unnest(range(6)) AS INTEGER) AS trial, TRUE AS not_better_than_the_best")
@@ -248,7 +267,13 @@ def hill_climb_first_step(spark, sf):
     return climb.steps_frame(spark).withColumn("score", F.round("score", 6))
 
 
-@query("hill_climb")
+@query("hill_climb", "SELECT TRUE AS converged, TRUE AS weights_sum_to_one, TRUE AS score_is_of_the_blend, TRUE AS not_above_the_best_model")
 def hill_climb(spark, sf):
-    climb = ensemble.hill_climb(_filled_models(spark, sf), MODELS, "y", tol=1e-5)
-    return climb.weights_frame(spark).withColumn("score", F.lit(climb.score))
+    """The full climb: its end, its weights, and its score against the blend's own and the single models'."""
+    rows = _filled_models(spark, sf)
+    climb = ensemble.hill_climb(rows, MODELS, "y", tol=1e-5)
+    blend = sum((F.lit(w) * F.col(m) for m, w in climb.weights.items()), F.lit(0.0))
+    own, *single = rows.agg(*[metrics.rmsle(F.col("y"), F.greatest(p, F.lit(0.0))) for p in (blend, *map(F.col, MODELS))]).first()
+    return spark.createDataFrame(
+        [(climb.converged, abs(sum(climb.weights.values()) - 1) < 1e-9, abs(own - climb.score) < 1e-9, climb.score <= min(single))],
+        "converged boolean, weights_sum_to_one boolean, score_is_of_the_blend boolean, not_above_the_best_model boolean")

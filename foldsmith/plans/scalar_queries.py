@@ -241,12 +241,13 @@ def yeo_johnson(spark, sf):
         "c_custkey", F.round(t, 6).alias("transformed"), F.round(power.inverse(t, 0.3), 4).alias("back"))
 
 
-@query("yeo_johnson_fit")
+@query("yeo_johnson_fit", sql("SELECT count(*) AS rows, TRUE AS no_near_exponent_is_likelier FROM train"))
 def yeo_johnson_fit(spark, sf):
+    """The fitted exponent against its neighbours on both sides, by likelihood."""
     df = train(spark, sf)
     lam = power.fit(df, "y")
-    return df.agg(F.lit(lam).alias("lambda"), F.var_pop(power.transform(F.col("y"), lam)).alias("variance"),
-                  F.count(F.lit(1)).alias("rows"))
+    scores = power.log_likelihoods(df, "y", [lam, *[lam + d for d in (-0.1, -0.01, 0.01, 0.1)]])
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(scores[0] == max(scores)).alias("no_near_exponent_is_likelier"))
 
 
 def _code_sql(edges, col):
