@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.operators.lookup import attach
@@ -83,18 +85,53 @@ def corr_spearman_models(predictions: DataFrame, base_model: str, models: Sequen
     return _against(wide, base_model, models, "spearman")
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str], batch: int = 100) -> np.ndarray:
+    """Correlations of all column pairs, each over the rows where both are finite; NaN where either does not vary.
+
+    Columns are first centred and scaled by their mean and range, which leaves little to cancel. One pass then adds up,
+    per task and without a product for every pair in the plan, the sums that pairs need; Spark adds those of the tasks.
+    """
+    columns = list(columns)
+    size, centre, half = len(columns), [], []
+    for start in range(0, size, batch):
+        finite = {c: nan_free(F.col(f"`{c}`").cast("double")) for c in columns[start:start + batch]}
+        row = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(finite.values()) for n, f in (("m", F.avg), ("a", F.min), ("b", F.max))]).first()
+        for i in range(len(finite)):
+            known = row[f"m{i}"] is not None and np.isfinite([row[f"m{i}"], row[f"a{i}"], row[f"b{i}"]]).all()
+            centre.append(row[f"m{i}"] if known else 0.0)
+            half.append((row[f"b{i}"] - row[f"a{i}"]) / 2 or 1.0 if known else 1.0)
+    rows = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("v"))
+
+    def partial(batches):
+        total = np.zeros((4, size, size))
+        for part in batches:
+            x = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+            x = (x - centre) / half
+            seen = np.isfinite(x)
+            x, seen = np.where(seen, x, 0.0), seen.astype(float)
+            total += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["cells"])
+
+    cells = rows.mapInArrow(partial, "cells array<double>").select(F.posexplode("cells").alias("at", "cell"))
+    sums = np.zeros(4 * size * size)
+    for row in cells.groupBy("at").agg(F.sum("cell").alias("cell")).collect():
+        sums[row["at"]] = row["cell"]
+    n, x, xx, xy = sums.reshape(4, size, size)
+    spread = n * xx - x * x
+    spread = np.where(spread > 1e-12 * n * xx, spread, np.nan)
+    return (n * xy - x * x.T) / np.sqrt(spread * spread.T)
+
+
 def drop_correlated(df: DataFrame, columns: Sequence[str], max_corr: float = 0.9999999) -> DataFrame:
     """Columns with their highest absolute correlation to an earlier column, and whether to drop them."""
     columns = list(columns)
-    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
-    row = df.agg(*[F.abs(pearson(F.col(a), F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [F.struct(F.lit(i).alias("position"), F.lit(b).alias("column_name"),
-                      (F.greatest(*both) if len(both) > 1 else both[0] if both else F.lit(None).cast("double")).alias("max_corr"))
-             for i, b in enumerate(columns)
-             for both in [[nan_free(F.col(f"`{a}|{b}`")) for a in columns[:i]]]]
-    return (row.select(F.explode(F.array(*cells)).alias("c"))
-            .select("c.position", "c.column_name", "c.max_corr",
-                    F.coalesce(F.col("c.max_corr") > max_corr, F.lit(False)).alias("dropped")))
+    found = np.abs(correlation_matrix(df, columns))
+    rows = []
+    for i, c in enumerate(columns):
+        known = found[i, :i][~np.isnan(found[i, :i])]
+        most = float(min(1.0, known.max())) if len(known) else None
+        rows.append((i, c, most, most is not None and most > max_corr))
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, max_corr double, dropped boolean")
 
 
 def nan_free(value: Column) -> Column:

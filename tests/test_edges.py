@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions import bins, power
 from foldsmith.models import ensemble, linear, trainers
-from foldsmith.operators import encoders, folds, lookup, ordering
+from foldsmith.operators import encoders, folds, lookup, metrics, ordering
 from foldsmith.sources import feature_store as fs
 from foldsmith.storage import scratch_path
 
@@ -155,3 +155,11 @@ def test_broadcast_bound_is_in_bytes(spark):
     table = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array_repeat("id", 20).alias("a"))
     assert 100 * 1016 < lookup.measured_bytes(table) < 100 * 3000
     assert lookup.is_small(table) and not lookup.is_small(table, 50_000)
+
+
+def test_correlations_of_200_columns_with_gaps(spark):
+    df = spark.range(500).select(*[F.when(F.rand(1000 + i) > 0.1, F.rand(i) + 1e6).alias(f"c{i}") for i in range(200)]).cache()
+    found = metrics.correlation_matrix(df, df.columns)
+    want = df.toPandas().corr().to_numpy()
+    assert np.abs(found - want).max() < 1e-6
+    assert metrics.drop_correlated(df.withColumn("again", -2 * F.col("c7")), [*df.columns, "again"]).filter("dropped").first()["column_name"] == "again"
