@@ -43,9 +43,12 @@ def _meta(kind, subtype, day, features, **more):
             "created_at": datetime(2025, 5, day), "created_by": "source_queries", "fillna": False, **more}
 
 
-def _fill(spark, sf: str) -> fs.FeatureStore:
-    """A store with four plain features, one of them saved twice, and two folded ones."""
-    made = fs.FeatureStore(spark, scratch_path(spark, "feature-store"))
+def _new_store(spark) -> fs.FeatureStore:
+    return fs.FeatureStore(spark, scratch_path(spark, "feature-store"))
+
+
+def _fill_plain(spark, sf: str, made: fs.FeatureStore) -> fs.FeatureStore:
+    """Four plain features, one of them saved twice."""
     cols = ["id", "status", "flag", "line", "qty", "disc"]
     tr, te = train(spark, sf).select(*cols), test(spark, sf).select(*cols)
     product = "Multiply_qty_line"
@@ -61,6 +64,11 @@ def _fill(spark, sf: str) -> fs.FeatureStore:
         product: _meta("autofe", "interaction", 3, ["qty", "line"], filename_prefix=f"{product}_v2"),
         "poly_qty2_disc": _meta("polynomial", "degree 3", 4, ["qty", "disc"]),
         "masked_qty_x_F": _meta("masked feature", "masked feature by status", 5, ["qty", "status"])})
+    return made
+
+
+def _fill_folded(spark, sf: str, made: fs.FeatureStore) -> fs.FeatureStore:
+    """Two folded features."""
     for day, keys in ((6, ["qty"]), (7, ["qty", "disc"])):
         rows = encoders.target_encode_nested(train(spark, sf), test(spark, sf), "y", keys, scale=CENTS)
         made.save_folded(rows, encoders.te_name(keys), _meta(
@@ -70,7 +78,7 @@ def _fill(spark, sf: str) -> fs.FeatureStore:
 
 @lru_cache(maxsize=4)
 def _filled(app: str, spark, sf: str) -> fs.FeatureStore:
-    return _fill(spark, sf)
+    return _fill_folded(spark, sf, _fill_plain(spark, sf, _new_store(spark)))
 
 
 def filled_store(spark, sf) -> fs.FeatureStore:
@@ -95,7 +103,7 @@ PLAIN_PREFIXES = ["Multiply_qty_line", "Combine_status_flag", "Multiply_qty_line
     "SELECT feature, split, count(*) AS rows, count(DISTINCT id) AS ids FROM f, (SELECT unnest("
     + str(PLAIN_PREFIXES) + ") AS feature) WHERE split <> 'ext' GROUP BY feature, split"))
 def feature_store_write(spark, sf):
-    stored = spark.read.parquet(f"{_fill(spark, sf).path}/features")
+    stored = spark.read.parquet(f"{_fill_plain(spark, sf, _new_store(spark)).path}/features")
     return stored.groupBy("feature", "split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
 
 
@@ -182,7 +190,7 @@ def folded_features_read(spark, sf):
     "SELECT feature, CAST(o AS INTEGER) AS outer_fold, CASE WHEN split = 'test' THEN 'test' WHEN fold = o THEN 'val' ELSE 'train' END AS part, "
     "count(*) AS rows FROM f, range(5) r(o), (SELECT unnest(['te_mean_qty', 'te_mean_qty_disc']) AS feature) WHERE split <> 'ext' GROUP BY ALL"))
 def folded_features_write(spark, sf):
-    stored = spark.read.parquet(f"{_fill(spark, sf).path}/folded")
+    stored = spark.read.parquet(f"{_fill_folded(spark, sf, _new_store(spark)).path}/folded")
     return stored.groupBy("feature", F.col("outer_fold").cast("int").alias("outer_fold"), "part").agg(F.count(F.lit(1)).alias("rows"))
 
 
