@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,12 @@ from foldsmith.storage import scratch_path
 
 # lengths of the four values that a control byte describes, two bits each, least significant first
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)")
+# byte-level vocabularies write a byte as a printable character: itself, or the next one free from 256 on
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = "".join(chr(b) if b in PRINTABLE else chr(256 + b - sum(p < b for p in PRINTABLE)) for b in range(256))
+LETTERS = re.compile("[A-Za-z\u00c0-\u024f]+")
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PROBE = "The probe: été Übung, naïve isn't 3,5 x... (WORD)*** a%-b end;"
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -37,79 +44,81 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The values back; lengths come from one table lookup of all control bytes."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
     start = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(count, np.uint32)
-    for i in range(4):
-        out |= np.where(size > i, raw[np.minimum(start + i, len(raw) - 1)], 0).astype(np.uint32) << np.uint32(8 * i)
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[start].astype(np.uint32)
+    for i in range(1, 4):
+        longer = np.flatnonzero(size > i)
+        out[longer] |= raw[start[longer] + i].astype(np.uint32) << np.uint32(8 * i)
     return out
 
 
+class WordIds(dict):
+    """Ids of words as bytes, learnt when a word is first asked for and kept in two generations of at most ``limit`` words.
+
+    A full generation becomes the older one and a new one begins, so memory is bounded and frequent words stay.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, dtype: np.dtype, limit: int) -> None:
+        super().__init__()
+        self.tokenizer, self.dtype, self.limit, self.old = tokenizer, dtype, limit, {}
+        self.by_letter = True
+        self.by_letter = all(self.learn(w.encode()) == self.library(w) for w in PROBE.split())
+        self.clear()
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def merged(self, stem: bytes) -> bytes:
+        tokens = self.tokenizer.model.tokenize(charmap_decode(stem, "strict", BYTE_CHARS)[0])
+        return array(self.dtype.char, [t.id for t in tokens]).tobytes()
+
+    def learn(self, word: bytes) -> bytes:
+        """A word of Latin letters goes to the library's merge model in lower case, and the marks that follow it are a
+        word of their own; anything else is encoded by the library as it is."""
+        stem, small = word.rstrip(MARKS), None
+        if stem.isalpha():
+            small = stem.lower()
+        elif stem and not stem.isascii():
+            text = stem.decode("utf-8", "replace")
+            if LETTERS.fullmatch(text) and text.isalpha() and text.lower().isalpha():
+                small = text.lower().encode()
+        if small is None or not self.by_letter:
+            return self.library(word.decode("utf-8", "replace"))
+        if len(stem) < len(word):
+            return self[small] + self[word[len(stem):]]
+        return self.merged(small) if small == word else self[small]
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts by the tokenizers library, one distinct word at a time.
 
-    The vocabulary's splitting pattern never joins characters across white space, so a text's ids are its words' ids in
-    order. A word's ids are kept as bytes in two generations of at most ``limit`` words; when the younger is full it
-    becomes the older, so memory is bounded and frequent words stay.
+    Where a vocabulary's splitting pattern never joins characters across white space, a text's ids are its words' ids in
+    order. That is probed on the vocabulary at hand; one that doesn't work that way gets whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.limit = limit
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _keep(self, found: dict[bytes, bytes]) -> None:
-        if len(self.young) + len(found) > self.limit:
-            self.old, self.young = self.young, {}
-        self.young.update(found)
-
-    def _learn(self, missing: set[bytes], found: dict[bytes, bytes]) -> None:
-        """Adds the ids of words; lower case and a final mark are taken apart first where that can't change them."""
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
-        for word in missing:
-            text = word.decode("utf-8", "surrogatepass")
-            plain = SIMPLE.fullmatch(text)
-            if plain and plain[1].isalpha() and plain[1].lower().isalpha():
-                stems[word] = ((plain[1].lower() if text.isascii() else plain[1]).encode(), plain[2].encode())
-        wanted = {s for pair in stems.values() for s in pair if s} | (missing - stems.keys())
-        known: dict[bytes, bytes] = {}
-        fresh = []
-        for word in wanted:
-            ids = self.young.get(word) or self.old.get(word) or found.get(word)
-            if ids is None:
-                fresh.append(word)
-            else:
-                known[word] = ids
-        texts = [w.decode("utf-8", "replace") for w in fresh]
-        for word, code in zip(fresh, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            known[word] = np.array(code.ids, self.dtype).tobytes()
-        for word in missing:
-            a, b = stems.get(word, (word, b""))
-            found[word] = known[a] + (known[b] if b else b"")
-        found.update(known)
+        self.known = WordIds(self.tokenizer, self.dtype, limit)
+        self.by_word = self.known.library(PROBE) == b"".join(map(self.known.library, PROBE.split()))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of every text as bytes; null and blank texts have none."""
-        rows = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        missing = {w for row in rows for w in row}
-        found: dict[bytes, bytes] = {}
-        fresh = set()
-        for word in missing:
-            ids = self.young.get(word)
-            if ids is None:
-                ids = self.old.get(word)
-                if ids is None:
-                    fresh.add(word)
-                    continue
-            found[word] = ids
-        new: dict[bytes, bytes] = {}
-        self._learn(fresh, new)
-        aged = {w: ids for w, ids in found.items() if w not in self.young}
-        self._keep({**aged, **new})
-        found.update(new)
-        return [b"".join(map(found.__getitem__, row)) for row in rows]
+        if not self.by_word:
+            return [self.known.library(t or "") for t in texts]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, t.encode("utf-8", "surrogatepass").split())) if t else b"" for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}

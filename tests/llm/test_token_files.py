@@ -30,7 +30,10 @@ def test_values_round_trip(values):
     assert len(control) == -(-len(values) // 4) and len(data) == sum(max(1, -(-v.bit_length() // 8)) for v in values)
 
 
-@given(st.lists(st.text(max_size=60), max_size=5))
+LETTERS = st.text(st.characters(min_codepoint=0x20, max_codepoint=0x24F), max_size=60)
+
+
+@given(st.lists(st.one_of(st.text(max_size=60), LETTERS), max_size=5))
 @settings(max_examples=300, deadline=None)
 def test_words_give_the_ids_of_whole_texts(texts):
     words = WordEncoder(PATH, limit=50)
@@ -44,6 +47,21 @@ def test_known_hard_texts():
     assert [np.frombuffer(b, words.dtype).tolist() for b in words.encode(texts)] == [ids_of(t) for t in texts]
 
 
+def test_other_vocabularies_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, library = WordEncoder(path), Tokenizer.from_file(path)
+    probed = WordEncoder(PATH)
+    assert probed.by_word and probed.known.by_letter and not words.by_word
+    texts = ["One two  three", "", None, "Été, x"]
+    assert [np.frombuffer(b, words.dtype).tolist() for b in words.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_given_texts_word_by_word(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    words = WordEncoder(PATH, limit=3000)
+    assert [np.frombuffer(b, words.dtype).tolist() for b in words.encode(texts)] == [ids_of(t) for t in texts]
+
+
 def test_files_against_the_library(spark):
     data = rows()
     found = token_digests(frame(spark, data), PATH).collect()
