@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -51,18 +51,23 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, once per application, wherever the driver found it."""
+    """Let Python workers import this package: a zip of it in the shared folder, once per application."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.join(tempfile.mkdtemp(), "foldsmith.zip")
+    package = io.BytesIO()
     with zipfile.ZipFile(package, "w") as out:
         for folder, _, names in os.walk(os.path.join(root, "foldsmith")):
             for name in names:
                 if name.endswith(".py"):
                     out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
-    context.addPyFile(package)
+    path = f"{scratch_path(spark, 'package')}/foldsmith.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(package.getvalue()))
+    stream.close()
+    context.addPyFile(path)
     _shipped.add(context.applicationId)
 
 
