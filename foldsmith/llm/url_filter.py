@@ -96,9 +96,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     blocked = (ruled.where("verdict = 'block'").select(canonical_of(F.col("url")).alias("form")).distinct()
                .join(tied, "form", "left").select(F.coalesce("tied", "form").alias("component")).distinct()
                .withColumn("bad", F.lit(True)))
+    # these tables grow with the pages, and repetitive urls take far less room in a file than in memory: never broadcast
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                         canonical_of(F.col("url")).alias("form"))
-    rows = rows.join(ruled, "url", "left").join(tied, "form", "left").withColumn("component", F.coalesce("tied", "form"))
-    rows = rows.join(write_table(blocked, "blocked"), "component", "left")
+    rows = rows.join(ruled.hint("merge"), "url", "left").join(tied.hint("merge"), "form", "left").withColumn("component", F.coalesce("tied", "form"))
+    rows = rows.join(write_table(blocked, "blocked").hint("merge"), "component", "left")
     verdict = F.coalesce("verdict", F.when(F.col("bad"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "component")
