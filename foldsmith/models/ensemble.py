@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.functions.exact import quoted
-from foldsmith.functions.scalar import bounded, nan_to_null
+from foldsmith.functions.scalar import nan_to_null
 from foldsmith.operators.metrics import rmsle
 
 Score = Callable[[Column, Column], Column]
@@ -38,10 +38,10 @@ class Climb:
 
 
 def score_candidates(wide: DataFrame, target: str, candidates: Sequence[str], scoring_fn: Score = rmsle) -> list[float]:
-    """Score of every candidate blend (a SQL expression each) floored at 0, many per aggregate."""
+    """Score of every candidate blend (a SQL expression each) floored at 0, many per aggregate; no value may be missing."""
     out: list[float] = []
     for start in range(0, len(candidates), BATCH):
-        row = wide.agg(*[scoring_fn(F.col(target), bounded(F.expr(c), 0.0)).alias(f"c{i}")
+        row = wide.agg(*[scoring_fn(F.col(target), F.greatest(F.expr(c), F.lit(0.0))).alias(f"c{i}")
                          for i, c in enumerate(candidates[start:start + BATCH])]).first()
         out += [float(v) for v in row]
     return out
