@@ -18,15 +18,20 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 NEEDLE = re.compile(r"[0-9@]")
-FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9](?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w-]|[./][0-9]))"
-    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\w))")
+PATTERNS = {
+    "email": r"[A-Za-z0-9](?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w-]|[./][0-9])",
+    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
+             r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\w)",
+}
+FOUND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+# what may stand between the groups of a value whose pattern can run on into what follows it
+BETWEEN = {"iban": " ", "card": " -", "phone": " .-"}
+ALONE = {kind: re.compile(PATTERNS[kind]) for kind in BETWEEN}
 
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -173,7 +178,9 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     found = FOUND.search(text)
     while found:
         kind = found.lastgroup
-        new = pseudonym(kind, found[0], key)
+        new, stop = pseudonym(kind, found[0], key), found.end()
+        if new is None and kind in BETWEEN:
+            kind, new, stop = _shorter(text, found, key)
         if new is None:
             found = FOUND.search(text, _next(text, found))
             continue
@@ -181,11 +188,44 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
         at += found.start() - end
         spans.append((kind, at, at + len(new)))
         at += len(new)
-        end = found.end()
+        end = stop
         found = FOUND.search(text, end)
     return "".join([*out, text[end:]]), spans
 
 
+def _reading(kind: str, text: str, start: int, key: bytes) -> tuple[str | None, int]:
+    """Pseudonym and end of the longest valid value at ``start``: its whole match, or that without its last groups."""
+    whole = ALONE[kind].match(text, start)
+    if whole:
+        if new := pseudonym(kind, whole[0], key):
+            return new, whole.end()
+        for stop in range(whole.end() - 1, start, -1):
+            if text[stop] in BETWEEN[kind] and ALONE[kind].fullmatch(text, start, stop) and (new := pseudonym(kind, text[start:stop], key)):
+                return new, stop
+    return None, start
+
+
+def _shorter(text: str, found: re.Match, key: bytes) -> tuple[str, str | None, int]:
+    """(kind, pseudonym, end) of a valid value at the start of a match that failed, which may have run on into what follows it.
+
+    A check digit also fits by chance, so a shorter value gives way to a longer one that starts at a later group of it. Digits
+    that are no card number may begin with a phone number.
+    """
+    kind, start = found.lastgroup, found.start()
+    new, stop = _reading(kind, text, start, key)
+    length = lambda a, b: sum(map(str.isalnum, text[a:b]))
+    for at in range(start + 1, stop):
+        if text[at] in BETWEEN[kind]:
+            other, end = _reading(kind, text, at + 1, key)
+            if other and length(at + 1, end) > length(start, stop):
+                new = None
+                break
+    if new is None and kind == "card":
+        kind = "phone"
+        new, stop = _reading(kind, text, start, key)
+    return kind, new, stop
+
+
 def _next(text: str, found: re.Match) -> int:
     """Where to go on after a value that failed: behind its first run of digits and letters."""
     at = found.start() + 1
@@ -199,7 +239,8 @@ def pseudonymize(documents: DataFrame, key: bytes) -> DataFrame:
 
     Kinds: e-mail addresses (the name changes, the domain stays), phone numbers (the country code stays), card numbers (Luhn), IBANs
     (mod 97), social security numbers, IPv4 addresses and calendar dates from 1900 to 2099. Values that fail their check
-    stay. A value is encoded as a number below its format's size, moved by a keyed Feistel permutation and written in the same format
+    stay; a card number, IBAN or phone number is also found with groups of digits or capitals right behind it, as an expiry date or
+    a currency. A value is encoded as a number below its format's size, moved by a keyed Feistel permutation and written in the same format
     with check digits made anew, so it stays valid, keeps its separators, and equal values are equal in all documents
     under one key. No value keeps its place. A date between slashes that reads both ways is month first.
 
