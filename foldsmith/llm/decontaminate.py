@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.llm.common import map_batches, slices
+from foldsmith.llm.common import map_batches, slices, write_table
 
 BLOCK_CHARS = 4_000_000
 
@@ -70,7 +70,7 @@ def best_match(masks: dict[str, int], size: int, text: str, stop_at: int) -> tup
 class Matcher:
     """A block of test items, ready to be looked for in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], share: float) -> None:
         self.items = [(i, t, budget(len(t), share)) for i, t in items]
         self.masks: dict[int, dict[str, int]] = {}
         self.hits = ahocorasick.Automaton()
@@ -83,7 +83,7 @@ class Matcher:
         if found:
             self.hits.make_automaton()
 
-    def search(self, text: str) -> Iterator[tuple[int, int]]:
+    def search(self, text: str) -> Iterator[tuple[int | None, int]]:
         """(item id, least distance) of every item within its budget somewhere in the normalised ``text``.
 
         A piece hit fixes where the item would start, give or take the budget. Starts of one item that lie close are merged
@@ -111,14 +111,26 @@ class Matcher:
                 yield name, best
 
 
-def item_blocks(benchmark: DataFrame, share: float, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Normalised non-empty items with an id in blocks of about ``block_chars`` characters, so that what a task holds is bounded."""
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    per_id = items.groupBy("item_id").agg(F.sum(F.length("text")).alias("n"))
-    blocks = max(1, -(-(per_id.agg(F.sum("n")).first()[0] or 0) // block_chars))
+def item_blocks(benchmark: DataFrame, share: float, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
+    """Normalised non-empty items in blocks of about ``block_chars`` characters, so that what a task holds is bounded.
+
+    Items without an id are items too, each text once; one whose text also has an id goes by that id.
+    """
+    plain = benchmark.select("item_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([normal(t.as_py()) for t in part.column(1)], pa.string())],
+                                             names=["item_id", "text"])
+
+    items = write_table(plain.transform(map_batches, run, plain.schema).where("text <> ''").distinct(), "items")
+    named = items.where("item_id IS NOT NULL")
+    items = named.unionByName(items.where("item_id IS NULL").join(named.select("text"), "text", "left_anti"))
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    place = F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text")))
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        yield [(r["item_id"], t) for r in rows if (t := normal(r["text"]))]
+        rows = items.where(F.pmod(place, F.lit(blocks)) == block).collect()
+        yield [(r["item_id"], r["text"]) for r in rows]
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, share: float = 0.08) -> DataFrame:
@@ -127,7 +139,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, share: float = 0.0
     A document contains an item if some substring is within ``share`` of the item's length in edit distance, both
     lower-cased and with runs of white space as one blank; distance is the least over all substrings. Texts are searched whole. Items
     are broadcast in bounded blocks, each a pass over the documents. Null or blank texts and items match nothing; items of one id
-    count as one, repeated documents are reported as often as they came in. Other columns are ignored.
+    count as one, repeated documents are reported as often as they came in. An item without an id is reported with a null item_id, a row for
+    each normalised text, or under its id if that text also has one. Other columns are ignored.
     """
     docs = documents.select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance long"
@@ -139,11 +152,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, share: float = 0.0
                 ids, names, far = [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
                     best: dict[int, int] = {}
+                    nameless = []
                     for name, distance in matcher.search(normal(text.as_py())):
-                        best[name] = min(distance, best.get(name, distance))
-                    ids += [doc] * len(best)
-                    names += best.keys()
-                    far += best.values()
+                        if name is None:
+                            nameless.append(distance)
+                        else:
+                            best[name] = min(distance, best.get(name, distance))
+                    ids += [doc] * (len(best) + len(nameless))
+                    names += [*best, *[None] * len(nameless)]
+                    far += [*best.values(), *nameless]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), pa.array(names, pa.int64()),
                                                   pa.array(far, pa.int64())], names=["doc_id", "item_id", "distance"])
         found = docs.transform(map_batches, run, schema)
@@ -152,7 +169,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, share: float = 0.0
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.08) -> DataFrame:
-    """The rows of ``documents`` that contain no item; rows are judged where they lie, without a shuffle."""
+    """The rows of ``documents`` that contain no item, with an id or without; rows are judged where they lie, without a shuffle."""
     out, at = documents, documents.columns.index("text")
     for items in item_blocks(benchmark, share):
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

@@ -76,6 +76,19 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted(contamination(docs, bench).collect()) == whole and len(whole) == 8
 
 
+def test_items_without_an_id(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [sentence(rng, 20) for _ in range(5)]
+    docs = plain(spark, {i: f"{sentence(rng, 5)} {t} {sentence(rng, 5)}" for i, t in enumerate(texts)} | {9: sentence(rng, 30)})
+    bench = spark.createDataFrame([(0, texts[0]), (None, texts[0].upper()), (None, texts[1]), (None, texts[1].replace(" ", "  ")), (None, texts[2]),
+                                   (None, None), (None, " "), (3, texts[3])], "item_id long, text string")
+    for size in (4_000_000, 100):
+        monkeypatch.setattr("foldsmith.llm.decontaminate.item_blocks.__defaults__", (size,))
+        found = {(r["doc_id"], r["item_id"], r["distance"]) for r in contamination(docs, bench).collect()}
+        assert found == {(0, 0, 0), (1, None, 0), (2, None, 0), (3, 3, 0)} and contamination(docs, bench).count() == 4
+        assert {r["doc_id"] for r in drop_contaminated(docs, bench).collect()} == {4, 9}
+
+
 def test_awkward_tables(spark):
     docs = frame(spark)
     none = spark.createDataFrame([], "item_id long, text string")
