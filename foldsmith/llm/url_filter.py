@@ -14,6 +14,12 @@ CANONICAL = r"""(?i)\brel\s*=\s*["']?canonical\b"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+# "&amp;" last, so that "&amp;lt;" is "&lt;"
+ENTITIES = ((r"&(?i:quot|#0*34|#x0*22);", '"'), (r"&(?i:apos|#0*39|#x0*27);", "'"), (r"&(?i:lt|#0*60|#x0*3c);", "<"), (r"&(?i:gt|#0*62|#x0*3e);", ">"),
+            (r"&(?i:#0*47|#x0*2f);", "/"), (r"&(?i:#0*58|#x0*3a);", ":"), (r"&(?i:#0*61|#x0*3d);", "="), (r"&(?i:#0*63|#x0*3f);", "?"),
+            (r"&(?i:amp|#0*38|#x0*26);", "&"))
 TRACKING = r"(^|&)(?:utm_[^=&]*|gclid|fbclid)(?:=[^&]*)?"
 
 
@@ -37,23 +43,44 @@ def canonical_of(url: Column) -> Column:
     return F.when(url.contains("://"), whole).otherwise(url)
 
 
+def _decoded(text: Column) -> Column:
+    """Common HTML entities as their characters."""
+    for pattern, char in ENTITIES:
+        text = F.regexp_replace(text, pattern, char)
+    return text
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, its segments ``.`` and ``..`` resolved."""
+    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), lambda out, part: (
+        F.when(part == ".", out).when(part == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(part)))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+
+
 def _resolved(href: Column, url: Column) -> Column:
+    """The address that ``href`` in the page ``url`` means; null if it is relative and the url has no ``://``, or of another kind (``mailto:``)."""
     scheme = F.regexp_extract(url, r"^([^:/?#]*)://", 1)
     origin = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.regexp_extract(path_of(url), r"^(.*/)", 1)
-    return (F.when(href.contains("://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(origin, href))
-            .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href)))
+    rooted = F.when(href.startswith("/"), href).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), href))
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    return (F.when(href.rlike(ABSOLUTE), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+            .when(href.rlike(SCHEME) | ~url.contains("://"), F.lit(None))
+            .when(href.startswith("?"), F.concat(origin, path_of(url), href)).when(href.startswith("#"), F.concat(origin, path_of(url), query, href))
+            .otherwise(F.concat(origin, _without_dots(F.regexp_extract(rooted, r"^([^?#]*)", 1)), F.regexp_extract(rooted, r"^[^?#]*(.*)$", 1))))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(source, target) addresses from canonical links and refresh redirects in ``html``."""
-    tags = (pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)\b(?:canonical|refresh)\b"))
+    """(source, target) addresses from canonical links and refresh redirects in ``html``.
+
+    Entities in a reference are decoded and it is resolved against the page's url; a url without ``://`` has only its absolute references.
+    """
+    tags = (pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)\b(?:canonical|refresh)\b"))
             .select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag")))
     href = (F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1))
             .when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1)))
-    return tags.select("url", href.alias("href")).where("href <> ''").select(
-        F.col("url").alias("source"), _resolved(F.col("href"), F.col("url")).alias("target"))
+    return tags.select("url", _decoded(href).alias("href")).where("href <> ''").select(
+        F.col("url").alias("source"), _resolved(F.col("href"), F.col("url")).alias("target")).where("target IS NOT NULL")
 
 
 def longest_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from foldsmith.llm import queries, sql
 from foldsmith.llm.graph import connected_components
-from foldsmith.llm.url_filter import judge_urls
+from foldsmith.llm.url_filter import canonical_of, judge_urls, link_edges
 from tests.compare import difference
 from tests.llm.tables import connect
 
@@ -47,6 +49,24 @@ def test_given_redirects(spark):
     assert {r["verdict"] for r in found if r["page_id"] == 19} == {"block"}
 
 
+def test_references_mean_what_a_browser_takes_them_for(spark):
+    url = "http://a.com/b/c/d?q=1"
+    cases = {"/x?a=1&amp;b=2": "a.com/x?a=1&b=2", "/x?a=1&#38;b=&quot;": 'a.com/x?a=1&b="', "../x": "a.com/b/x", "./x": "a.com/b/c/x", "../../../x/./y/..": "a.com/x",
+             "?x=1": "a.com/b/c/d?x=1", "e?u=../f": "a.com/b/c/e?u=../f", "/go?u=http://b.com/": "a.com/go?u=http://b.com/", "//b.com/x": "b.com/x",
+             "http://b.com/x": "b.com/x", "#top": "a.com/b/c/d?q=1", "mailto:me": None, "/a/..": "a.com", "..": "a.com/b"}
+    rows = [(i, f"{url}#{i}", LINK.format(h)) for i, h in enumerate(cases)]
+    rows += [(100, "no scheme", LINK.format("http://b.com/x")), (101, "none", LINK.format("rel")), (102, None, LINK.format("http://b.com/x"))]
+    found = {r["source"]: r["f"] for r in link_edges(pages(spark, rows)).withColumn("f", canonical_of(F.col("target"))).collect()}
+    want = {f"{url}#{i}": form for i, form in enumerate(cases.values()) if form} | {"no scheme": "b.com/x"}
+    assert found == want
+
+
+def test_blocks_reach_aliases_over_written_references(spark):
+    rows = [(1, "http://a.net/x?a=1&b=2", ""), (2, "http://m.com/1", LINK.format("http://a.net/x?a=1&amp;b=2")), (3, "alias", LINK.format("http://a.net/x?a=1&amp;b=2")),
+            (4, "http://m.com/d/e/4", LINK.format("../../1"))]
+    assert {r["page_id"] for r in judged(spark, rows).collect() if r["verdict"] == "block"} == {1, 2, 3, 4}
+
+
 def test_empty(spark):
     assert judged(spark, []).count() == 0
 
