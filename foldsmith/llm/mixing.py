@@ -129,7 +129,8 @@ def mixture(documents: DataFrame, repetition: float | None = 2.0, entropy: float
     Every document is read at least once, and no source is read more than ``repetition`` times as often as another (for a
     target ``entropy`` there is no such limit).
 
-    Null text has 0 tokens; a document or source without tokens is read once. A null source is a source of its own. Rows that
+    Null text has 0 tokens. A source without tokens is read once; a document without tokens in another source is read as often as the budget
+    reaches its place, at least once. A null source is a source of its own. Rows that
     agree in doc_id and text share a place and are read equally often. Other columns are ignored.
     """
     facts = write_table(with_keys(documents.select("doc_id", "text", "source"), seed).drop("text"), "facts")
@@ -150,7 +151,7 @@ def mix_documents(documents: DataFrame, repetition: float | None = 2.0, entropy:
     """``documents`` with every row as often as `mixture` reads it.
 
     How often follows from the row's source and key alone: whole rounds, and one more up to the key where the budget ends. So
-    only a row per source is joined to the texts.
+    only a row per source is joined to the texts. Rows are not dealt to blocks or ordered; block, epoch and slot are `mixture`'s.
     """
     own = ("doc_id", "text", "source")
     keyed = with_keys(pack(documents, *own), seed)
@@ -158,11 +159,15 @@ def mix_documents(documents: DataFrame, repetition: float | None = 2.0, entropy:
     limits = budgets(facts, repetition, entropy).withColumnRenamed("source", "_source")
     placed = offsets(facts).join(limits, F.col("source").eqNullSafe(F.col("_source")))
     rest = F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END")
-    cuts = placed.where(F.col("_start") < rest).groupBy("_source").agg(F.max("_key").alias("_cut"))
+    # rows behind all tokens of a source whose budget is whole rounds: documents without words that begin no last round
+    behind = (F.col("tokens") > 0) & (F.col("_start") >= F.col("tokens")) & (rest == 0)
+    cuts = placed.where((F.col("_start") < rest) | behind).groupBy("_source").agg(
+        F.max(F.when(F.col("_start") < rest, F.col("_key"))).alias("_cut"), F.min(F.when(behind, F.col("_key"))).alias("_tail"))
     table = limits.alias("l").join(cuts.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    table = write_table(table.select("_source", F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 1 END").alias("_full"), "_cut"),
+    table = write_table(table.select("_source", F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 1 END").alias("_full"), "_cut", "_tail"),
                         "cuts")
     rows = keyed.join(table, F.col("source").eqNullSafe(F.col("_source")))
     often = F.col("_full") + F.coalesce((F.col("_key") <= F.col("_cut")).cast("long"), F.lit(0))
+    often = F.greatest(F.lit(1), often - F.coalesce((F.col("_key") >= F.col("_tail")).cast("long"), F.lit(0)))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), often))).transform(
         unpack, documents.columns, *own)

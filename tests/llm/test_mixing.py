@@ -66,3 +66,11 @@ def test_rows_of_the_stage_equal_the_mixture(spark):
     assert mixed.columns == docs.columns and {(r["_key"], r["_n"]) for r in mixed.collect()} == {(9, 10)}
     want = Counter((r["doc_id"], r["source"]) for r in mixture(docs).collect())
     assert Counter((r["doc_id"], r["source"]) for r in mixed.collect()) == want
+
+
+def test_documents_without_words_have_one_rule(spark):
+    data = [(1, "a b c d e f g h", "large"), (2, "a b c d", "small"), *((i, " ", "small") for i in range(10, 40))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = Counter(r["doc_id"] for r in mixture(docs).collect())
+    assert Counter(r["doc_id"] for r in mix_documents(docs).collect()) == want
+    assert want[2] == 2 and {want[i] for i in range(10, 40)} == {1, 2}
