@@ -129,6 +129,9 @@ def mixture(documents: DataFrame, repetition: float | None = 2.0, entropy: float
     Every document is read at least once, and no source is read more than ``repetition`` times as often as another (for a
     target ``entropy`` there is no such limit).
 
+    Tokens are words between ASCII white space, not a tokenizer's tokens: text without word spaces counts for little, and a source of it
+    gets a wrong weight and budget.
+
     Null text has 0 tokens. A source without tokens is read once; a document without tokens in another source is read as often as the budget
     reaches its place, at least once. A null source is a source of its own. Rows that
     agree in doc_id and text share a place and are read equally often. Other columns are ignored.
