@@ -13,6 +13,7 @@ from foldsmith.llm.classifier import quality_scores
 from foldsmith.llm.common import load
 from foldsmith.llm.decontaminate import contamination
 from foldsmith.llm.mixing import mixture
+from foldsmith.llm.periodic_runs import periodic_runs, repeat_words, strongest
 from foldsmith.llm.pseudonyms import pseudonymize
 from foldsmith.llm.quality_rules import quality_verdicts
 from foldsmith.llm.simhash import near_duplicates
@@ -68,6 +69,20 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def run_digests(documents: DataFrame) -> DataFrame:
+    """Per document the number of runs, the strongest one, and digests of the runs and of the text without repeats."""
+    found = periodic_runs(documents).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+                        best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+def periodic_run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(repeat_words(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter,
     "op2_decontamination": decontamination,
@@ -79,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": token_output,
     "op9_warc_bundles": warc_bundles,
     "op10_quality_classifier": quality_classifier,
+    "op12_periodic_runs": periodic_run_digests,
 }
 ORACLES = {"op1_url_filter": sql.URL_FILTER, "op6_quality_rules": sql.QUALITY_RULES, "op7_source_mixing": sql.MIXTURE,
            "op9_warc_bundles": sql.WARC}
