@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foldsmith.llm import sql
 from foldsmith.llm.classifier import quality_scores
 from foldsmith.llm.common import load
+from foldsmith.llm.conversation_repair import damage, digests, repair_conversations
 from foldsmith.llm.decontaminate import contamination
 from foldsmith.llm.mixing import mixture
 from foldsmith.llm.periodic_runs import periodic_runs, repeat_words, strongest
@@ -83,6 +84,22 @@ def periodic_run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(repeat_words(load(spark, sf_dir, "documents")))
 
 
+def repair_digests(conversations: DataFrame) -> DataFrame:
+    """Damage, repair, and a row per original conversation; one that has lost all its rows has zeros and empty results."""
+    found = repair_conversations(damage(conversations))
+    texts = digests(found.rows).withColumnRenamed("conv_id", "_text_of")
+    report = found.report.withColumnRenamed("conv_id", "_found")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return (conversations.select("conv_id").distinct().join(report.hint("merge"), F.col("conv_id").eqNullSafe(F.col("_found")), "left")
+            .join(texts.hint("merge"), F.col("conv_id").eqNullSafe(F.col("_text_of")), "left")
+            .select("conv_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(load(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter,
     "op2_decontamination": decontamination,
@@ -95,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_bundles": warc_bundles,
     "op10_quality_classifier": quality_classifier,
     "op12_periodic_runs": periodic_run_digests,
+    "op13_conversation_repair": conversation_repair,
 }
 ORACLES = {"op1_url_filter": sql.URL_FILTER, "op6_quality_rules": sql.QUALITY_RULES, "op7_source_mixing": sql.MIXTURE,
            "op9_warc_bundles": sql.WARC}
