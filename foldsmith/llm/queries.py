@@ -18,6 +18,7 @@ from foldsmith.llm.periodic_runs import periodic_runs, repeat_words, strongest
 from foldsmith.llm.pseudonyms import pseudonymize
 from foldsmith.llm.quality_rules import quality_verdicts
 from foldsmith.llm.simhash import near_duplicates
+from foldsmith.llm.suffix_dedup import remove_repeats
 from foldsmith.llm.token_counts import count_tokens
 from foldsmith.llm.token_files import token_digests
 from foldsmith.llm.url_filter import judge_urls
@@ -70,6 +71,18 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def suffix_digests(documents: DataFrame) -> DataFrame:
+    """Per document its bytes, the removed ones, their runs, and a digest of the rest."""
+    found = remove_repeats(documents)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["n_bytes"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digests(load(spark, sf_dir, "documents"))
+
+
 def run_digests(documents: DataFrame) -> DataFrame:
     """Per document the number of runs, the strongest one, and digests of the runs and of the text without repeats."""
     found = periodic_runs(documents).withColumn("best", strongest(F.col("runs")))
@@ -111,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": token_output,
     "op9_warc_bundles": warc_bundles,
     "op10_quality_classifier": quality_classifier,
+    "op11_suffix_dedup": suffix_dedup,
     "op12_periodic_runs": periodic_run_digests,
     "op13_conversation_repair": conversation_repair,
 }

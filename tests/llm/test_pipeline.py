@@ -25,7 +25,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 def test_everything_is_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
 
 
