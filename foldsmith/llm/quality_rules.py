@@ -16,14 +16,14 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(set(range(256)) - set(range(65, 91)))
 
-# metric: numerator, denominator, least threshold in thousandths
+# metric: numerator, denominator, and the least the numerator grows by: a repeated window shows in two places, of three words each
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 400),
-    "repeats": ("n_repeat_words", "n_words", 450),
-    "word_length": ("word_chars", "n_words", 6500),
-    "capitals": ("n_upper", "word_chars", 200),
-    "marks": ("n_marks", "n_words", 150),
+    "symbols": ("n_symbols", "n_words", 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 6),
+    "word_length": ("word_chars", "n_words", 1),
+    "capitals": ("n_upper", "word_chars", 1),
+    "marks": ("n_marks", "n_words", 1),
 }
 
 
@@ -96,35 +96,54 @@ def sketches(measured: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "c.metric", "c.bucket").agg(F.count("*").alias("n")))
 
 
-def _fences(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
-    """Upper fence Q3 + spread * (Q3 - Q1) per group and metric, with the group's size; Q3 stands for the whole of its bucket."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, size, low, high, top): quartiles and ninth decile of each group's merged sketch.
+
+    The lower quartile is the floor of its bucket, the others stand for the whole of theirs.
+    """
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
     run = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("size", F.sum("n").over(group))
-    low, high = (F.min(F.when(F.col("upto") * 4 >= F.col("size") * q, F.col("bucket"))) for q in (1, 3))
-    cut = run.groupBy(*keys, "metric").agg(low.alias("low"), high.alias("high"), F.max("size").alias("size"))
-    low, high, top = bucket_floor(F.col("low")), bucket_floor(F.col("high")), bucket_floor(F.col("high") + 1) - 1
-    return cut.select(*keys, "metric", "size", (top + spread * (high - low)).alias("fence"))
+    at = lambda share: F.min(F.when(F.col("upto") * 20 >= F.col("size") * share, F.col("bucket")))
+    cut = run.groupBy(*keys, "metric").agg(F.max("size").alias("size"), at(5).alias("low"), at(15).alias("high"), at(18).alias("top"))
+    last = lambda c: bucket_floor(F.col(c) + 1) - 1
+    return cut.select(*keys, "metric", "size", bucket_floor(F.col("low")).alias("low"), last("high").alias("high"), last("top").alias("top"))
+
+
+QUANTILES = ("low", "high", "top")
 
 
-def thresholds(sketch: DataFrame, spread: int = 3, least_rows: int = 100) -> DataFrame:
-    """(lang, source, and a threshold per metric).
+def _shrunk(weight: int, parent: str) -> dict[str, Column]:
+    """A group's quantiles drawn towards its parent's as if ``weight`` documents of the parent were among its own."""
+    return {q: F.expr(f"(size * {q} + {weight} * {parent}{q}) div (size + {weight})") for q in QUANTILES}
 
-    A group of fewer than ``least_rows`` documents takes its language's merged sketch, and a language of fewer takes
-    the sketch of all. No threshold is below the metric's least value in `METRICS`.
+
+def thresholds(sketch: DataFrame, spread: int = 6, weight: int = 100) -> DataFrame:
+    """(lang, source, and per metric the slopes and offsets of two bounds on a document's thousandfold numerator).
+
+    The quantiles of a language and source are drawn towards their language's, and a language's towards the whole corpus's, by
+    ``weight`` documents. Where the lower quartile is above 0, a value may lie ``spread`` quartile distances above the upper quartile.
+    Where a quarter of the documents has none of what is counted, quartiles say little: the numerator may reach ``spread``
+    times what the ninth decile lets expect, plus ``spread`` events. No bound is above that of the whole corpus, so a group that is
+    largely junk does not set its own.
     """
     sketch = write_table(sketch, "sketch")
-    group = _fences(sketch, ["lang", "source"], spread)
-    lang = _fences(sketch, ["lang"], spread).select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"),
-                                                    F.col("size").alias("l_size"), F.col("fence").alias("l_fence"))
-    whole = _fences(sketch, [], spread).select(F.col("metric").alias("w_metric"), F.col("fence").alias("w_fence"))
-    joined = (group.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
-              .join(whole, F.col("metric") == F.col("w_metric")))
-    fence = (F.when(F.col("size") >= least_rows, F.col("fence")).when(F.col("l_size") >= least_rows, F.col("l_fence"))
-             .otherwise(F.col("w_fence")))
-    wide = joined.select("lang", "source", "metric", fence.alias("fence")).groupBy("lang", "source").agg(
-        *(F.greatest(F.max(F.when(F.col("metric") == m, F.col("fence"))), F.lit(least).cast("long")).alias(f"max_{m}")
-          for m, (_, _, least) in METRICS.items()))
+    named = lambda df, prefix: df.withColumnsRenamed({c: prefix + c for c in df.columns})
+    whole = named(_quantiles(sketch, []).drop("size"), "w_")
+    lang = _quantiles(sketch, ["lang"]).join(whole, F.col("metric") == F.col("w_metric")).withColumns(_shrunk(weight, "w_"))
+    lang = named(lang.drop("size", "w_metric"), "l_")
+    group = (_quantiles(sketch, ["lang", "source"]).join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+             .withColumns(_shrunk(weight, "l_")))
+
+    def bound(prefix: str) -> tuple[Column, Column]:
+        low, high, top = (F.col(prefix + q) for q in QUANTILES)
+        unit = F.create_map(*(F.lit(x) for m, (_, _, u) in METRICS.items() for x in (m, u)))[F.col("metric")]
+        return F.when(low > 0, high + spread * (high - low)).otherwise(spread * top), F.when(low > 0, 0).otherwise(1000 * spread * unit)
+
+    (slope, offset), (most_slope, most_offset) = bound(""), bound("l_w_")
+    bounds = {"slope": slope, "offset": offset, "most_slope": most_slope, "most_offset": most_offset}
+    wide = group.withColumns(bounds).groupBy("lang", "source").agg(
+        *(F.max(F.when(F.col("metric") == m, F.col(b)).cast("long")).alias(f"{b}_{m}") for m in METRICS for b in bounds))
     table = write_table(wide, "thresholds")
     drop_table(sketch)
     return table
@@ -135,27 +154,32 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     within = F.lit(True)
-    for m in METRICS:
-        within &= F.coalesce(metric(m) <= F.col(f"max_{m}"), F.lit(True))
+    for m, (over, under, _) in METRICS.items():
+        least = F.least(*(F.col(f"{kind}slope_{m}") * F.col(under) + F.col(f"{kind}offset_{m}") for kind in ("", "most_")))
+        within &= F.coalesce((F.col(under) == 0) | (1000 * F.col(over) <= least), F.lit(True))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return joined.withColumn("base_failed", base).withColumn("kept", ~base & within).drop(
-        "_lang", "_source", *(f"max_{m}" for m in METRICS))
+        "_lang", "_source", *(c for c in limits.columns if c.partition("slope_")[2] in METRICS or c.partition("offset_")[2] in METRICS))
 
 
-def quality_verdicts(documents: DataFrame, spread: int = 3, least_rows: int = 100) -> DataFrame:
+def quality_verdicts(documents: DataFrame, spread: int = 6, weight: int = 100) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text, lang, source): doc_id, lang, source, the counts, base_failed, kept.
 
     Base rules reject a text of fewer than 50 words or with over half of its words in repeated windows. Others are kept if no
-    metric is above the adaptive threshold of their language and source. Null text counts as empty (rejected as too
+    metric is above the adaptive threshold of their language and source (`thresholds`). Null text counts as empty (rejected as too
     short); null languages and sources are groups of their own; repeated rows are judged alike. Other columns are ignored.
     """
     measured = write_table(measure(documents.select("doc_id", "text", "lang", "source")).drop("text"), "measured")
-    return judge(measured, thresholds(sketches(measured), spread, least_rows))
+    return judge(measured, thresholds(sketches(measured), spread, weight))
 
 
-def keep_good(documents: DataFrame, spread: int = 3, least_rows: int = 100) -> DataFrame:
-    """The rows of ``documents`` that `quality_verdicts` keeps, with all their columns."""
+def keep_good(documents: DataFrame, spread: int = 6, weight: int = 100) -> DataFrame:
+    """The rows of ``documents`` that `quality_verdicts` keeps, with all their columns.
+
+    Null and empty texts go, as too short; null languages and sources are groups of their own; repeated rows are judged alike and all
+    stay or go; rows without doc_id are judged like others. An empty table stays empty.
+    """
     own = ("text", "lang", "source")
     measured = write_table(measure(pack(documents, *own)), "measured")
-    kept = judge(measured, thresholds(sketches(measured), spread, least_rows)).where("kept")
+    kept = judge(measured, thresholds(sketches(measured), spread, weight)).where("kept")
     return unpack(kept, documents.columns, *own)

@@ -53,16 +53,19 @@ FROM p LEFT JOIN ruled USING (url) LEFT JOIN tied ON p.form = tied.form LEFT JOI
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_METRICS = {"symbols": ("n_symbols", "n_words", 150), "dup_lines": ("n_dup_lines", "n_lines", 400), "repeats": ("n_repeat_words", "n_words", 450),
-            "word_length": ("word_chars", "n_words", 6500), "capitals": ("n_upper", "word_chars", 200), "marks": ("n_marks", "n_words", 150)}
+_METRICS = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 6),
+            "word_length": ("word_chars", "n_words", 1), "capitals": ("n_upper", "word_chars", 1), "marks": ("n_marks", "n_words", 1)}
 _CELLS = " UNION ALL ".join(
-    f"SELECT r, lang, source, '{m}' AS metric, {least} AS least, (1000 * {a})::BIGINT // {b} AS v FROM s WHERE {b} > 0"
-    for m, (a, b, least) in _METRICS.items())
-_FENCE = """SELECT {keys} metric, max(size) AS size, max(hi) + CASE WHEN max(hi) < 64 THEN 0 ELSE (1 << (length(bin(max(hi))) - 6)) - 1 END + 3 * (max(hi) - max(lo)) AS fence FROM (
-  SELECT {keys} metric, size, min(low) FILTER (upto * 4 >= size) OVER g AS lo, min(low) FILTER (upto * 4 >= 3 * size) OVER g AS hi FROM (
-    SELECT {keys} metric, low, sum(n) OVER (PARTITION BY {keys} metric ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {keys} metric) AS size
-    FROM (SELECT {keys} metric, low, count(*) AS n FROM sk GROUP BY {keys} metric, low))
-  WINDOW g AS (PARTITION BY {keys} metric)) GROUP BY {keys} metric"""
+    f"SELECT r, lang, source, '{m}' AS metric, {unit} AS unit, {a}::BIGINT AS over_, {b}::BIGINT AS under, (1000 * {a})::BIGINT // {b} AS v FROM s WHERE {b} > 0"
+    for m, (a, b, unit) in _METRICS.items())
+_LAST = "{0} + CASE WHEN {0} < 64 THEN 0 ELSE (1 << (length(bin({0})) - 6)) - 1 END"
+_QUANTILES = f"""SELECT {{keys}} metric, size, low, {_LAST.format('high')} AS high, {_LAST.format('top')} AS top FROM (
+  SELECT {{keys}} metric, max(size)::BIGINT AS size, min(low) FILTER (upto * 20 >= 5 * size) AS low, min(low) FILTER (upto * 20 >= 15 * size) AS high,
+    min(low) FILTER (upto * 20 >= 18 * size) AS top FROM (
+    SELECT {{keys}} metric, low, sum(n) OVER (PARTITION BY {{keys}} metric ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {{keys}} metric) AS size
+    FROM (SELECT {{keys}} metric, low, count(*) AS n FROM sk GROUP BY {{keys}} metric, low)) GROUP BY {{keys}} metric)"""
+_DRAWN = ", ".join("(c.size * c.{0} + 100 * p.{0}) // (c.size + 100) AS {0}".format(q) for q in ("low", "high", "top"))
+_BOUND = "CASE WHEN {0}.low > 0 THEN ({0}.high + 6 * ({0}.high - {0}.low)) * c.under ELSE 6 * ({0}.top * c.under + 1000 * c.unit) END"
 
 QUALITY_RULES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -81,13 +84,12 @@ s AS (SELECT r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, length(re
   FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
 cells AS ({_CELLS}),
 sk AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS low FROM cells),
-g AS ({_FENCE.format(keys='lang, source,')}),
-l AS ({_FENCE.format(keys='lang,')}),
-a AS ({_FENCE.format(keys='')}),
-f AS (SELECT g.lang, g.source, g.metric, CASE WHEN g.size >= 100 THEN g.fence WHEN l.size >= 100 THEN l.fence ELSE a.fence END AS fence
-  FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric JOIN a ON g.metric = a.metric),
-bad AS (SELECT DISTINCT r FROM cells c JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source AND c.metric = f.metric
-  WHERE v > greatest(fence, least))
+a AS ({_QUANTILES.format(keys='')}),
+l AS (SELECT c.lang, c.metric, {_DRAWN} FROM ({_QUANTILES.format(keys='lang,')}) c JOIN a p ON c.metric = p.metric),
+g AS (SELECT c.lang, c.source, c.metric, {_DRAWN} FROM ({_QUANTILES.format(keys='lang, source,')}) c
+  JOIN l p ON c.lang IS NOT DISTINCT FROM p.lang AND c.metric = p.metric),
+bad AS (SELECT DISTINCT r FROM cells c JOIN g ON c.lang IS NOT DISTINCT FROM g.lang AND c.source IS NOT DISTINCT FROM g.source AND c.metric = g.metric
+  JOIN a ON c.metric = a.metric WHERE 1000 * over_ > least({_BOUND.format('g')}, {_BOUND.format('a')}))
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.r IS NULL AS kept

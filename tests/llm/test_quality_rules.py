@@ -52,12 +52,44 @@ def test_kept_rows_keep_their_columns(spark):
     assert kept.count() == quality_verdicts(docs).where("kept").count() > 0
 
 
-def test_thresholds_follow_language_and_source(spark):
-    text = lambda i, n: " ".join(f"w{i:04d}x{k:02d}{'#' if k < n else ''}" for k in range(60))
-    data = [(i, text(i, 30 if i % 2 else 0), "en", "forum" if i % 2 else "news") for i in range(600)]
-    data += [(1000, text(1000, 30), "en", "news"), (1001, text(1001, 30), "en", "forum")]
-    kept = {r["doc_id"]: r["kept"] for r in quality_verdicts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
-    assert not kept[1000] and kept[1001] and all(kept[i] for i in range(600))
+def symbols(i: int, n: int) -> str:
+    return " ".join(f"w{i:04d}x{k:02d}{'#' if k < n else ''}" for k in range(60))
+
+
+def verdicts(spark, data: list[tuple]) -> dict:
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    assert difference(quality_verdicts(docs), connect(documents=docs), sql.QUALITY_RULES) is None
+    return {r["doc_id"]: r["kept"] for r in quality_verdicts(docs).collect()}
+
+
+def test_verdict_of_one_text_differs_by_source(spark):
+    data = [(i, symbols(i, 30 if i % 2 else 0), "en", "forum" if i % 2 else "news") for i in range(4000)]
+    data += [(4000, symbols(1000, 30), "en", "news"), (4001, symbols(1000, 30), "en", "forum")]
+    kept = verdicts(spark, data)
+    assert not kept[4000] and kept[4001] and all(kept[i] for i in range(4000))
+
+
+def test_verdict_of_one_text_differs_by_language(spark):
+    text = lambda size, i: " ".join(f"{i:03d}{k:02d}".ljust(size + (i + k) % 3, "x") for k in range(60))
+    data = [(i, text(12 if i % 2 else 6, i), "de" if i % 2 else "en", "web") for i in range(800)]
+    data += [(1000, text(12, 999), "en", "web"), (1001, text(12, 999), "de", "web")]
+    kept = verdicts(spark, data)
+    assert not kept[1000] and kept[1001] and all(kept[i] for i in range(800))
+
+
+def test_junk_does_not_set_its_own_threshold(spark):
+    """A third of one source is junk; the whole corpus's bound holds there."""
+    data = [(i, symbols(i, 40 if i % 60 == 1 else 0), "en", "bad" if i % 20 == 1 else f"s{i % 20}") for i in range(4000)]
+    kept = verdicts(spark, data)
+    assert all(kept[i] == (i % 60 != 1) for i in range(4000))
+
+
+def test_small_groups_are_drawn_to_their_language(spark):
+    """Five documents of a source are too few to allow what its language does not show."""
+    data = [(i, symbols(i, 30 if i % 5 == 0 else 0), "en" if i % 5 else "xx", "news") for i in range(5000)]
+    data += [(5000 + i, symbols(5000 + i, 30), "en", "tiny") for i in range(5)]
+    kept = verdicts(spark, data)
+    assert all(kept[i] for i in range(5000)) and not any(kept[5000 + i] for i in range(5))
 
 
 def test_labelled_documents(spark, sf_dir):
