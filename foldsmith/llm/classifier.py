@@ -119,10 +119,13 @@ def held_out(doc_id: str) -> Column:
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and label of at most ``max_rows`` labelled documents, those with the least hash of doc_id; held-out ids are left out."""
+    """Statistics and label of at most ``max_rows`` labelled ids, those of the least hash; held-out ids are left out.
+
+    An id that several rows share gives one row, its least statistics, so no more than ``max_rows`` rows reach the driver.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = stats.join(F.broadcast(drawn), "doc_id").select("doc_id", "stats", "quality").toArrow()
+    rows = stats.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"), F.max("quality").alias("quality")).toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     x = np.array(rows["stats"].to_pylist(), float).reshape(-1, len(FEATURES))
     return x[order], rows["quality"].to_numpy().astype(float)[order]

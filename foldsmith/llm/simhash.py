@@ -8,8 +8,9 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foldsmith.llm.common import drop_table, map_batches, pack, slices, unpack, words, write_table
 from foldsmith.llm.graph import connected_components
@@ -114,6 +115,18 @@ def near_links(marks: DataFrame, max_bits: int = 2, segments: int = 16, cell_lim
     return links
 
 
+def _classes(documents: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint; a component's root is a fingerprint."""
+    marks = write_table(fingerprints(documents, shingle), "marks")
+    points = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
+    tied = connected_components(near_links(points, max_bits))
+    tied = write_table(tied.join(points, tied["node"] == points["fp"]).select("fp", "component", "first_id"), "tied")
+    least = write_table(tied.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    tied = tied.join(least, "component").select("fp", "component", "component_id")
+    return marks, write_table(points.join(tied, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")),
+                              "classes")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``documents``: the least doc_id reachable over links of ``max_bits`` or fewer bits.
 
@@ -122,26 +135,41 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, max_bits: int = 2) -
     come back as often as they came in. A row without doc_id takes part and gets its component's least id, null if
     no member has one. Other columns are ignored.
     """
-    marks = write_table(fingerprints(documents, shingle), "marks")
-    points = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
-    tied = connected_components(near_links(points, max_bits))
-    tied = write_table(tied.join(points, tied["node"] == points["fp"]).select("fp", "component", "first_id"), "tied")
-    least = write_table(tied.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
-    tied = tied.join(least, "component").select("fp", "component_id")
-    classes = write_table(points.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")),
-                          "classes")
+    marks, classes = _classes(documents, shingle, max_bits)
     return marks.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _with_fingerprint(packed: DataFrame, shingle: int) -> DataFrame:
+    at = packed.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            marks = np.array([fingerprint(t.as_py(), shingle) for t in part.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks.view(np.int64))], names=[*part.schema.names, "_fp"])
+
+    return packed.transform(map_batches, run, StructType([*packed.schema, StructField("_fp", LongType())]))
+
+
 def keep_one(documents: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``documents`` with one row left of each component: the one with the least doc_id.
+    """The rows of ``documents`` with one row left of each component: one with the least doc_id.
 
-    Rows that share doc_id and text count as one. A row without doc_id stays, as no id can stand for it.
+    Of the component's rows with that id, one of the least fingerprint and then of the least text hash stays. Ids may repeat, with
+    equal or other texts: rows are told apart by their fingerprints, and a repeated row is reduced by a map-side combined
+    aggregate. Null and empty texts are one component. A row without doc_id stays, as no id can stand for it. An empty table
+    stays empty.
     """
-    found = near_duplicates(documents, shingle, max_bits)
-    stay = write_table(found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct(), "stay")
+    marks, classes = _classes(documents, shingle, max_bits)
+    least = marks.join(classes.hint("merge"), "fp").where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("one"))
+    stay = write_table(least.select(F.col("one.doc_id").alias("_id"), F.col("one.fp").alias("_mark")), "stay")
+    often = marks.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    often = write_table(often.select(F.col("doc_id").alias("_often")), "often")
     packed = pack(documents, "doc_id", "text")
-    rows = packed.join(stay, packed["doc_id"] == stay["stays"], "left_semi").withColumn("_h", F.xxhash64("text"))
-    once = Window.partitionBy("doc_id", "_h").orderBy(F.lit(1))
-    first = rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth", "_h")
-    return unpack(first.unionByName(packed.where("doc_id IS NULL")), documents.columns, "doc_id", "text")
+    alone = stay.join(often.hint("merge"), F.col("_id") == F.col("_often"), "left_anti")
+    kept = packed.join(alone.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").unionByName(packed.where("doc_id IS NULL"))
+    if often.limit(1).count():
+        several = stay.join(often.hint("merge"), F.col("_id") == F.col("_often"), "left_semi")
+        rows = packed.join(several.select("_id").distinct().hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").transform(_with_fingerprint, shingle)
+        rows = rows.join(several.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_mark")), "left_semi")
+        one = rows.groupBy("doc_id", "_fp").agg(F.min_by(F.struct("text", "_row"), F.xxhash64("text")).alias("one"))
+        kept = kept.unionByName(one.select("doc_id", "one.text", "one._row"))
+    return unpack(kept, documents.columns, "doc_id", "text")

@@ -8,7 +8,7 @@ import xxhash
 
 from foldsmith.llm import simhash
 from foldsmith.llm.simhash import fingerprint, keep_one, near_duplicates, near_links
-from tests.llm.tables import frame, rows
+from tests.llm.tables import frame, rows, sentence
 
 
 def naive(text: str | None, n: int = 3) -> int:
@@ -96,6 +96,28 @@ def test_one_of_each_group_stays(spark):
     assert keep_one(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """A row counts by its id and text: each component keeps one row, also where ids repeat or two components share their least id."""
+    rng = random.Random(6)
+    a, b, c = (sentence(rng, 90) for _ in range(3))
+    near = a.replace("a", "A")  # same words in lower case, so the same fingerprint
+    data = [(0, b), (1, a), (1, b), (2, b), (3, c), (3, c), (4, near), (5, a), (5, c), (7, ""), (7, None), (7, " ")]
+    docs = spark.createDataFrame([(i, t, "x", f"{i}") for i, t in data], "doc_id long, text string, fp string, one string")
+    left = keep_one(docs)
+    assert left.columns == docs.columns
+    found = sorted(((r["doc_id"], (r["text"] or "").strip()) for r in left.collect()), key=str)
+    assert found == sorted([(0, b), (1, a), (3, c), (7, "")], key=str)
+    shared = spark.createDataFrame([(5, a), (5, b), (6, a), (6, b), (6, b)], "doc_id long, text string")
+    assert sorted(map(tuple, keep_one(shared).collect())) == sorted([(5, a), (5, b)])
+
+
+def test_one_repeated_row_holds_a_third(spark):
+    rng = random.Random(3)
+    hot, others = sentence(rng, 70), [sentence(rng, 70) for _ in range(40)]
+    docs = spark.createDataFrame([(9, hot)] * 200 + [(100 + i, t) for i, t in enumerate(others)], "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in keep_one(docs.repartition(8)).collect()) == Counter([9, *(100 + i for i in range(40))])
+
+
 def test_odd_distances_are_refused(spark):
     with pytest.raises(ValueError):
         near_links(spark.createDataFrame([(1,)], "fp long"), 1)
