@@ -11,15 +11,15 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.functions.scalar import bounded, nan_to_null
-from foldsmith.operators.lookup import attach
+from foldsmith.models.boosting import boost
+from foldsmith.models.parallel import side_by_side
 from foldsmith.operators.metrics import auc, fold_mean_predictions, rmsle
 from foldsmith.operators.sets import adversarial_frame
 from foldsmith.operators.folds import kfold
@@ -29,8 +29,9 @@ from foldsmith.storage import materialize
 PARAM_NAMES = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
                "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
                "min_child_weight": "minInstancesPerNode", "max_bin": "maxBins", "random_state": "seed"}
-# a text column with more values than this is taken by its frequencies; the trees' own default for maxBins
-LABELS = 32
+# levels of a category that are told apart; the others are one level
+LEVELS = 254
+MISSING, OTHER = "(missing)", "(other)"
 
 FoldHook = Callable[[DataFrame, DataFrame, DataFrame, int], tuple[DataFrame, DataFrame, DataFrame]]
 
@@ -56,43 +57,64 @@ class Inputs:
     """How columns become one vector, fitted on training rows."""
 
     features: list[str]
-    labels: dict[str, list[str]]
-    frequencies: dict[str, DataFrame]
+    levels: dict[str, list[str]]
     missing: dict[str, float]
 
+    @property
+    def max_bins(self) -> int:
+        """Bins that the trees need at least: one for each level of the widest category."""
+        return max([32, *(len(v) + 2 for v in self.levels.values())])
 
-def assembler(df: DataFrame, features: Sequence[str]) -> Inputs:
-    """Fit the inputs: text of few values is numbered, text of many is taken by frequency, and a missing
-    number becomes one less than the column's least value."""
+
+def frequent_levels(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """The ``limit`` most frequent values of each column as text, equal counts by value.
+
+    One pass counts the values of all columns, map-side combined; at most ``limit`` of a column reach the driver.
+    """
+    if not columns:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)]))
+    counts = materialize(df.select(pairs.alias("p")).where("p.v IS NOT NULL").groupBy("p.c", "p.v").agg(F.count(F.lit(1)).alias("n")))
+    return {c: [r[0] for r in counts.where(F.col("c") == i).orderBy(F.desc("n"), "v").limit(limit).select("v").collect()]
+            for i, c in enumerate(columns)}
+
+
+def assembler(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = (), max_levels: int = LEVELS) -> Inputs:
+    """Fit the inputs: text and the columns named in ``categorical`` are categories, a missing number becomes one less than the
+    column's least value.
+
+    A category's levels are its ``max_levels`` most frequent values; rarer ones and those not seen in training are one
+    level, missing ones another.
+    """
     types = dict(df.select(*features).dtypes)
-    labels, frequencies = {}, {}
-    for c in (c for c in features if types[c] == "string"):
-        few = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(LABELS + 1).collect()]
-        if len(few) < LABELS:
-            labels[c] = sorted(few)
-        else:
-            frequencies[c] = materialize(df.groupBy(F.col(c).alias(f"__key_of_{c}")).agg(F.count(F.lit(1)).cast("double").alias(f"__in_{c}")))
-    numeric = [c for c in features if types[c] != "string"]
+    nominal = [c for c in features if types[c] in ("string", "boolean") or c in categorical]
+    numeric = [c for c in features if c not in nominal]
     least = df.agg(*[F.min(nan_to_null(F.col(c).cast("double"))).alias(c) for c in numeric]).first() if numeric else {}
-    return Inputs(list(features), labels, frequencies, {c: -1.0 if least[c] is None else least[c] - 1.0 for c in numeric})
+    return Inputs(list(features), frequent_levels(df, nominal, max_levels), {c: -1.0 if least[c] is None else least[c] - 1.0 for c in numeric})
+
+
+def _coded(column: Column, levels: Sequence[str]) -> Column:
+    text = column.cast("string")
+    known = F.create_map(*[F.lit(x) for i, v in enumerate(levels) for x in (v, float(i + 2))])[text] if levels else F.lit(None).cast("double")
+    return F.when(text.isNull(), 0.0).otherwise(F.coalesce(known, F.lit(1.0)))
 
 
 def vectorised(df: DataFrame, stage: Inputs, keep: Sequence[str]) -> DataFrame:
-    """The kept columns and the vector; a text value not seen in training has code or frequency 0."""
+    """The kept columns and the vector; the vector's metadata says which of its places are categories, so trees part their
+    levels in any two sets and not by the order of their numbers."""
     kept = [c for c in keep if c in df.columns]
-    rows = df.select(*kept, *[F.col(c).alias(f"__raw_{c}") for c in stage.features])
-    for c, table in stage.frequencies.items():
-        rows = attach(rows.withColumnRenamed(f"__raw_{c}", f"__key_of_{c}"), table, [f"__key_of_{c}"], [f"__in_{c}"])
-    inputs = {}
-    for c, few in stage.labels.items():
-        codes = F.create_map(*[F.lit(x) for i, v in enumerate(few) for x in (v, float(i + 1))]) if few else None
-        inputs[f"__in_{c}"] = F.lit(0.0) if codes is None else F.coalesce(codes[F.col(f"__raw_{c}")], F.lit(0.0))
-    for c, missing in stage.missing.items():
-        inputs[f"__in_{c}"] = F.coalesce(nan_to_null(F.col(f"__raw_{c}").cast("double")), F.lit(missing))
-    for c in stage.frequencies:
-        inputs[f"__in_{c}"] = F.coalesce(F.col(f"__in_{c}"), F.lit(0.0))
+    inputs = []
+    for c in stage.features:
+        if c in stage.levels:
+            values = [MISSING, OTHER, *stage.levels[c]]
+            values = [f"{v}" if v not in values[:i] else f"{v} (value)" for i, v in enumerate(values)]
+            about = {"ml_attr": {"type": "nominal", "name": f"__in_{c}", "vals": values}}
+            inputs.append(_coded(F.col(f"__raw_{c}"), stage.levels[c]).alias(f"__in_{c}", metadata=about))
+        else:
+            inputs.append(F.coalesce(nan_to_null(F.col(f"__raw_{c}").cast("double")), F.lit(stage.missing[c])).alias(f"__in_{c}"))
+    rows = df.select(*kept, *[F.col(c).alias(f"__raw_{c}") for c in stage.features]).select(*kept, *inputs)
     vector = VectorAssembler(inputCols=[f"__in_{c}" for c in stage.features], outputCol="features")
-    return vector.transform(rows.withColumns(inputs)).select(*kept, "features")
+    return vector.transform(rows).select(*kept, "features")
 
 
 @contextmanager
@@ -117,16 +139,29 @@ class CVTrainer:
                  early_stop: bool = False, early_stop_tol: float = 0.0, early_stop_rounds: int | None = None,
                  eval_metric: Callable[[Column, Column], Column] | None = None, n_splits: int = 5, fold_col: str = "fold",
                  weight_col: str | None = None, outlier_ids: DataFrame | None = None,
-                 fn_modify_fold_data: FoldHook | None = None):
+                 fn_modify_fold_data: FoldHook | None = None, categorical: Sequence[str] = (), folds_at_once: int = 4,
+                 chunk: int = 10):
         self.params, self.scoring_fn = spark_params(params), scoring_fn
         self.log, self.clip, self.n_splits, self.fold_col = log_transform_targets, clip_preds, n_splits, fold_col
         self.early_stop, self.tol, self.rounds = early_stop, early_stop_tol, early_stop_rounds
         self.eval_metric = eval_metric or scoring_fn
+        self.categorical, self.folds_at_once, self.chunk = list(categorical), folds_at_once, chunk
         self.curves: list[list[float]] = []
+        self.fitted: list[int] = []
         self.weight_col, self.outlier_ids, self.hook = weight_col, outlier_ids, fn_modify_fold_data
 
-    def _learner(self, validate: bool, **override) -> GBTRegressor:
-        options = {**self.params, **override}
+    @property
+    def stops_early(self) -> bool:
+        return bool(self.early_stop or self.rounds)
+
+    def _inputs(self, df: DataFrame, features: Sequence[str]) -> Inputs:
+        return assembler(df, features, self.categorical)
+
+    def _options(self, stage: Inputs) -> dict[str, object]:
+        return {**self.params, "maxBins": max(int(self.params.get("maxBins", 32)), stage.max_bins)}
+
+    def _learner(self, stage: Inputs, validate: bool, **override) -> GBTRegressor:
+        options = {**self._options(stage), **override}
         if self.weight_col:
             options["weightCol"] = self.weight_col
         if validate:
@@ -145,47 +180,33 @@ class CVTrainer:
             return df
         return df.join(self.outlier_ids.select("id"), "id", "left_anti")
 
-    def _fit(self, fit: DataFrame, val: DataFrame):
-        """One fold's model.  With ``early_stop_rounds`` it is cut to the iterations up to the best one on the validation
-        rows, by ``eval_metric`` (default: the run's score) and before so many iterations without a gain."""
+    def _fit(self, stage: Inputs, fit: DataFrame, val: DataFrame) -> tuple:
+        """One fold's (model, error curve, number of trees fitted).
+
+        With ``early_stop_rounds`` trees are added in chunks until so many iterations bring no lower error of the validation rows by
+        ``eval_metric`` (default: the run's score), and the model ends at the best one.
+        """
         if self.rounds:
-            model = self._learner(False).fit(fit)
-            curve = self.curve(model, val)
-            self.curves.append(curve)
-            return first_trees(model, best_iteration(curve, self.rounds))
+            found = boost(fit, val, self._options(stage), self.rounds, lambda total: self.eval_metric(F.col("y"), self._prediction(F.col(total))),
+                          self.weight_col, self.chunk)
+            return found.model, found.curve, found.fitted
         if not self.early_stop:
-            return self._learner(False).fit(fit)
-        rows = fit.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)))
-        return self._learner(True).fit(rows)
-
-    def curve(self, model: GBTRegressionModel, val: DataFrame, batch: int = 25) -> list[float]:
-        """Validation error after every iteration; the trees of a batch are summed side by side in one pass."""
-        trees, weights, out = model.trees, list(model.treeWeights), []
-        rows = val.select("y", "features").withColumn("__sum", F.lit(0.0)).persist()
-        for start in range(0, len(trees), batch):
-            names = []
-            scored = rows
-            for i in range(start, min(start + batch, len(trees))):
-                tree = trees[i].copy()
-                tree.setFeaturesCol("features").setPredictionCol(f"__t{i}")
-                before = names[-1] if names else "__sum"
-                scored = tree.transform(scored).withColumn(f"__s{i}", F.col(before) + F.lit(float(weights[i])) * F.col(f"__t{i}"))
-                names.append(f"__s{i}")
-            found = scored.agg(*[self.eval_metric(F.col("y"), self._prediction(F.col(n))).alias(n) for n in names]).first()
-            out += [float(v) for v in found]
-            following = scored.select("y", "features", F.col(names[-1]).alias("__sum")).persist()
-            following.count()
-            rows.unpersist()
-            rows = following
-        rows.unpersist()
-        return out
+            model = self._learner(stage, False).fit(fit)
+        else:
+            rows = fit.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)))
+            model = self._learner(stage, True).fit(rows)
+        return model, [], model.getNumTrees
 
     def train_and_score(self, train: DataFrame, target: str, features: Sequence[str],
                         test: DataFrame | None = None) -> RunResult:
-        """Out-of-fold predictions of train, mean test predictions, and the overall score."""
-        self.curves = []
+        """Out-of-fold predictions of train, mean test predictions, and the overall score.
+
+        Folds are fitted side by side. ``curves`` and ``fitted`` then hold each fold's validation errors (with
+        ``early_stop_rounds``) and number of trees.
+        """
         run = self._shared_frame if self.hook is None else self._frame_per_fold
-        oof, test_out, models = run(train, target, list(features), test)
+        oof, test_out, fits = run(train, target, list(features), test)
+        models, self.curves, self.fitted = ([f[i] for f in fits] for i in range(3))
         score = oof.agg(self.scoring_fn(F.col("y"), F.col("pred"))).first()[0]
         return RunResult(score, [m.getNumTrees for m in models], oof, test_out, models)
 
@@ -193,17 +214,16 @@ class CVTrainer:
         return ["id", "y", "__label", self.fold_col, *([self.weight_col] if self.weight_col else []), *extra]
 
     def _shared_frame(self, train, target, features, test):
-        stage = assembler(train, features)
-        scored, models = [], []
+        stage = self._inputs(train, features)
         rows = vectorised(self._label(train.withColumn("y", F.col(target).cast("double")), target), stage, self._columns())
         with cached(rows) as (data,):
-            for k in range(self.n_splits):
-                fold = F.col(self.fold_col) == k
-                val = data.filter(fold)
-                models.append(self._fit(self._fit_rows(data.filter(~fold)), val))
-                scored.append(models[-1].transform(val).select("id", "y", self._prediction(F.col("__raw")).alias("pred")))
+            held_out = [data.filter(F.col(self.fold_col) == k) for k in range(self.n_splits)]
+            jobs = [lambda k=k: self._fit(stage, self._fit_rows(data.filter(F.col(self.fold_col) != k)), held_out[k]) for k in range(self.n_splits)]
+            fits = side_by_side(train.sparkSession, jobs, self.folds_at_once, "fold")
+            scored = [model.transform(val).select("id", "y", self._prediction(F.col("__raw")).alias("pred"))
+                      for (model, *_), val in zip(fits, held_out)]
             oof = materialize(reduce(DataFrame.unionByName, scored))
-        return oof, None if test is None else self._mean_over_models(test, stage, models), models
+        return oof, None if test is None else self._mean_over_models(test, stage, [f[0] for f in fits]), fits
 
     def _mean_over_models(self, test, stage, models) -> DataFrame:
         """All models score a row side by side, so the mean over folds needs no shuffle."""
@@ -214,63 +234,47 @@ class CVTrainer:
         return rows.select("id", (total / F.lit(float(len(models)))).alias("pred"))
 
     def _frame_per_fold(self, train, target, features, test):
-        scored, tests, models = [], [], []
         train = train.withColumn("y", F.col(target).cast("double"))
-        for k in range(self.n_splits):
+
+        def prepared(k):  # hooks are the caller's code and run one after the other
             fold = F.col(self.fold_col) == k
-            parts = self.hook(train.filter(~fold), train.filter(fold), test, k)
-            stage = assembler(parts[0], features)
+            return self.hook(train.filter(~fold), train.filter(fold), test, k)
+
+        def run(parts):
+            stage = self._inputs(parts[0], features)
             fit, val = (vectorised(self._label(p, target), stage, self._columns()) for p in parts[:2])
             with cached(self._fit_rows(fit), val) as (fit, val):
-                models.append(self._fit(fit, val))
-                scored.append(materialize(models[-1].transform(val).select(
-                    "id", "y", self._prediction(F.col("__raw")).alias("pred"))))
-            if test is not None:
-                tests.append(models[-1].transform(vectorised(parts[2], stage, ["id"])).select(
-                    "id", self._prediction(F.col("__raw")).alias("pred")))
-        oof = reduce(DataFrame.unionByName, scored)
-        return oof, fold_mean_predictions(reduce(DataFrame.unionByName, tests)) if tests else None, models
+                found = self._fit(stage, fit, val)
+                scored = materialize(found[0].transform(val).select("id", "y", self._prediction(F.col("__raw")).alias("pred")))
+            tested = None if test is None else found[0].transform(vectorised(parts[2], stage, ["id"])).select(
+                "id", self._prediction(F.col("__raw")).alias("pred"))
+            return found, scored, tested
+
+        every = [prepared(k) for k in range(self.n_splits)]
+        runs = side_by_side(train.sparkSession, [lambda p=p: run(p) for p in every], self.folds_at_once, "fold")
+        oof = reduce(DataFrame.unionByName, [r[1] for r in runs])
+        tests = [r[2] for r in runs if r[2] is not None]
+        return oof, fold_mean_predictions(reduce(DataFrame.unionByName, tests)) if tests else None, [r[0] for r in runs]
 
     def train_on_full(self, train: DataFrame, target: str, features: Sequence[str], test: DataFrame,
                       best_iterations: Sequence[int] | None = None, factor: float = 1.2) -> DataFrame:
         """Refit on all rows with ``factor`` times the mean best iteration, and predict test."""
-        stage = assembler(train, features)
+        stage = self._inputs(train, features)
         rows = vectorised(self._label(train, target), stage, self._columns())
         trees = {} if not best_iterations else {"maxIter": max(1, int(sum(best_iterations) / len(best_iterations) * factor))}
         with cached(self._fit_rows(rows)) as (data,):
-            model = self._learner(False, **trees).fit(data)
+            model = self._learner(stage, False, **trees).fit(data)
+        self.refit_trees = model.getNumTrees
         return model.transform(vectorised(test, stage, ["id"])).select(
             "id", self._prediction(F.col("__raw")).alias("pred"))
 
 
-def best_iteration(curve: Sequence[float], rounds: int) -> int:
-    """1-based iteration with the lowest error before ``rounds`` iterations without improvement."""
-    best = 0
-    for i, error in enumerate(curve):
-        if error < curve[best]:
-            best = i
-        elif i - best >= rounds:
-            break
-    return best + 1
-
-
-def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The model after its first ``n`` iterations."""
-    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
-    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for i in range(n):
-        trees[i], weights[i] = java.trees()[i], float(java.treeWeights()[i])
-    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
-    return GBTRegressionModel(cut).setFeaturesCol("features").setPredictionCol("__raw")
-
-
 def early_stopping(trainer: CVTrainer, train: DataFrame, target: str, features: Sequence[str],
-                   rounds: int) -> list[tuple[int, int, float]]:
-    """(fold, best iteration, validation error) of a run that stops after ``rounds`` iterations without a gain."""
+                   rounds: int) -> list[tuple[int, int, int, float]]:
+    """(fold, best iteration, trees fitted, validation error) of a run that stops after ``rounds`` iterations without a gain."""
     trainer.rounds = rounds
     run = trainer.train_and_score(train, target, features)
-    return [(k, n, trainer.curves[k][n - 1]) for k, n in enumerate(run.best_iterations)]
+    return [(k, n, trainer.fitted[k], trainer.curves[k][n - 1]) for k, n in enumerate(run.best_iterations)]
 
 
 def with_folded_features(folded: DataFrame, columns: Sequence[str]) -> FoldHook:
@@ -363,14 +367,14 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
                            n_splits: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classifier of train against test rows: (auc, importances, out-of-fold scores)."""
     rows = kfold(adversarial_frame(train.select("id", *features), test.select("id", *features)), n_splits, seed)
-    stage = assembler(rows, features)
-    parts, models = [], []
+    stage, options = assembler(rows, features), spark_params(params)
+    options["maxBins"] = max(int(options.get("maxBins", 32)), stage.max_bins)
     with cached(vectorised(rows, stage, ["id", "label", "fold"])) as (data,):
-        for k in range(n_splits):
-            fold = F.col("fold") == k
-            learner = GBTClassifier(featuresCol="features", labelCol="label", **spark_params(params))
-            models.append(learner.fit(data.filter(~fold)))
-            parts.append(models[-1].transform(data.filter(fold)).select(
-                "id", "label", vector_to_array("probability")[1].alias("score")))
+        def fitted(k):
+            return GBTClassifier(featuresCol="features", labelCol="label", **options).fit(data.filter(F.col("fold") != k))
+
+        models = side_by_side(rows.sparkSession, [lambda k=k: fitted(k) for k in range(n_splits)], 4, "fold")
+        parts = [model.transform(data.filter(F.col("fold") == k)).select("id", "label", vector_to_array("probability")[1].alias("score"))
+                 for k, model in enumerate(models)]
         oof = materialize(reduce(DataFrame.unionByName, parts))
     return auc(oof, "label", "score"), feature_importances(models, features, rows.sparkSession), oof

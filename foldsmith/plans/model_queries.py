@@ -51,18 +51,144 @@ def cv_regress_gbt(spark, sf):
     return _facts(_trainer().train_and_score(train(spark, sf), "y", FEATURES, test(spark, sf)))
 
 
-@query("early_stopping", sql("SELECT CAST(unnest(range(5)) AS INTEGER) AS fold, TRUE AS stops_at_the_best, TRUE AS oof_is_of_the_best"))
+# Trees on one feature of few values, deep enough to part them all, predict group means: those SQL can tell.
+PARTED = {"n_estimators": 1, "max_depth": 6}
+_BY_LINE = """k AS (SELECT r.fit, {keys}, sum({w} * ln(1 + y)) / sum({w}) AS m FROM train t,
+  (SELECT CAST(unnest(range(-1, 5)) AS INTEGER) AS fit) r WHERE t.fold <> r.fit GROUP BY r.fit, {keys})"""
+_OUT_OF_FOLD = "SELECT t.id, 'oof' AS split, round(exp(k.m) - 1, 2) AS pred FROM train t JOIN k ON k.fit = t.fold AND {same}"
+_MEAN_OF_FOLDS = "SELECT t.id, 'test' AS split, round(avg(exp(k.m) - 1), 2) AS pred FROM test t JOIN k ON k.fit >= 0 AND {same} GROUP BY t.id"
+
+
+def _values(run):
+    rows = run.oof.select("id", F.lit("oof").alias("split"), F.round("pred", 2).alias("pred"))
+    return rows if run.test is None else rows.unionByName(run.test.select("id", F.lit("test").alias("split"), F.round("pred", 2).alias("pred")))
+
+
+def _line_sql(same="k.line = t.line", keys="line", w="1", split=True):
+    body = _OUT_OF_FOLD.format(same=same) + (" UNION ALL " + _MEAN_OF_FOLDS.format(same=same) if split else "")
+    return sql(body, _BY_LINE.format(keys=keys, w=w))
+
+
+def _parted(**options):
+    return trainers.CVTrainer(PARTED, n_splits=5, clip_preds=(1.0, None), **options)
+
+
+@query("cv_regress_gbt_values", _line_sql())
+def cv_regress_gbt_values(spark, sf):
+    """Out-of-fold rows, and test rows as the mean over the folds' models, on a feature of seven values."""
+    return _values(_parted().train_and_score(train(spark, sf), "y", ["line"], test(spark, sf)))
+
+
+@query("weighted_fit_values", _line_sql(w="(CASE WHEN t.status = 'O' THEN 2 ELSE 1 END)", split=False))
+def weighted_fit_values(spark, sf):
+    tr = sample_weight(train(spark, sf), "status", {"O": 2})
+    return _values(_parted(weight_col="sample_weight").train_and_score(tr, "y", ["line"]))
+
+
+@query("cv_by_segment_values", _line_sql("k.line = t.line AND k.status = t.status", "line, status"))
+def cv_by_segment_values(spark, sf):
+    return _values(trainers.cv_by_segment(_parted(), train(spark, sf), "y", ["line"], "status", test=test(spark, sf)))
+
+
+@query("refit_full_values", sql("SELECT t.id, round(exp(k.m) - 1, 2) AS pred FROM test t JOIN k ON k.fit = -1 AND k.line = t.line",
+                                _BY_LINE.format(keys="line", w="1")))
+def refit_full_values(spark, sf):
+    return _parted().train_on_full(train(spark, sf), "y", ["line"], test(spark, sf)).select("id", F.round("pred", 2).alias("pred"))
+
+
+# letters whose order says nothing of the target, and a target that two sets of them tell apart
+LETTERS = {1: "q", 2: "c", 3: "x", 4: "a", 5: "m", 6: "h", 7: "t"}
+HIGH = ("c", "a", "t")
+
+
+def _lettered(df):
+    letter = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])[F.col("line")]
+    return df.withColumn("letter", letter).withColumn("z", F.when(F.col("letter").isin(*HIGH), 1000.0).otherwise(10.0) + F.col("qty"))
+
+
+_CASE = "CASE line " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LETTERS.items()) + " END"
+_SIDES = f"lettered AS (SELECT id, fold, qty, {_CASE} IN {HIGH} AS high FROM {{0}})"
+
+
+@query("nominal_category", sql(
+    """SELECT t.id, round(avg(CASE WHEN o.high THEN 1000.0::DOUBLE ELSE 10.0::DOUBLE END + o.m / o.n), 6) AS pred FROM lettered t
+ JOIN (SELECT r.fold, l.high, sum(l.qty)::DOUBLE AS m, count(*) AS n FROM lettered l, (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold) r
+   WHERE l.fold <> r.fold GROUP BY r.fold, l.high) o ON o.fold = t.fold AND o.high = t.high GROUP BY t.id""", _SIDES.format("train")))
+def nominal_category(spark, sf):
+    """One split of an unordered category: depth 1 parts any two sets of levels, so each side's mean comes out."""
+    trainer = trainers.CVTrainer({"n_estimators": 1, "max_depth": 1}, metrics.rmse, log_transform_targets=False, n_splits=5)
+    return trainer.train_and_score(_lettered(train(spark, sf)), "z", ["letter"]).oof.select("id", F.round("pred", 6).alias("pred"))
+
+
+# Boosted stumps on one feature of fifty values, in SQL: the state of a fold is a prediction per value, and an iteration takes the
+# cut of greatest gain. Steps of 1.8 times the residual overshoot, so that the error of held-out rows turns up again.
+STUMPS = {"n_estimators": 40, "max_depth": 1, "learning_rate": 0.9, "max_bin": 64}
+ROUNDS, CHUNK, SHOWN = 3, 4, 16
+_CELLS = [
+    "fits AS (SELECT r.fold, qty, count(*) AS n, sum(ln(1 + y)) AS s FROM train t, (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold) r "
+    "WHERE t.fold <> r.fold GROUP BY r.fold, qty)",
+    "held AS (SELECT fold, qty, count(*) AS n, sum(ln(1 + y)) AS s, sum(pow(ln(1 + y), 2)) AS q FROM train GROUP BY fold, qty)",
+    "p0 AS (SELECT fold, qty, n, s, 0.0::DOUBLE AS p FROM fits)"]
+
+
+def _stump_sql(i):
+    """Iteration ``i``: sums of the residuals per value, the best cut, and the mean residual on either side."""
+    scale, step = (1.0, 1.0) if i == 1 else (2.0, STUMPS["learning_rate"])
+    run = "OVER (PARTITION BY fold ORDER BY qty)"
+    return [f"c{i} AS (SELECT fold, qty, sum(g) {run} AS gl, sum(n) {run} AS nl, sum(g) OVER (PARTITION BY fold) AS ga, sum(n) OVER (PARTITION BY fold) AS na "
+            f"FROM (SELECT fold, qty, n, {scale}::DOUBLE * (s - n * p) AS g FROM p{i - 1}))",
+            f"b{i} AS (SELECT fold, arg_max(qty, gain) AS cut, arg_max(gl / nl, gain) AS lo, arg_max((ga - gl) / (na - nl), gain) AS hi FROM "
+            f"(SELECT *, gl * gl / nl + (ga - gl) * (ga - gl) / (na - nl) AS gain FROM c{i} WHERE nl < na) GROUP BY fold)",
+            f"p{i} AS (SELECT p.fold, p.qty, p.n, p.s, p.p + {step}::DOUBLE * CASE WHEN p.qty <= b.cut THEN b.lo ELSE b.hi END AS p FROM p{i - 1} p JOIN b{i} b USING (fold))"]
+
+
+_ERRORS = " UNION ALL ".join(
+    f"SELECT fold, {i} AS iteration, sqrt(sum(h.q - 2 * p.p * h.s + p.p * p.p * h.n) / sum(h.n)) AS error FROM held h JOIN p{i} p USING (fold, qty) GROUP BY fold"
+    for i in range(1, SHOWN + 1))
+_PATIENCE = [
+    f"errors AS ({_ERRORS})",
+    "best AS (SELECT fold, iteration, error, error < coalesce(min(error) OVER (PARTITION BY fold ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND 1 PRECEDING), 1e9) AS gains FROM errors)",
+    "since AS (SELECT *, iteration - max(CASE WHEN gains THEN iteration END) OVER (PARTITION BY fold ORDER BY iteration) AS waited FROM best)",
+    f"ends AS (SELECT fold, coalesce(min(iteration) FILTER (waited >= {ROUNDS}), {SHOWN}) AS last FROM since GROUP BY fold)"]
+_STOP_SQL = f"""SELECT s.fold, CAST(max(s.iteration) FILTER (s.gains) AS INTEGER) AS best_iteration, CAST(ceil(max(e.last) / {CHUNK}.0) * {CHUNK} AS INTEGER) AS trees_fitted,
+  round(min(s.error), 9) AS error FROM since s JOIN ends e ON e.fold = s.fold AND s.iteration <= e.last GROUP BY s.fold"""
+
+
+def _stumps():
+    return trainers.CVTrainer(STUMPS, n_splits=5, early_stop_rounds=ROUNDS, chunk=CHUNK)
+
+
+@query("early_stopping", sql(_STOP_SQL, *_CELLS, *[c for i in range(1, SHOWN + 1) for c in _stump_sql(i)], *_PATIENCE))
 def early_stopping(spark, sf):
-    """Per fold: the model ends where its validation curve is lowest, and out-of-fold rows come from that model."""
-    trainer, tr = _trainer(early_stop_rounds=3), train(spark, sf)
+    """Per fold: the best iteration, the trees fitted until patience ran out (whole chunks), and the error there."""
+    found = trainers.early_stopping(_stumps(), train(spark, sf), "y", ["qty"], ROUNDS)
+    return spark.createDataFrame([(k, n, fitted, round(error, 9)) for k, n, fitted, error in found],
+                                 "fold int, best_iteration int, trees_fitted int, error double")
+
+
+@query("early_stopping_facts", sql("SELECT CAST(unnest(range(5)) AS INTEGER) AS fold, TRUE AS stops_at_the_best, TRUE AS oof_is_of_the_best, TRUE AS stops_in_time"))
+def early_stopping_facts(spark, sf):
+    """On all features: the model ends where its validation curve is lowest, out-of-fold rows come from that model, and no more than
+    patience and a chunk of trees are fitted behind it."""
+    trainer, tr = _trainer(early_stop_rounds=3, chunk=4), train(spark, sf)
     run = trainer.train_and_score(tr, "y", NUMERIC)
     errors = {r["fold"]: r["score"] for r in run.oof.join(tr.select("id", "fold"), "id").groupBy("fold").agg(
         metrics.rmsle(F.col("y"), F.col("pred")).alias("score")).collect()}
     found = []
     for k, (curve, n) in enumerate(zip(trainer.curves, run.best_iterations)):
-        seen = curve[:n + 3]
-        found.append((k, curve[n - 1] == min(seen), abs(errors[k] - curve[n - 1]) < 1e-9))
-    return spark.createDataFrame(found, "fold int, stops_at_the_best boolean, oof_is_of_the_best boolean")
+        found.append((k, curve[n - 1] == min(curve[:n + 3]), abs(errors[k] - curve[n - 1]) < 1e-9, trainer.fitted[k] <= n + 3 + 4))
+    return spark.createDataFrame(found, "fold int, stops_at_the_best boolean, oof_is_of_the_best boolean, stops_in_time boolean")
+
+
+@query("refit_size", sql(f"SELECT CAST(greatest(1, floor(avg(best_iteration) * 1.2)) AS INTEGER) AS trees FROM ({_STOP_SQL})",
+                         *_CELLS, *[c for i in range(1, SHOWN + 1) for c in _stump_sql(i)], *_PATIENCE))
+def refit_size(spark, sf):
+    """The refit on all rows has 1.2 times the mean best iteration of the folds."""
+    trainer, tr = _stumps(), train(spark, sf)
+    run = trainer.train_and_score(tr, "y", ["qty"])
+    trainer.train_on_full(tr, "y", ["qty"], test(spark, sf), run.best_iterations)
+    return spark.createDataFrame([(trainer.refit_trees,)], "trees int")
 
 
 @query("refit_full", sql(f"SELECT 'test' AS split, {_COUNTS} FROM test"))

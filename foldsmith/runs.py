@@ -26,7 +26,7 @@ def run_model(name: str, trainer: CVTrainer, train: DataFrame, test: DataFrame,
         train, test = align_on_id(train, more_train), align_on_id(test, more_test)
     features = [*features, *stored]
     result = trainer.train_and_score(train, target, features, test)
-    full = trainer.train_on_full(train, target, features, test, result.best_iterations if trainer.early_stop else None)
+    full = trainer.train_on_full(train, target, features, test, result.best_iterations if trainer.stops_early else None)
     store.predictions_write(predictions_path, name, oof=result.oof, test=result.test, test_from_full=full)
     return result
 

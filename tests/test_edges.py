@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldsmith.functions import bins, power
-from foldsmith.models import ensemble, linear, trainers
+from foldsmith.models import boosting, ensemble, linear, trainers
 from foldsmith.operators import encoders, folds, lookup, metrics, ordering
 from foldsmith.sources import feature_store as fs
 from foldsmith.storage import scratch_path
@@ -38,7 +38,11 @@ def test_text_of_many_values_and_missing_below_any_value(noisy):
     assert run.oof.count() == 1500 and run.test.filter("pred IS NULL").count() == 0
     low = noisy.withColumn("x", F.when(F.col("x") > 5, F.col("x") - 1e12))
     fitted = trainers.assembler(low, ["x", "s"])
-    assert fitted.missing["x"] < low.agg(F.min("x")).first()[0] and "s" in fitted.frequencies and not fitted.labels
+    assert fitted.missing["x"] < low.agg(F.min("x")).first()[0] and len(fitted.levels["s"]) == 60 and fitted.max_bins == 62
+    few = trainers.assembler(low, ["x", "s"], max_levels=5)
+    assert few.levels["s"] == [f"v{i:02d}" for i in range(5)]  # all as frequent, so by value
+    codes = trainers.vectorised(low.limit(1).select("id", F.lit("new").alias("s"), F.lit(None).cast("double").alias("x")), few, ["id"]).first()
+    assert list(codes["features"]) == [fitted.missing["x"], 1.0]
 
 
 def test_run_is_cut_at_the_best_iteration(noisy):
@@ -50,7 +54,7 @@ def test_run_is_cut_at_the_best_iteration(noisy):
     errors = {r["fold"]: r["e"] for r in errors.collect()}
     assert [m.getNumTrees for m in run.models] == run.best_iterations
     for k, n in enumerate(run.best_iterations):
-        assert errors[k] == pytest.approx(trainer.curves[k][n - 1]) and n == trainers.best_iteration(trainer.curves[k], 2)
+        assert errors[k] == pytest.approx(trainer.curves[k][n - 1]) and n == boosting.best_iteration(trainer.curves[k], 2)
     assert min(run.best_iterations) < 12
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldsmith.models import ensemble, linear, search, selection, trainers
+from foldsmith.models import boosting, ensemble, linear, search, selection, trainers
 from foldsmith.operators import folds
 from foldsmith.plans import standin
 
@@ -52,9 +52,9 @@ def test_out_of_fold_model_never_saw_its_fold(data):
 
 
 def test_best_iteration_respects_patience():
-    assert trainers.best_iteration([5, 4, 4.5, 4.4, 3], rounds=2) == 2
-    assert trainers.best_iteration([5, 4, 4.5, 4.4, 3], rounds=3) == 5
-    assert trainers.best_iteration([1.0], rounds=1) == 1
+    assert boosting.best_iteration([5, 4, 4.5, 4.4, 3], rounds=2) == 2
+    assert boosting.best_iteration([5, 4, 4.5, 4.4, 3], rounds=3) == 5
+    assert boosting.best_iteration([1.0], rounds=1) == 1
 
 
 def test_early_stop_and_refit(data):
