@@ -82,16 +82,25 @@ def create_bins(store: FeatureStore, train: DataFrame, test: DataFrame, cols: Se
 
 
 def create_external_maps(store: FeatureStore, train: DataFrame, test: DataFrame, external: DataFrame, columns: Sequence[str],
-                         target: str, agg: str, sizes: Sequence[int] | None = None, scale: int | None = None) -> list[str]:
-    """Aggregates of the external target for every key combination, with the share of rows left empty."""
+                         target: str, agg: str, sizes: Sequence[int] | None = None, scale: int | None = None, at_once: int = 16) -> list[str]:
+    """Aggregates of the external target for every key combination, with the share of rows left empty.
+
+    All aggregates are rolled up together, and so are the shares. Lookups go into the rows ``at_once`` at a time, and each such
+    group is one write and one catalog entry.
+    """
+    found = ext.external_aggregates(external, columns, target, agg, sizes, scale)
+    quotas = {r["combo"]: float(r["nan_quota"]) for r in ext.map_quotas(found, train, test).select("combo", "nan_quota").collect()}
     saved = []
-    for keys in ext.combos(columns, sizes):
-        name = ext.feature_name(keys, agg)
-        tr, te = ext.map_external_agg(external, keys, target, agg, train.select("id", *keys), test.select("id", *keys),
-                                      scale=scale)
-        quota = ext.nan_quota(tr, te, name).first()["nan_quota"]
-        saved += _save_all(store, tr, te, {name: keys}, type="map_original", subtype=f"map original targets {agg}", agg=agg,
-                           nan_quota=float(quota), fillna=False)
+    wanted = ext.combos(columns, sizes)
+    for start in range(0, len(wanted), at_once):
+        some, (tr, te) = wanted[start:start + at_once], (df.select("id", *columns) for df in (train, test))
+        for keys in some:
+            name = ext.feature_name(keys, agg)
+            tr, te = (found.attach(df, keys, name) for df in (tr, te))
+        metas = {ext.feature_name(keys, agg): {"type": "map_original", "subtype": f"map original targets {agg}", "agg": agg, "feature_list": list(keys),
+                                               "nan_quota": quotas.get("_".join(keys), 1.0), "fillna": False} for keys in some}
+        store.save_many(tr, te, metas)
+        saved += metas
     return saved
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.functions.exact import mean, mean_of, units
+from foldsmith.operators.lattice import Lattice, combos, roll_up
 from foldsmith.operators.lookup import attach
-from foldsmith.storage import materialize
+from foldsmith.storage import materialize, write_table
 
 AGGREGATES = ("mean", "max", "min", "nunique")
 _PREFIX = {"mean": "map_orig_targets_", "max": "map_orig_targets_max_", "min": "map_orig_targets_min_",
@@ -20,38 +22,93 @@ def feature_name(keys: Sequence[str], agg: str) -> str:
     return _PREFIX[agg] + "_".join(keys)
 
 
-def combos(columns: Sequence[str], sizes: Sequence[int] | None = None) -> list[tuple[str, ...]]:
-    sizes = range(1, len(columns) + 1) if sizes is None else sizes
-    return [c for size in sizes for c in combinations(columns, size)]
-
-
 def _aggregate(target: Column, agg: str, scale: int | None) -> Column:
     if agg == "mean":
         return mean(target, scale)
     return {"max": F.max, "min": F.min, "nunique": F.count_distinct}[agg](target)
 
 
-def _rolled_up(agg: str, scale: int | None) -> Column:
-    """The same aggregate from distinct ``(keys, __y)`` rows with a row count ``__n``."""
+def _states(agg: str, scale: int | None) -> dict[str, tuple[Column, str]]:
+    """Mergeable states of an aggregate over ``__y``."""
+    y = F.col("__y")
     if agg == "mean":
-        weighted = (F.col("__y") * F.col("__n")) if scale is None else units(F.col("__y"), scale) * F.col("__n")
-        return mean_of(F.sum(weighted), F.sum(F.when(F.col("__y").isNotNull(), F.col("__n"))), scale)
-    return _aggregate(F.col("__y"), agg, scale)
+        return {"__s": (F.sum(y.cast("double") if scale is None else units(y, scale)), "sum"), "__n": (F.count(y), "sum")}
+    if agg in ("max", "min"):
+        return {"__v": ({"max": F.max, "min": F.min}[agg](y), agg)}
+    return {"__u": (F.count_if("__single"), "sum")}
+
+
+def _value(agg: str, scale: int | None) -> Column:
+    return mean_of(F.col("__s"), F.col("__n"), scale) if agg == "mean" else F.col({"nunique": "__u"}.get(agg, "__v"))
+
+
+@dataclass
+class ExternalAggregates:
+    """An aggregate for every key combination: ``table`` has (combo_id, key columns, value)."""
+
+    lattice: Lattice
+    table: DataFrame
+
+    def of(self, keys: Sequence[str]) -> DataFrame:
+        """(keys, value) of one combination."""
+        return self.table.where(F.col("combo_id") == self.lattice.id_of(keys)).select(*keys, "value")
+
+    def attach(self, df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        """Look the value up as the float column ``name``; whether it is broadcast follows from the counted keys."""
+        rows = self.lattice.rows[self.lattice.id_of(keys)]
+        return attach(df, self.of(keys).select(*keys, F.col("value").cast("float").alias(name)), keys, [name], n_rows=rows)
+
+
+def external_aggregates(external: DataFrame, columns: Sequence[str], target: str, agg: str = "mean", sizes: Sequence[int] | None = None,
+                        scale: int | None = None) -> ExternalAggregates:
+    """Aggregate of ``target`` for every combination of ``columns``, each from the smallest combination that contains it.
+
+    Means roll up as sums and counts. Of distinct counts, values that the whole table has once add up like rows; the others
+    roll up as distinct (key, value) pairs.
+    """
+    columns = list(columns)
+    rows = external.select(*columns, F.col(target).alias("__y"))
+    if agg != "nunique":
+        lattice = roll_up(rows, columns, _states(agg, scale), sizes)
+        return ExternalAggregates(lattice, lattice.table().select("combo_id", *columns, _value(agg, scale).alias("value")))
+    often = write_table(rows.where("__y IS NOT NULL").groupBy("__y").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+                        .select(F.col("__y").alias("__often")), "often")
+    known = rows.join(often, F.col("__y") == F.col("__often"), "left")
+    single = F.col("__y").isNotNull() & F.col("__often").isNull()
+    lattice = roll_up(known.withColumn("__single", single), columns, _states(agg, scale), sizes)
+    pairs = roll_up(known.where("__often IS NOT NULL"), columns, {"__rows": (F.count(F.lit(1)), "sum")}, sizes, always=["__y"])
+    both = lattice.table().select("combo_id", *columns, "__u").unionByName(pairs.table().select("combo_id", *columns, F.lit(1).cast("long").alias("__u")))
+    table = both.groupBy("combo_id", *columns).agg(F.sum("__u").alias("value"))
+    return ExternalAggregates(lattice, table)
 
 
 def external_by_combo(external: DataFrame, columns: Sequence[str], target: str, agg: str = "mean",
                       sizes: Sequence[int] | None = None, scale: int | None = None) -> DataFrame:
-    """Aggregate of ``target`` for every combination of ``columns``, in one plan.
+    """(combo, columns, value): the aggregate of ``target`` for every combination of ``columns``.
 
-    The table is first reduced to distinct (all columns, target) rows; the grouping sets expand that
-    reduced table.  ``combo`` names the columns of a row's grouping set, the others are NULL.
+    ``combo`` names the columns of a row's combination, the others are NULL.
     """
-    columns = list(columns)
-    base = external.groupBy(*columns, F.col(target).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
-    used = [F.when(F.grouping(c) == 0, F.lit(c)) for c in columns]
-    return (base.groupingSets([list(c) for c in combos(columns, sizes)], *columns)
-            .agg(F.concat_ws("_", *used).alias("combo"), _rolled_up(agg, scale).alias("value"))
-            .select("combo", *columns, "value"))
+    found = external_aggregates(external, columns, target, agg, sizes, scale)
+    return found.lattice.named(found.table).select("combo", *columns, "value")
+
+
+def map_quotas(found: ExternalAggregates, *frames: DataFrame) -> DataFrame:
+    """(combo, rows, nan_quota, mean): what the lookup of each combination's value gives over all rows of ``frames``.
+
+    The frames are counted by every combination too, and the two tables of counts and values meet on their keys, so no row is
+    looked up once for each combination.
+    """
+    lattice, columns = found.lattice, found.lattice.columns
+    sizes = sorted({bin(i).count("1") for i in lattice.rows})
+    rows = reduce(DataFrame.unionByName, [f.select(*columns) for f in frames])
+    counts = roll_up(rows, columns, {"__rows": (F.count(F.lit(1)), "sum")}, sizes).table()
+    values = found.table.select(F.col("combo_id").alias("__combo"), *[F.col(c).alias(f"__of_{c}") for c in columns], "value")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in columns], F.col("combo_id") == F.col("__combo"))
+    met = counts.join(values, same, "left").groupBy("combo_id").agg(
+        F.sum("__rows").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("__rows")).otherwise(0)).alias("__none"),
+        F.sum(F.col("value") * F.col("__rows")).alias("__total"))
+    return lattice.named(met).select("combo", "rows", (F.col("__none") / F.col("rows")).alias("nan_quota"),
+                                     (F.col("__total") / (F.col("rows") - F.col("__none"))).alias("mean"))
 
 
 def map_external_agg(external: DataFrame, keys: Sequence[str], target: str, agg: str, *frames: DataFrame,

@@ -53,6 +53,24 @@ query("external_min_by_combo", _combo_sql("min(y)"))(_by_combo("min"))
 query("external_nunique_by_combo", _combo_sql("count(DISTINCT y)"))(_by_combo("nunique"))
 
 
+def _quota_sql():
+    """Every one of the 127 lookups done row by row."""
+    parts = []
+    for keys in external.combos(FEATURES):
+        same = " AND ".join(f"e.{c} = t.{c}" for c in keys)
+        parts.append(f"SELECT '{'_'.join(keys)}' AS combo, count(*) AS rows, avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS nan_quota, avg(v) AS mean FROM rows_ t "
+                     f"LEFT JOIN (SELECT {', '.join(keys)}, max(y) AS v FROM ext GROUP BY {', '.join(keys)}) e ON {same}")
+    return "SELECT combo, rows, round(nan_quota, 9) AS nan_quota, round(mean, 4) AS mean FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("external_map_quotas", sql(_quota_sql(), "rows_ AS (SELECT * FROM f WHERE split <> 'ext')"))
+def external_map_quotas(spark, sf):
+    """For each of the 127 lookups: rows of train and test, the share left empty, and the mean of what is found."""
+    found = external.external_aggregates(ext(spark, sf), FEATURES, "y", "max")
+    quotas = external.map_quotas(found, train(spark, sf), test(spark, sf))
+    return quotas.select("combo", "rows", F.round("nan_quota", 9).alias("nan_quota"), F.round("mean", 4).alias("mean"))
+
+
 @query("nan_quota", sql(
     "SELECT avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS nan_quota, count(*) AS rows FROM f LEFT JOIN "
     "(SELECT qty, disc, tax, mon, max(y) AS v FROM ext GROUP BY ALL) USING (qty, disc, tax, mon) WHERE split <> 'ext'"))

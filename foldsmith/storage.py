@@ -39,3 +39,23 @@ def materialize(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back.
+
+    Unlike a checkpoint it keeps columns apart, so later reads take those they need, and tells the planner its size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of a `write_table` that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from foldsmith.operators import duplicates, encoders, external, folds, lookup, metrics, ordering, sets
+from foldsmith.operators import duplicates, encoders, external, folds, lattice, lookup, metrics, ordering, sets
 
 
 def keyed(spark, rows):
@@ -194,3 +195,45 @@ def test_external_rows_get_ids_of_their_own(spark):
     assert sorted((r["id"], r["is_original"]) for r in rows) == [("1", 0), ("ext:1", 1)]
     tr, val, te = sets.append_external_per_fold(df, df, df, df)
     assert [d.filter("is_original = 1").count() for d in (tr, val, te)] == [1, 0, 0]
+
+
+def test_lattice_equals_grouping_each_combination(spark, monkeypatch):
+    """NULL keys and targets, repeated and single target values; every round small, and waiting for smaller sources."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["u", "v", None]), rng.randrange(4), rng.choice([None, 1.5, 2.5]), rng.randrange(3), rng.choice([None, 1.0, 2.0, rng.random()]))
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b int, c double, d int, y double")
+    brute = {"mean": lambda v: sum(v) / len(v) if v else None, "max": lambda v: max(v, default=None), "min": lambda v: min(v, default=None),
+             "nunique": lambda v: len(set(v))}
+    for little, agg in itertools.product((0, 1 << 16), brute):
+        monkeypatch.setattr(lattice, "LITTLE", little)
+        for sizes in (None, [2, 3]):
+            found = external.external_by_combo(df, list("abcd"), "y", agg, sizes).collect()
+            want = {}
+            for combo in external.combos("abcd", sizes):
+                groups = {}
+                for row in rows:
+                    key = tuple(row["abcd".index(c)] if c in combo else None for c in "abcd")
+                    groups.setdefault(key, []).extend([] if row[4] is None else [row[4]])
+                want |= {("_".join(combo), *key): brute[agg](values) for key, values in groups.items()}
+            got = {tuple(r)[:5]: r["value"] for r in found}
+            assert len(got) == len(found) and got.keys() == want.keys()
+            assert all(got[k] == pytest.approx(want[k]) for k in want)
+    found = external.external_aggregates(df, list("abcd"), "y", "max")
+    assert found.of(["a", "d"]).count() == found.lattice.rows[found.lattice.id_of(["a", "d"])] == len({(r[0], r[3]) for r in rows})
+    empty = external.external_by_combo(df.limit(0), list("abcd"), "y", "mean")
+    assert empty.count() == 0
+
+
+def test_lattice_plan_expands_little(spark):
+    df = spark.range(1000).selectExpr("id % 7 a", "id % 5 b", "id % 3 c", "id y")
+    text = external.external_by_combo(df, list("abc"), "y", "max")._jdf.queryExecution().toString()
+    assert "Expand" not in text and "Exchange" not in text
+
+
+def test_shares_of_lookups_left_empty(spark):
+    outer = spark.createDataFrame([("x", 1, 2.0), ("y", 2, 4.0), (None, 1, 6.0)], "a string, b int, y double")
+    rows = spark.createDataFrame([("x", 1), ("x", 3), (None, 1), ("z", 2)], "a string, b int")
+    found = external.external_aggregates(outer, ["a", "b"], "y", "mean")
+    quotas = {r["combo"]: (r["rows"], r["nan_quota"], r["mean"]) for r in external.map_quotas(found, rows, rows).collect()}
+    assert quotas == {"a": (8, 0.25, pytest.approx(10 / 3)), "b": (8, 0.25, 4.0), "a_b": (8, 0.5, 4.0)}
