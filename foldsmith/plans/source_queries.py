@@ -103,8 +103,8 @@ PLAIN_PREFIXES = ["Multiply_qty_line", "Combine_status_flag", "Multiply_qty_line
     "SELECT feature, split, count(*) AS rows, count(DISTINCT id) AS ids FROM f, (SELECT unnest("
     + str(PLAIN_PREFIXES) + ") AS feature) WHERE split <> 'ext' GROUP BY feature, split"))
 def feature_store_write(spark, sf):
-    stored = spark.read.parquet(f"{_fill_plain(spark, sf, _new_store(spark)).path}/features")
-    return stored.groupBy("feature", "split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
+    stored = _fill_plain(spark, sf, _new_store(spark)).stored_rows()
+    return stored.select(F.col("filename_prefix").alias("feature"), F.regexp_extract("part", "split=(.*)", 1).alias("split"), "rows", "ids")
 
 
 @query("feature_store_read", sql(
@@ -117,6 +117,38 @@ def feature_store_read(spark, sf):
     return both.withColumn("poly_qty2_disc", F.col("poly_qty2_disc").cast("double"))
 
 
+WIDE = [f"{op}_{a}_{b}" for op in ("Multiply", "Plus", "Minus") for a, b in (("qty", "line"), ("qty", "mon"), ("line", "mon"))]
+SQUARES = [f"{c}_{k}" for c in ("qty", "line", "mon") for k in range(1, 5)]
+
+
+@lru_cache(maxsize=4)
+def _wide_store(app: str, spark, sf: str) -> fs.FeatureStore:
+    """Two families of 9 and 12 columns."""
+    made = _new_store(spark)
+    tr, te = (df(spark, sf).select("id", "qty", "line", "mon") for df in (train, test))
+    pairs = [("qty", "line"), ("qty", "mon"), ("line", "mon")]
+    made.save_many(*(scalar.autofe_arith(d, pairs, ["Multiply", "Plus", "Minus"]) for d in (tr, te)), {n: _meta("autofe", "wide", 8, n.split("_")[1:]) for n in WIDE})
+    made.save_many(*(d.select("id", *[(F.col(n.rsplit("_", 1)[0]) * int(n[-1])).alias(n) for n in SQUARES]) for d in (tr, te)),
+                   {n: _meta("scaled", "wide", 9, [n.rsplit("_", 1)[0]]) for n in SQUARES})
+    return made
+
+
+def wide_store(spark, sf) -> fs.FeatureStore:
+    return _wide_store(spark.sparkContext.applicationId, spark, sf)
+
+
+_OPS = {"Multiply": "*", "Plus": "+", "Minus": "-"}
+
+
+@query("feature_store_read_wide", sql(
+    "SELECT id, split, " + ", ".join(f"CAST({n.split('_')[1]} {_OPS[n.split('_')[0]]} {n.split('_')[2]} AS DOUBLE) AS {n}" for n in WIDE) + ", "
+    + ", ".join(f"{n.rsplit('_', 1)[0]} * {n[-1]} AS {n}" for n in SQUARES) + " FROM f WHERE split <> 'ext'"))
+def feature_store_read_wide(spark, sf):
+    """21 columns of two families, met bucket by bucket."""
+    tr, te = wide_store(spark, sf).read_features([*WIDE, *SQUARES])
+    return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
+
+
 @query("feature_store_criteria", sql(
     "SELECT id, split, qty * CASE WHEN status = 'F' THEN 1 ELSE 0 END AS masked_qty_x_F, "
     "CAST(CAST(qty * qty * disc AS FLOAT) AS DOUBLE) AS poly_qty2_disc FROM f WHERE split <> 'ext'"))
@@ -133,10 +165,7 @@ SIZES_SQL = """sized AS (SELECT c.*, CASE WHEN outer_folds IS NULL THEN n ELSE 5
 
 def _stored_rows(spark, sf):
     """Stored rows per prefix, plain and folded."""
-    path = filled_store(spark, sf).path
-    counts = [spark.read.parquet(f"{path}/{folder}").groupBy(F.col("feature").alias("filename_prefix")).agg(
-        F.count(F.lit(1)).alias("rows")) for folder in ("features", "folded")]
-    return counts[0].unionByName(counts[1])
+    return filled_store(spark, sf).stored_rows().groupBy("filename_prefix").agg(F.sum("rows").alias("rows"))
 
 
 @query("feature_store_latest", sql(
@@ -190,8 +219,9 @@ def folded_features_read(spark, sf):
     "SELECT feature, CAST(o AS INTEGER) AS outer_fold, CASE WHEN split = 'test' THEN 'test' WHEN fold = o THEN 'val' ELSE 'train' END AS part, "
     "count(*) AS rows FROM f, range(5) r(o), (SELECT unnest(['te_mean_qty', 'te_mean_qty_disc']) AS feature) WHERE split <> 'ext' GROUP BY ALL"))
 def folded_features_write(spark, sf):
-    stored = spark.read.parquet(f"{_fill_folded(spark, sf, _new_store(spark)).path}/folded")
-    return stored.groupBy("feature", F.col("outer_fold").cast("int").alias("outer_fold"), "part").agg(F.count(F.lit(1)).alias("rows"))
+    stored = _fill_folded(spark, sf, _new_store(spark)).stored_rows()
+    return stored.select(F.col("filename_prefix").alias("feature"), F.regexp_extract("part", "outer_fold=([0-9]+)", 1).cast("int").alias("outer_fold"),
+                         F.regexp_extract("part", "part=(.*)", 1).alias("part"), "rows")
 
 
 # -- predictions -----------------------------------------------------------------------------------

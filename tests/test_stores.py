@@ -59,9 +59,62 @@ def test_types_survive(fs, spark):
     assert dict(fs.read_features(["n"])[0].dtypes)["n"] == "int"
 
 
-def test_reads_prune_to_the_chosen_folders(fs):
-    plan = fs.read_features(["f"])[0]._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(feature" in plan or "PartitionFilters: [" in plan and "feature" in plan.split("PartitionFilters")[1][:200]
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_take_the_chosen_columns_and_files_alone(fs):
+    train = fs.read_features(["f"])[0]
+    assert "ReadSchema: struct<id:string,f:double>" in plan_of(train)
+    assert train.inputFiles() and all("/split=train/" in f for f in train.inputFiles())
+
+
+def test_families_meet_without_a_shuffle(spark, tmp_path):
+    made = FeatureStore(spark, str(tmp_path / "wide"), buckets=5)
+    frame = lambda start, names: spark.range(start, start + 300).select("id", *[(F.col("id") * k).alias(n) for k, n in enumerate(names)])
+    names = [[f"{letter}{i}" for i in range(8)] for letter in "abc"]
+    for some in names:
+        made.save_many(frame(0, some), frame(1000, some), {n: {"type": "t"} for n in some})
+    train, test = made.read_features([n for some in names for n in some])
+    plan = plan_of(train)
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 3 and "SelectedBucketsCount: 5 out of 5" in plan
+    assert sorted(tuple(r) for r in train.collect()) == sorted((str(i), *[i * k for _ in range(3) for k in range(8)]) for i in range(300))
+    assert test.count() == 300 and made.buckets() == 5
+    assert FeatureStore(spark, str(tmp_path / "wide"), buckets=9).buckets() == 5  # the store's own number stays
+
+
+def test_a_new_session_object_reads_the_store(fs, spark):
+    again = FeatureStore(spark.newSession(), fs.path)
+    assert rows(again.read_features(["c", "f"])[0]) == [("1", "x", 1.0), ("2", "y", None)]
+
+
+def test_families_with_other_ids_keep_them_all(fs, spark):
+    fs.save(split(spark, "g", [(2, 5), (9, 6)], "int"), split(spark, "g", [(3, 7)], "int"), "g", {"type": "t"})
+    train, test = fs.read_features(["f", "g", "c"])
+    assert rows(train.fillna({"f": -1.0, "g": -1, "c": "none"})) == [("1", 1.0, -1, "x"), ("2", -1.0, 5, "y"), ("9", -1.0, 6, "none")]
+    assert rows(test) == [("3", 3.0, 7, "z")]
+
+
+def test_repeated_ids_are_refused_and_leave_no_trace(fs, spark):
+    with pytest.raises(ValueError, match="repeat"):
+        fs.save(split(spark, "r", [(1, 1), (1, 2)], "int"), split(spark, "r", [(3, 7)], "int"), "r", {"type": "t"})
+    with pytest.raises(MissingFeatures):
+        fs.read_features(["r"])
+
+
+def test_vacuum_removes_overwritten_and_unfinished_families(fs, spark):
+    fs.save(split(spark, "f", [(1, 8.0)]), split(spark, "f", [(3, 9.0)]), "f", {"type": "t"})
+    with pytest.raises(ValueError, match="repeat"):
+        fs.save(split(spark, "r", [(1, 1), (1, 2)], "int"), split(spark, "r", [(3, 7)], "int"), "r", {"type": "t"})
+    assert len(fs.vacuum()) == 2 and fs.vacuum() == []
+    assert rows(fs.read_features(["f"])[0]) == [("1", 8.0)] and rows(fs.read_features(["c"])[1]) == [("3", "z")]
+
+
+def test_odd_column_names(spark, tmp_path):
+    made = FeatureStore(spark, str(tmp_path / "it's odd"))
+    frame = spark.createDataFrame([("1", 2.0, 3)], "id string, `a b` double, `x.y` int")
+    made.save_many(frame, frame, {"a b": {"type": "t"}, "x.y": {"type": "t"}})
+    assert rows(made.read_features(["x.y", "a b"])[0]) == [("1", 3, 2.0)]
 
 
 def folded(spark, name, folds, shift=0.0):
