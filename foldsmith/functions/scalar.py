@@ -179,11 +179,16 @@ def expected_from_ratio(df: DataFrame, target: str, col: str) -> DataFrame:
 
 def cap_outliers_iqr(train: DataFrame, test: DataFrame, columns: Sequence[str],
                      width: float = 1.5) -> tuple[DataFrame, DataFrame]:
-    """Clip to the quartiles of train widened by ``width`` interquartile ranges, in both frames."""
+    """Clip to the quartiles of train widened by ``width`` interquartile ranges, in both frames.
+
+    A column without values in train has no quartiles and stays as it is.
+    """
     fitted = quantile_row(train, columns, (0.25, 0.75)).first()
 
     def capped(c: str) -> Column:
-        q1, q3 = fitted[c]
+        q1, q3 = fitted[c] or (None, None)
+        if q1 is None:
+            return F.col(c).cast("double")
         reach = width * (q3 - q1)
         return bounded(F.col(c).cast("double"), q1 - reach, q3 + reach)
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foldsmith.models.linear import cv_score, gram_by_fold
+from foldsmith.models.parallel import side_by_side
 
 Scorer = Callable[[list[str]], float]
 LOG_SCHEMA = "round int, feature string, score double, delta double, decision string"
@@ -19,36 +21,97 @@ def linear_scorer(df: DataFrame, columns: Sequence[str], target: str, alpha: flo
     return lambda chosen: cv_score(gram, chosen, alpha)
 
 
-def tree_scorer(trainer, df: DataFrame, target: str) -> Scorer:
+class TreeScorer:
+    """Scores any subset of ``candidates`` with a trainer: the candidates are read, coded and cached once, as one vector, and a
+    subset is a slice of it. Use it as a context, or call ``close``."""
+
+    def __init__(self, trainer, df: DataFrame, target: str, candidates: Sequence[str]):
+        self.trainer, self.candidates = trainer, list(candidates)
+        self.stage, rows = trainer.prepared(df, target, self.candidates)
+        self.rows = rows.persist()
+
+    def __call__(self, chosen: list[str]) -> float:
+        slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=[self.candidates.index(c) for c in chosen])
+        return self.trainer.score_prepared(slicer.transform(self.rows.withColumnRenamed("features", "__all")).drop("__all"), self.stage)
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+    def __enter__(self) -> "TreeScorer":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+
+def tree_scorer(trainer, df: DataFrame, target: str, candidates: Sequence[str] | None = None) -> Scorer:
+    """A scorer of feature subsets by cross-validated trees; with the list of candidates they are prepared only once."""
+    if candidates is not None:
+        return TreeScorer(trainer, df, target, candidates)
     return lambda chosen: trainer.train_and_score(df, target, chosen).score
 
 
+def stored_log(spark, path: str) -> list[tuple]:
+    """Rows of the rounds that a selection has kept below ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    return [tuple(r) for r in spark.read.schema(LOG_SCHEMA).parquet(path).collect()]
+
+
 def forward_select(all_features: Sequence[str], model_fn: Scorer, original_features: Sequence[str] = (),
                    initial_to_select: Sequence[str] = (), initial_to_discard: Sequence[str] = (),
                    max_features: int | None = None, stop_at_max_score: bool = True,
-                   discard_worst_n: int = 0) -> tuple[list[str], list[tuple]]:
+                   discard_worst_n: int = 0, spark=None, log_path: str | None = None, at_once: int = 1) -> tuple[list[str], list[tuple]]:
     """Add, round by round, the feature with the lowest score (scores are errors).
 
     Returns the selected features and a log with a row per scored candidate.  The worst
     ``discard_worst_n`` candidates of a round do not come back; without ``stop_at_max_score`` the
     rounds go on past the best score.
+
+    ``at_once`` candidates of a round are scored side by side. With ``log_path`` (and ``spark``) each round's rows are
+    appended to a table there, and a later call with the same settings takes the rounds found there over.
     """
+    if log_path and spark is None:
+        raise ValueError("log_path needs a session")
+    kept: dict[int, dict[str, tuple]] = {}
+    for row in stored_log(spark, log_path) if log_path else []:
+        kept.setdefault(row[0], {})[row[1]] = row
+
+    def store(rows: list[tuple]) -> None:
+        if log_path:
+            spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log_path)
+
     selected = list(initial_to_select)
     pool = [f for f in all_features if f not in selected and f not in initial_to_discard]
-    current = model_fn([*original_features, *selected]) if original_features or selected else None
+    if -1 in kept:
+        current = kept[-1]["baseline"][2]
+    else:
+        current = model_fn([*original_features, *selected]) if original_features or selected else None
+        store([(-1, "baseline", current, None, "baseline")])
     log: list[tuple] = [(-1, "baseline", current, None, "baseline")]
     for n in range(len(pool) if max_features is None else max_features):
         if not pool:
             break
-        scores = {f: model_fn([*original_features, *selected, f]) for f in pool}
+        if n in kept:
+            if set(kept[n]) != set(pool):
+                raise ValueError(f"{log_path} holds another selection: round {n} has candidates {sorted(kept[n])}")
+            scores = {f: kept[n][f][2] for f in pool}
+        else:
+            jobs = [lambda f=f: model_fn([*original_features, *selected, f]) for f in pool]
+            scores = dict(zip(pool, side_by_side(spark, jobs, at_once, "candidate") if spark is not None else [job() for job in jobs]))
         order = sorted(pool, key=lambda f: (scores[f], f))
         best = order[0]
         improves = current is None or scores[best] < current
         dropped = [f for f in order[1:][::-1][:discard_worst_n]]
         taken = improves or not stop_at_max_score
+        rows = []
         for f in order:
             decision = "selected" if f == best and taken else "discarded" if f in dropped else "kept"
-            log.append((n, f, scores[f], None if current is None else scores[f] - current, decision))
+            rows.append((n, f, scores[f], None if current is None else scores[f] - current, decision))
+        log += rows
+        if n not in kept:
+            store(rows)
         if not taken:
             break
         selected.append(best)

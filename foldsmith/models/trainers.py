@@ -210,12 +210,36 @@ class CVTrainer:
         score = oof.agg(self.scoring_fn(F.col("y"), F.col("pred"))).first()[0]
         return RunResult(score, [m.getNumTrees for m in models], oof, test_out, models)
 
+    def prepared(self, train: DataFrame, target: str, features: Sequence[str]) -> tuple[Inputs, DataFrame]:
+        """The fitted inputs and the rows ready for fits: id, target, label, fold, weight and the vector of ``features``."""
+        stage = self._inputs(train, list(features))
+        return stage, vectorised(self._label(train.withColumn("y", F.col(target).cast("double")), target), stage, self._columns())
+
+    def _scored(self, data: DataFrame, stage: Inputs, k: int) -> DataFrame:
+        val = data.filter(F.col(self.fold_col) == k)
+        model = self._fit(stage, self._fit_rows(data.filter(F.col(self.fold_col) != k)), val)[0]
+        return model.transform(val).select("y", self._prediction(F.col("__raw")).alias("pred"))
+
+    def score_prepared(self, data: DataFrame, stage: Inputs) -> float:
+        """The cross-validated score on rows made by `prepared`, also with some of their features only."""
+        parts = side_by_side(data.sparkSession, [lambda k=k: self._scored(data, stage, k) for k in range(self.n_splits)], self.folds_at_once, "fold")
+        return float(reduce(DataFrame.unionByName, parts).agg(self.scoring_fn(F.col("y"), F.col("pred"))).first()[0])
+
+    def score_by_fold(self, train: DataFrame, target: str, features: Sequence[str], report: Callable[[float], None]) -> float:
+        """The score of all folds' rows; folds run one after the other, and ``report`` gets each fold's own error and may raise."""
+        stage, rows = self.prepared(train, target, features)
+        with cached(rows) as (data,):
+            parts = []
+            for k in range(self.n_splits):
+                parts.append(self._scored(data, stage, k))
+                report(float(parts[-1].agg(self.scoring_fn(F.col("y"), F.col("pred"))).first()[0]))
+            return float(reduce(DataFrame.unionByName, parts).agg(self.scoring_fn(F.col("y"), F.col("pred"))).first()[0])
+
     def _columns(self, extra: Sequence[str] = ()) -> list[str]:
         return ["id", "y", "__label", self.fold_col, *([self.weight_col] if self.weight_col else []), *extra]
 
     def _shared_frame(self, train, target, features, test):
-        stage = self._inputs(train, features)
-        rows = vectorised(self._label(train.withColumn("y", F.col(target).cast("double")), target), stage, self._columns())
+        stage, rows = self.prepared(train, target, features)
         with cached(rows) as (data,):
             held_out = [data.filter(F.col(self.fold_col) == k) for k in range(self.n_splits)]
             jobs = [lambda k=k: self._fit(stage, self._fit_rows(data.filter(F.col(self.fold_col) != k)), held_out[k]) for k in range(self.n_splits)]

@@ -5,6 +5,8 @@ Tree runs return facts that SQL can tell too: what was predicted, and whether sc
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from foldsmith.functions.scalar import sample_weight
@@ -311,6 +313,13 @@ def adversarial_validation(spark, sf):
     return _adversarial(spark, sf)[0].select((F.col("auc") > 0.5).alias("above_half"), "positives", "negatives")
 
 
+@query("importance_top_k_rows")
+def importance_top_k_rows(spark, sf):
+    """Place, feature and importance of the ten features that tell train from test best."""
+    top = trainers.importance_top_k(_adversarial(spark, sf)[1], 10).collect()
+    return spark.createDataFrame([(i, r["feature"], r["importance"]) for i, r in enumerate(top, 1)], "place int, feature string, importance double")
+
+
 @query("importance_top_k", "SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS place, TRUE AS not_above_the_one_before")
 def importance_top_k(spark, sf):
     top = trainers.importance_top_k(_adversarial(spark, sf)[1], 10).collect()
@@ -342,18 +351,66 @@ def forward_select_first_round(spark, sf):
     return selection.log_frame(spark, log).filter("round = 0").select("round", "feature", F.round("score", 6).alias("score"))
 
 
-@query("forward_select", "SELECT CAST(unnest(range(3)) AS INTEGER) AS round, unnest([6, 4, 2]) AS candidates, "
-                         "TRUE AS takes_the_best, TRUE AS drops_the_worst")
+def _subset_score(names):
+    """Pooled out-of-fold error of the least-squares fit on ``names``, from sums alone: f holds those of the fitted rows, h of the held-out."""
+    cov = lambda a, b: f"(f.{_pair(a, b)} - f.s_{a} * f.s_{b} / f.n)"
+    n = len(names)
+    gram = [[cov(a, b) for b in names] for a in names]
+    right = [cov(a, "t") for a in names]
+
+    def det(m):
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'+' if k % 2 == 0 else '-'} {m[0][k]} * {det([r[:k] + r[k + 1:] for r in m[1:]])}" for k in range(len(m))) + ")"
+
+    weights = [f"{det([[right[r] if c == k else gram[r][c] for c in range(n)] for r in range(n)])} / {det(gram)} AS w{k}" for k in range(n)]
+    intercept = "(f.s_t" + "".join(f" - w{k} * f.s_{a}" for k, a in enumerate(names)) + ") / f.n"
+    error = "h.s_t_t - 2 * a * h.s_t + a * a * h.n" + "".join(f" - 2 * w{k} * h.{_pair(a, 't')} + 2 * a * w{k} * h.s_{a}" for k, a in enumerate(names))
+    error += "".join(f" + w{i} * w{k} * h.{_pair(a, b)}" for i, a in enumerate(names) for k, b in enumerate(names))
+    return (f"SELECT '{'|'.join(sorted(names))}' AS names, sqrt(sum({error}) / sum(h.n)) AS score FROM (SELECT *, {intercept} AS a FROM "
+            f"(SELECT *, {', '.join(weights)} FROM fitted f) f) f JOIN held h USING (fold)")
+
+
+def _pair(a, b):
+    return "s_" + "_".join(sorted((a, b)))
+
+
+_VALUES = {**CANDIDATES, "t": "ln(1 + y)"}
+_SUMS = "count(*)::DOUBLE AS n, " + ", ".join([f"sum({a})::DOUBLE AS s_{a}" for a in _VALUES] + [
+    f"sum({a}::DOUBLE * {b})::DOUBLE AS {_pair(a, b)}" for i, a in enumerate(_VALUES) for b in list(_VALUES)[i:]])
+_SELECTION = [
+    "v AS (SELECT fold, " + ", ".join(f"({e})::DOUBLE AS {a}" for a, e in _VALUES.items()) + " FROM train)",
+    f"held AS (SELECT fold, {_SUMS} FROM v GROUP BY fold)",
+    f"fitted AS (SELECT r.fold, {_SUMS} FROM v JOIN (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold) r ON v.fold <> r.fold GROUP BY r.fold)",
+    "scores AS MATERIALIZED (" + " UNION ALL ".join(_subset_score(c) for k in (1, 2, 3) for c in itertools.combinations(CANDIDATES, k)) + ")"]
+_RANKED = ("SELECT *, CASE row_number() OVER (ORDER BY score, feature) WHEN 1 THEN 'selected' WHEN count(*) OVER () THEN 'discarded' ELSE 'kept' END AS decision FROM ({0})")
+_SELECTION += [
+    "r0 AS MATERIALIZED (" + _RANKED.format("SELECT 0 AS round, names AS feature, score, [names] AS chosen FROM scores WHERE names NOT LIKE '%|%'") + ")",
+    "r1 AS MATERIALIZED (" + _RANKED.format(
+        "SELECT 1 AS round, k.feature, s.score, list_concat(b.chosen, [k.feature]) AS chosen FROM r0 k, r0 b, scores s WHERE k.decision = 'kept' AND b.decision = 'selected' "
+        "AND s.names = array_to_string(list_sort(list_concat(b.chosen, [k.feature])), '|')") + ")",
+    "r2 AS MATERIALIZED (" + _RANKED.format(
+        "SELECT 2 AS round, k.feature, s.score, list_concat(b.chosen, [k.feature]) AS chosen FROM r1 k, r1 b, scores s WHERE k.decision = 'kept' AND b.decision = 'selected' "
+        "AND s.names = array_to_string(list_sort(list_concat(b.chosen, [k.feature])), '|')") + ")"]
+
+
+@query("forward_select", sql("SELECT CAST(round AS INTEGER) AS round, feature, round(score, 6) AS score, decision FROM "
+                             "(SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)", *_SELECTION))
 def forward_select(spark, sf):
-    """Per round: how many candidates were scored, and whether the lowest score was taken and the highest dropped."""
+    """The whole log: every candidate's score in three rounds, one feature taken and the worst dropped in each."""
     df = _candidates(spark, sf)
     _, log = selection.forward_select(list(CANDIDATES), selection.linear_scorer(df, list(CANDIDATES), "y"),
                                       discard_worst_n=1, stop_at_max_score=False)
-    found = []
-    for n in range(3):
-        rows = sorted((score, feature, decision) for r, feature, score, _, decision in log if r == n)
-        found.append((n, len(rows), rows[0][2] == "selected", rows[-1][2] == "discarded"))
-    return spark.createDataFrame(found, "round int, candidates int, takes_the_best boolean, drops_the_worst boolean")
+    return selection.log_frame(spark, log).filter("round >= 0").select("round", "feature", F.round("score", 6).alias("score"), "decision")
+
+
+@query("forward_select_trees")
+def forward_select_trees(spark, sf):
+    """The log of a selection with tree models: candidates coded and cached once, those of a round fitted side by side."""
+    df = _candidates(spark, sf)
+    with selection.TreeScorer(trainers.CVTrainer({"n_estimators": 3, "max_depth": 3}, n_splits=5), df, "y", list(CANDIDATES)) as scorer:
+        _, log = selection.forward_select(list(CANDIDATES), scorer, discard_worst_n=3, max_features=2, spark=spark, at_once=3)
+    return selection.log_frame(spark, log)
 
 
 @query("param_search", "SELECT CAST(unnest(range(6)) AS INTEGER) AS trial, TRUE AS not_better_than_the_best")
@@ -371,6 +428,35 @@ def param_search(spark, sf):
     return spark.createDataFrame([(r["trial"], r["score"] >= least) for r in rows], "trial int, not_better_than_the_best boolean")
 
 
+SEARCHED = {"alpha": ("log", 10.0, 1e7), "feature": ("choice", ["qty", "line", "broken"])}
+_DRAWS = """draws AS (SELECT trial, 10.0::DOUBLE * pow(1e6, ('0x' || substr(md5('42:' || trial || ':alpha'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS alpha,
+  ['qty', 'line', 'broken'][CAST(1 + floor(3 * (('0x' || substr(md5('42:' || trial || ':feature'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)) AS BIGINT)] AS feature
+  FROM (SELECT CAST(unnest(range(12)) AS INTEGER) AS trial))"""
+_TRIALS = """trials AS (SELECT d.trial, sqrt(avg(pow(ln(1 + t.y) - (k.my + k.w * (CASE d.feature WHEN 'qty' THEN t.qty ELSE t.line END - k.mx)), 2))) AS score FROM train t
+  JOIN (SELECT d.trial, r.fold, avg(x) AS mx, avg(ln(1 + y)) AS my, covar_pop(x, ln(1 + y)) * count(*) / (var_pop(x) * count(*) + max(d.alpha)) AS w
+    FROM (SELECT fold, y, unnest(['qty', 'line']) AS feature, unnest([qty, line::DOUBLE]) AS x FROM train) v
+    JOIN (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold) r ON v.fold <> r.fold JOIN draws d ON d.feature = v.feature GROUP BY d.trial, r.fold) k USING (fold)
+  JOIN draws d ON d.trial = k.trial GROUP BY d.trial)"""
+
+
+@query("param_search_ridge", sql(
+    "SELECT d.trial, CASE WHEN s.score IS NULL THEN 'failed' ELSE 'done' END AS state, round(s.score, 6) AS score, d.feature, "
+    "coalesce(s.trial = (SELECT arg_min(trial, score) FROM trials), FALSE) AS best FROM draws d LEFT JOIN trials s USING (trial)", _DRAWS, _TRIALS))
+def param_search_ridge(spark, sf):
+    """Twelve trials, four at a time, over a ridge's strength and feature; a third of the draws cannot be fitted and fail."""
+    frame = train(spark, sf).select("fold", "y", "qty", F.col("line").cast("double").alias("line"))
+    gram = linear.gram_by_fold(frame, ["qty", "line"], "y", "fold")
+
+    def objective(params):
+        if params["feature"] == "broken":
+            raise KeyError(params["feature"])
+        return linear.cv_score(gram, [params["feature"]], params["alpha"])
+
+    best, trials = search.param_search(spark, objective, SEARCHED, 12, at_once=4)
+    chosen = F.col("params")["alpha"] == F.lit(str(best["alpha"]))
+    return trials.select("trial", "state", F.round("score", 6).alias("score"), F.col("params")["feature"].alias("feature"), chosen.alias("best"))
+
+
 CLIMB_SQL = """SELECT CAST(step AS INTEGER) AS step, model, weight, round(score, 6) AS score FROM (
  SELECT 0 AS step, model, 1.0::DOUBLE AS weight, score FROM start
  UNION ALL SELECT * FROM (
@@ -393,8 +479,42 @@ def hill_climb_first_step(spark, sf):
     return climb.steps_frame(spark).withColumn("score", F.round("score", 6))
 
 
-@query("hill_climb", "SELECT TRUE AS converged, TRUE AS weights_sum_to_one, TRUE AS score_is_of_the_blend, TRUE AS not_above_the_best_model")
+MOST_STEPS = 12
+
+
+def _climb_sql():
+    """The climb in SQL: a state row per step, each from all models and weights mixed into the one before."""
+    blend = lambda s, m, w: " + ".join(
+        f"((1 - {w}) * {s}.w_{x} + CASE WHEN {m} = '{x}' THEN {w} ELSE 0 END) * o.{x}" for x in MODELS)
+    score = "sqrt(avg(pow(ln(1 + o.y) - ln(1 + greatest({0}, 0)), 2)))"
+    start = "s0 AS MATERIALIZED (SELECT 0 AS step, m.model, 1.0::DOUBLE AS weight, " + score.format(f"CASE m.model {' '.join(f'WHEN {chr(39)}{x}{chr(39)} THEN o.{x}' for x in MODELS)} END") + " AS score, " + ", ".join(
+        f"CASE WHEN m.model = '{x}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w_{x}" for x in MODELS) + f" FROM oof_w o, (SELECT unnest({MODELS}) AS model) m GROUP BY m.model ORDER BY score, model LIMIT 1)"
+    ctes = [start]
+    for k in range(1, MOST_STEPS + 1):
+        p = f"s{k - 1}"
+        weights = ", ".join(f"(1 - g.w) * any_value(p.w_{x}) + CASE WHEN m.model = '{x}' THEN g.w ELSE 0 END AS w_{x}" for x in MODELS)
+        ctes.append(f"s{k} AS MATERIALIZED (SELECT c.* FROM (SELECT {k} AS step, m.model, g.w AS weight, {score.format(blend('p', 'm.model', 'g.w'))} AS score, {weights} "
+                    f"FROM oof_w o, {p} p, (SELECT unnest({MODELS}) AS model) m, (SELECT i / 10.0::DOUBLE AS w FROM range(-5, 6) r(i) WHERE i <> 0) g "
+                    f"WHERE NOT (m.model = p.model AND p.step = 0) GROUP BY m.model, g.w ORDER BY score, model, weight LIMIT 1) c, {p} WHERE {p}.score - c.score >= 1e-5)")
+    every = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(MOST_STEPS + 1))
+    ctes.append(f"steps AS MATERIALIZED ({every})")
+    body = ("SELECT 'step' AS kind, CAST(step AS INTEGER) AS step, model, round(weight, 6) AS weight, round(score, 6) AS score FROM steps UNION ALL "
+            + " UNION ALL ".join(f"SELECT 'weight', (SELECT CAST(max(step) AS INTEGER) FROM steps), '{x}', round((SELECT arg_max(w_{x}, step) FROM steps), 6), NULL" for x in MODELS))
+    return models_sql(body, *ctes)
+
+
+@query("hill_climb", _climb_sql())
 def hill_climb(spark, sf):
+    """The whole climb to its end: every step's model, weight and score, and the weights at the end."""
+    climb = ensemble.hill_climb(_filled_models(spark, sf), MODELS, "y", tol=1e-5, step=0.1)
+    last = climb.steps[-1][0]
+    rows = [("step", n, m, round(w, 6), round(score, 6)) for n, m, w, score in climb.steps]
+    rows += [("weight", last, m, round(climb.weights[m], 6), None) for m in MODELS]
+    return spark.createDataFrame(rows, "kind string, step int, model string, weight double, score double")
+
+
+@query("hill_climb_facts", "SELECT TRUE AS converged, TRUE AS weights_sum_to_one, TRUE AS score_is_of_the_blend, TRUE AS not_above_the_best_model")
+def hill_climb_facts(spark, sf):
     """The full climb: its end, its weights, and its score against the blend's own and the single models'."""
     rows = _filled_models(spark, sf)
     climb = ensemble.hill_climb(rows, MODELS, "y", tol=1e-5)

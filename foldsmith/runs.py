@@ -63,3 +63,28 @@ def run_ridge_stack(spark: SparkSession, predictions_path: str, train: DataFrame
     scored, test_out, _ = cv_ridge_stack(oof, tst, models, target, alpha, clip=bounds)
     store.submission_write(test_out, f"{out_path}/submission", target, *bounds)
     return scored.agg(rmsle(F.col("y"), F.col("pred"))).first()[0]
+
+
+def run_gbt_stack(spark: SparkSession, predictions_path: str, trainer: CVTrainer, train: DataFrame, test: DataFrame, target: str,
+                  out_path: str, base: Sequence[str] = (), feature_store: FeatureStore | None = None, stored: Sequence[str] = (),
+                  bounds: tuple[float | None, float | None] = (None, None)) -> RunResult:
+    """Trees over stored predictions, columns of the base and stored features; writes a ``submission`` CSV folder.
+
+    Every stored model's predictions are features, logarithms like the target where the trainer takes it so. Rows of train and test must
+    have a prediction of every model.
+    """
+    oof, tst, models = _aligned(spark, predictions_path, train, target)
+    keep = ["id", *base]
+
+    def stacked(rows: DataFrame, predictions: DataFrame, more: DataFrame | None, extra: Sequence[str]) -> DataFrame:
+        level = [(F.log1p(F.col(f"`{m}`")) if trainer.log else F.col(f"`{m}`")).alias(f"pred_{m}") for m in models]
+        frames = [predictions.select("id", *level)] + ([more.select("id", *[f"`{c}`" for c in stored])] if more is not None else [])
+        text = rows.select(F.col("id").cast("string").alias("id"), *[c for c in [*keep[1:], *extra]])
+        return align_on_id(text, *frames)
+
+    extra_train, extra_test = feature_store.read_features(list(stored)) if stored else (None, None)
+    train_rows = materialize(stacked(train, oof, extra_train, [target, trainer.fold_col]))
+    test_rows = materialize(stacked(test, tst, extra_test, []))
+    result = trainer.train_and_score(train_rows, target, [*base, *[f"pred_{m}" for m in models], *stored], test_rows)
+    store.submission_write(result.test, f"{out_path}/submission", target, *bounds)
+    return result

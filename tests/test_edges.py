@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldsmith.functions import bins, power
+from foldsmith.functions.scalar import cap_outliers_iqr
 from foldsmith.models import boosting, ensemble, linear, trainers
 from foldsmith.operators import encoders, folds, lookup, metrics, ordering
 from foldsmith.sources import feature_store as fs
@@ -167,3 +168,11 @@ def test_correlations_of_200_columns_with_gaps(spark):
     want = df.toPandas().corr().to_numpy()
     assert np.abs(found - want).max() < 1e-6
     assert metrics.drop_correlated(df.withColumn("again", -2 * F.col("c7")), [*df.columns, "again"]).filter("dropped").first()["column_name"] == "again"
+
+
+def test_capping_leaves_a_column_without_values(spark):
+    train = spark.createDataFrame([(1, None, float(i)) for i in range(20)] + [(1, None, 1e6)], "id int, none double, x double")
+    test = spark.createDataFrame([(2, 7.0, -1e6)], "id int, none double, x double")
+    capped, other = cap_outliers_iqr(train, test, ["none", "x"])
+    assert capped.filter("none IS NOT NULL").count() == 0 and capped.agg(F.max("x")).first()[0] < 100
+    assert other.first()["none"] == 7.0 and other.first()["x"] > -100

@@ -45,3 +45,7 @@ def test_features_models_and_blend(spark, sf_dir, tmp_path):
     ridge = runs.run_ridge_stack(spark, path, train, "y", out, alpha=1.9, bounds=(1.0, None))
     assert ridge < 1.2 * first.score
     assert spark.read.csv(f"{out}/submission", header=True).count() == test.count()
+    stack = runs.run_gbt_stack(spark, path, trainer, train, test, "y", out, ["qty", "mon"], store, ["masked_qty_x_F", *te], bounds=(1.0, 200000.0))
+    assert stack.score < 1.2 * first.score and stack.oof.count() == train.count()
+    written = spark.read.csv(f"{out}/submission", header=True, schema="id string, y double")
+    assert written.count() == test.count() == written.filter("y BETWEEN 1 AND 200000").select("id").distinct().count()
