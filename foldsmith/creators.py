@@ -6,11 +6,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from foldsmith.functions import bins, scalar
 from foldsmith.operators import encoders, external as ext, metrics
+from foldsmith.operators.lookup import align_on_id
 from foldsmith.operators.ordering import groupby_then_rank
 from foldsmith.sources.feature_store import FeatureStore
 
@@ -106,27 +108,102 @@ def create_external_maps(store: FeatureStore, train: DataFrame, test: DataFrame,
 
 def create_target_encodings(store: FeatureStore, train: DataFrame, test: DataFrame, target: str,
                             combinations: Sequence[Sequence[str]], n_splits: int = 5, smooth: float = 0.0,
-                            scale: int | None = None, fold_col: str = "fold") -> list[str]:
-    """Flat out-of-fold encodings of every combination."""
+                            scale: int | None = None, fold_col: str = "fold", at_once: int = 12) -> list[str]:
+    """Flat out-of-fold encodings of every combination; ``at_once`` of them are fitted, looked up and written together."""
     saved = []
-    for cols in combinations:
-        tr, te = encoders.target_encode_kfold(train.select("id", fold_col, target, *cols), test.select("id", *cols), target,
-                                              cols, n_splits=n_splits, smooth=smooth, scale=scale, fold_col=fold_col)
-        saved += _save_all(store, tr, te, {encoders.te_name(cols): cols}, type="te", agg="mean", inner_folds=n_splits,
-                           subtype="te_mean not folded without fillna", smooth=smooth, fillna=False)
+    for some in _groups(combinations, at_once):
+        columns = list(dict.fromkeys(c for cols in some for c in cols))
+        tr, te = encoders.target_encode_many(train.select("id", fold_col, target, *columns), test.select("id", *columns), target, some,
+                                             n_splits=n_splits, smooth=smooth, scale=scale, fold_col=fold_col)
+        metas = {encoders.te_name(cols): {"type": "te", "agg": "mean", "inner_folds": n_splits, "subtype": "te_mean not folded without fillna",
+                                          "smooth": smooth, "fillna": False, "feature_list": list(cols)} for cols in some}
+        store.save_many(tr, te, metas)
+        saved += metas
     return saved
 
 
 def create_nested_target_encodings(store: FeatureStore, train: DataFrame, test: DataFrame, target: str,
                                    combinations: Sequence[Sequence[str]], outer: int = 5, inner: int = 4,
-                                   smooth: float = 0.0, scale: int | None = None) -> list[str]:
-    """Encodings for every outer fold, stored by fold and part."""
+                                   smooth: float = 0.0, scale: int | None = None, at_once: int = 6) -> list[str]:
+    """Encodings for every outer fold, stored by fold and part; ``at_once`` of them are fitted, looked up and written together."""
     saved = []
-    for cols in combinations:
-        rows = encoders.target_encode_nested(train, test, target, cols, outer, inner, smooth=smooth, scale=scale)
-        name = encoders.te_name(cols) + "_by_fold"
-        store.save_folded(rows.withColumnRenamed(encoders.te_name(cols), name), name, {
+    for some in _groups(combinations, at_once):
+        rows = encoders.target_encode_nested_many(train, test, target, some, outer, inner, smooth=smooth, scale=scale)
+        metas = {encoders.te_name(cols) + "_by_fold": {
             "type": "te", "subtype": "te_mean without fillna", "feature_list": list(cols), "agg": "mean",
-            "outer_folds": outer, "inner_folds": inner, "smooth": smooth, "fillna": False})
-        saved.append(name)
+            "outer_folds": outer, "inner_folds": inner, "smooth": smooth, "fillna": False} for cols in some}
+        store.save_folded_many(rows.withColumnsRenamed({encoders.te_name(cols): encoders.te_name(cols) + "_by_fold" for cols in some}), metas)
+        saved += metas
     return saved
+
+
+def _groups(items: Sequence, size: int) -> list[list]:
+    """Neighbours in the order of their columns together, so that a group has few columns and shares its roll-up."""
+    ordered = sorted(items, key=lambda cols: list(cols))
+    return [ordered[i:i + size] for i in range(0, len(ordered), size)]
+
+
+def candidate_pairs(df: DataFrame, columns: Sequence[str], max_nunique_if_numeric: int | None = None) -> dict[str, list[tuple[str, str]]]:
+    """Column pairs worth a feature each, by kind, from the columns' types and one aggregate of distinct counts.
+
+    ``arith``: two numbers; ``combine``: two columns that are categories, i.e. text, or numbers of at most
+    ``max_nunique_if_numeric`` values; ``group``: (a number, a category). Columns of a single value take part in none, and of two numbers
+    that are categories both kinds are listed.
+    """
+    counts = {r["column_name"]: r["nunique"] for r in ext.column_nunique(df, columns).collect()}
+    types = dict(df.select(*columns).dtypes)
+    varied = [c for c in columns if counts[c] > 1]
+    numbers = [c for c in varied if types[c] not in ("string", "boolean", "date") and not types[c].startswith("timestamp")]
+    categories = [c for c in varied if c not in numbers or (max_nunique_if_numeric is not None and counts[c] <= max_nunique_if_numeric)]
+    return {"arith": list(combinations(numbers, 2)), "combine": list(combinations(categories, 2)),
+            "group": [(value, key) for value in numbers for key in categories if key != value]}
+
+
+def search_pair_features(store: FeatureStore, train: DataFrame, test: DataFrame, columns: Sequence[str], ops: Sequence[str] = tuple(scalar.PAIR_OPS),
+                         max_nunique_if_numeric: int | None = 50, max_corr: float = 0.9999999, unary: bool = True, at_once: int = 60) -> list[str]:
+    """Find the pairs of ``columns`` from their types and distinct counts, and store the features that repeat none before.
+
+    Candidates come in blocks of ``at_once``: a block is computed, compared with itself, the columns and all features stored so far
+    by one pass of correlations, and what is left is written as a family.
+    """
+    pairs = candidate_pairs(train, columns, max_nunique_if_numeric)
+    numbers = sorted({c for pair in pairs["arith"] for c in pair}, key=list(columns).index)
+    made: list[tuple[str, tuple[str, ...], str]] = [(f"Log_{c}", (c,), "unary") for c in numbers] if unary else []
+    made += [(f"{op}_{a}_{b}", (a, b), "arith") for op in ops for a, b in pairs["arith"]]
+    made += [(f"groupby_then_mean_{v}_by_{k}", (v, k), "mean") for v, k in pairs["group"]]
+    made += [(f"groupby_then_rank_{v}_by_{k}", (v, k), "rank") for v, k in pairs["group"]]
+
+    def computed(block: Sequence[tuple[str, tuple[str, ...], str]], tr: DataFrame, te: DataFrame) -> tuple[DataFrame, DataFrame]:
+        wanted = [name for name, *_ in block]
+        tr, te = (scalar.autofe_unary(df, [s[0] for _, s, kind in block if kind == "unary"], include_log=True) for df in (tr, te))
+        arith = list(dict.fromkeys(s for _, s, kind in block if kind == "arith"))
+        used = [op for op in ops if any(name.startswith(f"{op}_") for name in wanted)]
+        if arith:
+            tr, te = (scalar.autofe_arith(df, arith, used) for df in (tr, te))
+        for _, (value, key), kind in (b for b in block if b[2] in ("mean", "rank")):
+            if kind == "mean":
+                tr, te = encoders.groupby_then_mean(tr, value, key, te)
+            else:
+                tr, te = groupby_then_rank(tr, value, key), groupby_then_rank(te, value, key)
+        return tr, te
+
+    kept: list[tuple[str, tuple[str, ...], str]] = []
+    base_train, base_test = train.select("id", *columns), test.select("id", *columns)
+    for start in range(0, len(made), at_once):
+        block = made[start:start + at_once]
+        known = [name for name, *_ in kept]
+        tr, te = computed(block, base_train, base_test)
+        names = [name for name, *_ in block]
+        before = [store.read_features(known)[0]] if known else []
+        rows = align_on_id(tr.select(F.col("id").cast("string").alias("id"), *numbers, *names), *before, validate=False)
+        report = metrics.drop_correlated(rows, [*numbers, *known, *names], max_corr).filter("dropped").select("column_name").collect()
+        gone = {r["column_name"] for r in report}
+        left = [b for b in block if b[0] not in gone]
+        _save_all(store, tr, te, {name: sources for name, sources, _ in left}, type="autofe", subtype="pair search", fillna=False)
+        kept += left
+    if pairs["combine"]:
+        combined = {f"Combine_{a}_{b}": (a, b) for a, b in pairs["combine"]}
+        tr, te = (scalar.autofe_combine(df, pairs["combine"]) for df in (base_train, base_test))
+        _save_all(store, tr, te, combined, type="autofe", subtype="pair search", fillna=False)
+        return [name for name, *_ in kept] + list(combined)
+    return [name for name, *_ in kept]

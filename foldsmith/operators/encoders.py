@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldsmith.functions.exact import mean, mean_of, mean_of_sql, quoted, units_sql
 from foldsmith.operators.folds import inner_fold
+from foldsmith.operators.lattice import roll_up
 from foldsmith.operators.lookup import attach
 from foldsmith.storage import materialize
 
@@ -32,7 +33,7 @@ class TargetEncoder:
                  scale: int | None = None, fold_col: str = "fold", id_col: str = "id"):
         self.cols, self.n_splits, self.smooth, self.fillna = list(cols), n_splits, smooth, fillna
         self.scale, self.fold_col, self.id_col = scale, fold_col, id_col
-        self.out = te_name(self.cols)
+        self.out, self.n_bytes = te_name(self.cols), None
 
     def fit(self, train: DataFrame, target: str) -> "TargetEncoder":
         y, fold = quoted(target), quoted(self.fold_col)
@@ -59,14 +60,14 @@ class TargetEncoder:
 
     def transform_train(self, train: DataFrame) -> DataFrame:
         """Out-of-fold encoding of the fitted rows."""
-        joined = attach(train, self.table, self.cols, ["s", "n", "folds"], weight="rows", spread=[self.id_col])
+        joined = attach(train, self.table, self.cols, ["s", "n", "folds"], weight="rows", spread=[self.id_col], n_bytes=self.n_bytes)
         own = F.get("folds", F.col(self.fold_col))
         prior = None if self._prior is None else F.get(self._prior["without"], F.col(self.fold_col))
         return self._finish(joined, train.columns, F.col("s") - own["s"], F.col("n") - own["n"], prior)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Encoding from all fitted rows, for rows that were not fitted on."""
-        joined = attach(df, self.table, self.cols, ["s", "n"], spread=[self.id_col])
+        joined = attach(df, self.table, self.cols, ["s", "n"], spread=[self.id_col], n_bytes=self.n_bytes)
         return self._finish(joined, df.columns, F.col("s"), F.col("n"),
                             None if self._prior is None else self._prior["all"])
 
@@ -78,49 +79,90 @@ def target_encode_kfold(train: DataFrame, test: DataFrame, target: str, cols: Se
     return encoder.transform_train(train), encoder.transform(test)
 
 
+def target_encode_many(train: DataFrame, test: DataFrame, target: str, combinations: Sequence[Sequence[str]], n_splits: int = 5,
+                       smooth: float = 0.0, fillna: bool = False, scale: int | None = None, fold_col: str = "fold",
+                       id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Flat encodings of many combinations, a column each.
+
+    The sums of all folds are rolled up together, every combination from the smallest computed one that contains it, so the
+    training rows are aggregated once. Sizes measured then decide which tables are broadcast.
+    """
+    columns = list(dict.fromkeys(c for cols in combinations for c in cols))
+    y, fold = quoted(target), quoted(fold_col)
+    states: dict[str, tuple[Column, str]] = {"__rows": (F.count(F.lit(1)), "sum")}
+    for k in range(n_splits):
+        inside = f"CASE WHEN {fold} = {k} THEN {y} END"
+        states[f"__s{k}"] = (F.expr(f"coalesce(sum({units_sql(inside, scale)}), 0)"), "sum")
+        states[f"__n{k}"] = (F.expr(f"count({inside})"), "sum")
+    lattice = roll_up(train.select(*columns, target, fold_col), columns, states, wanted=combinations)
+    plus = lambda f: " + ".join(f"__{f}{k}" for k in range(n_splits))
+    folds = ", ".join(f"struct(__s{k} AS s, __n{k} AS n)" for k in range(n_splits))
+    prior = None
+    for cols in combinations:
+        encoder = TargetEncoder(cols, n_splits, smooth, fillna, scale, fold_col, id_col)
+        encoder.table = lattice.table([lattice.id_of(cols)]).selectExpr(*map(quoted, cols), f"{plus('s')} AS s", f"{plus('n')} AS n", "__rows AS rows", f"array({folds}) AS folds")
+        encoder.n_bytes = lattice.bytes_of(cols, 24 + 16 * n_splits)
+        if smooth or fillna:
+            prior = encoder._overall() if prior is None else prior  # the same from any combination
+        encoder._prior = prior
+        train, test = encoder.transform_train(train), encoder.transform(test)
+    return train, test
+
+
 def target_encode_nested(train: DataFrame, test: DataFrame, target: str, cols: Sequence[str], outer: int = 5,
-                         inner: int = 4, seed: int = 42, smooth: float = 0.0, fillna: bool = False,
-                         scale: int | None = None, fold_col: str = "fold", id_col: str = "id") -> DataFrame:
-    """Encoding for every outer fold as ``(id, outer_fold, part, te)``.
+                         inner: int = 4, **options) -> DataFrame:
+    """Encoding for every outer fold as ``(id, outer_fold, part, te)``; see `target_encode_nested_many`."""
+    return target_encode_nested_many(train, test, target, [cols], outer, inner, **options)
+
+
+def target_encode_nested_many(train: DataFrame, test: DataFrame, target: str, combinations: Sequence[Sequence[str]], outer: int = 5,
+                              inner: int = 4, seed: int = 42, smooth: float = 0.0, fillna: bool = False,
+                              scale: int | None = None, fold_col: str = "fold", id_col: str = "id") -> DataFrame:
+    """Encodings of many combinations for every outer fold as ``(id, outer_fold, part, te, ...)``.
 
     ``part`` is train (out-of-inner-fold means of the outer training rows), val and test (means over
-    the whole outer training part).  One aggregate per combination: each row adds to the sums of the
-    outer folds it trains in, without being copied.
+    the whole outer training part).  Each row adds to the sums of the outer folds it trains in, without being
+    copied; the sums of all combinations are rolled up together, and the rows are repeated for the outer folds once, behind
+    all lookups.
     """
-    cols, out = list(cols), te_name(cols)
+    combinations = [list(cols) for cols in combinations]
+    columns = list(dict.fromkeys(c for cols in combinations for c in cols))
     y, own = quoted(target), quoted(fold_col)
-    rows = train.select(id_col, *cols, target, fold_col,
+    rows = train.select(id_col, *columns, target, fold_col,
                         *[inner_fold(o, inner, seed, id_col).alias(f"__inner_{o}") for o in range(outer)])
-    cells = []
+    states: dict[str, tuple[Column, str]] = {"__rows": (F.count(F.lit(1)), "sum")}
     for o in range(outer):
         for j in range(inner):
             inside = f"CASE WHEN {own} <> {o} AND __inner_{o} = {j} THEN {y} END"
-            cells.append(f"struct(coalesce(sum({units_sql(inside, scale)}), 0) AS s, count({inside}) AS n)")
-    table = materialize(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows"),
-                                                F.expr(f"array({', '.join(cells)})").alias("cells")))
+            states[f"__s{o * inner + j}"] = (F.expr(f"coalesce(sum({units_sql(inside, scale)}), 0)"), "sum")
+            states[f"__n{o * inner + j}"] = (F.expr(f"count({inside})"), "sum")
+    lattice = roll_up(rows, columns, states, wanted=combinations)
     with_prior = bool(smooth or fillna)
     if with_prior:
-        sums = ", ".join(f"struct(sum(cells[{i}].s) AS s, sum(cells[{i}].n) AS n)" for i in range(outer * inner))
-        prior = table.agg(F.expr(f"array({sums})")).scalar()
+        sums = ", ".join(f"struct(sum(__s{i}) AS s, sum(__n{i}) AS n)" for i in range(outer * inner))
+        prior = lattice.table([lattice.id_of(combinations[0])]).agg(F.expr(f"array({sums})")).scalar()
 
     def add(array: str, field: str, o: int, without: int | None) -> str:
         return "(" + " + ".join(f"{array}[{o * inner + j}].{field}" for j in range(inner) if j != without) + ")"
 
-    def encoded(o: int, without: int | None) -> str:
-        """Mean over the inner folds of outer fold ``o`` other than ``without``."""
+    def encoded(i: int, o: int, without: int | None) -> str:
+        """Mean of combination ``i`` over the inner folds of outer fold ``o`` other than ``without``."""
         overall = None
         if with_prior:
             overall = mean_of_sql(add("__prior", "s", o, without), add("__prior", "n", o, without), scale)
-        value = mean_of_sql(add("cells", "s", o, without), add("cells", "n", o, without), scale, smooth, overall)
+        value = mean_of_sql(add(f"__cells_{i}", "s", o, without), add(f"__cells_{i}", "n", o, without), scale, smooth, overall)
         return f"coalesce({value}, {overall})" if fillna else value
 
     def fitted_rows(o: int) -> str:
-        inside = " ".join(f"WHEN __inner_{o} = {j} THEN {encoded(o, j)}" for j in range(inner))
-        return (f"struct({o} AS outer_fold, CASE WHEN {own} = {o} THEN 'val' ELSE 'train' END AS part, "
-                f"cast(CASE WHEN {own} = {o} THEN {encoded(o, None)} {inside} END AS float) AS {quoted(out)})")
+        values = []
+        for i, cols in enumerate(combinations):
+            inside = " ".join(f"WHEN __inner_{o} = {j} THEN {encoded(i, o, j)}" for j in range(inner))
+            values.append(f"cast(CASE WHEN {own} = {o} THEN {encoded(i, o, None)} {inside} END AS float) AS {quoted(te_name(cols))}")
+        return f"struct({o} AS outer_fold, CASE WHEN {own} = {o} THEN 'val' ELSE 'train' END AS part, {', '.join(values)})"
 
     def other_rows(o: int) -> str:
-        return (f"struct({o} AS outer_fold, 'test' AS part, cast({encoded(o, None)} AS float) AS {quoted(out)})")
+        values = [f"cast({encoded(i, o, None)} AS float) AS {quoted(te_name(cols))}" for i, cols in enumerate(combinations)]
+        return f"struct({o} AS outer_fold, 'test' AS part, {', '.join(values)})"
 
     def long(joined: DataFrame, cell) -> DataFrame:
         if with_prior:
@@ -128,8 +170,13 @@ def target_encode_nested(train: DataFrame, test: DataFrame, target: str, cols: S
         exploded = joined.select(id_col, F.expr(f"explode(array({', '.join(cell(o) for o in range(outer))}))").alias("c"))
         return exploded.select(id_col, "c.*")
 
-    fitted = attach(rows, table, cols, ["cells"], weight="rows", spread=[id_col])
-    others = attach(test.select(id_col, *cols), table, cols, ["cells"], spread=[id_col])
+    cells = ", ".join(f"struct(__s{i} AS s, __n{i} AS n)" for i in range(outer * inner))
+    fitted, others = rows, test.select(id_col, *columns)
+    for i, cols in enumerate(combinations):
+        table = lattice.table([lattice.id_of(cols)]).selectExpr(*map(quoted, cols), "__rows", f"array({cells}) AS __cells_{i}")
+        size = lattice.bytes_of(cols, 24 + 16 * outer * inner)
+        fitted = attach(fitted, table, cols, [f"__cells_{i}"], weight="__rows", spread=[id_col], n_bytes=size)
+        others = attach(others, table, cols, [f"__cells_{i}"], spread=[id_col], n_bytes=size)
     return long(fitted, fitted_rows).unionByName(long(others, other_rows))
 
 

@@ -55,8 +55,8 @@ class ExternalAggregates:
 
     def attach(self, df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
         """Look the value up as the float column ``name``; whether it is broadcast follows from the counted keys."""
-        rows = self.lattice.rows[self.lattice.id_of(keys)]
-        return attach(df, self.of(keys).select(*keys, F.col("value").cast("float").alias(name)), keys, [name], n_rows=rows)
+        table = self.of(keys).select(*keys, F.col("value").cast("float").alias(name))
+        return attach(df, table, keys, [name], n_bytes=self.lattice.bytes_of(keys, 8))
 
 
 def external_aggregates(external: DataFrame, columns: Sequence[str], target: str, agg: str = "mean", sizes: Sequence[int] | None = None,

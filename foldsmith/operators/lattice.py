@@ -33,6 +33,11 @@ class Lattice:
     parts: list[DataFrame] = field(default_factory=list)
     held: list[set[int]] = field(default_factory=list)
     rows: dict[int, int] = field(default_factory=dict)
+    widths: dict[str, int] = field(default_factory=dict)
+
+    def bytes_of(self, combo: Sequence[str], values: int) -> int:
+        """Most bytes that the keys of a combination and ``values`` bytes a row can take, from what was measured when it was fitted."""
+        return self.rows[self.id_of(combo)] * (sum(self.widths[c] for c in combo) + values)
 
     def id_of(self, combo: Sequence[str]) -> int:
         return sum(1 << self.columns.index(c) for c in combo)
@@ -54,8 +59,8 @@ class Lattice:
 
 
 def roll_up(df: DataFrame, columns: Sequence[str], states: Mapping[str, tuple[Column, str]], sizes: Sequence[int] | None = None,
-            always: Sequence[str] = ()) -> Lattice:
-    """States of every combination of ``columns`` (of the given sizes); ``always`` lists further keys of all of them.
+            always: Sequence[str] = (), wanted: Sequence[Sequence[str]] | None = None) -> Lattice:
+    """States of every combination of ``columns`` (of the given sizes, or the ``wanted`` ones); ``always`` lists further keys of all.
 
     A state is an aggregate over ``df`` and how two of its values merge (``sum``, ``min`` or ``max``). ``df`` is grouped once by all columns.
     After that each combination is summed up from the one with the fewest rows among those computed that contain it,
@@ -66,10 +71,13 @@ def roll_up(df: DataFrame, columns: Sequence[str], states: Mapping[str, tuple[Co
     columns, always = list(columns), list(always)
     lattice = Lattice(columns)
     full = (1 << len(columns)) - 1
-    wanted = {lattice.id_of(c) for c in combos(columns, sizes)}
+    sought = {lattice.id_of(c) for c in (combos(columns, sizes) if wanted is None else wanted)}
+    text = [c for c, kind in df.select(*columns).dtypes if kind in ("string", "binary")]
     base = write_table(df.groupBy(*columns, *always).agg(*[agg.alias(name) for name, (agg, _) in states.items()])
                        .withColumn("combo_id", F.lit(full)).select("combo_id", *columns, *always, *states), "lattice")
-    counts = base.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    counts = base.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
+                      *[F.max(F.octet_length(c)).alias(f"w{i}") for i, c in enumerate(columns) if c in text]).first()
+    lattice.widths = {c: 16 + (counts[f"w{i}"] or 0) if c in text else 8 for i, c in enumerate(columns)}
     lattice.parts, lattice.held, lattice.rows = [base], [{full}], {full: counts["rows"]}
 
     def expected(combo_id: int) -> int:
@@ -79,7 +87,7 @@ def roll_up(df: DataFrame, columns: Sequence[str], states: Mapping[str, tuple[Co
                 size *= counts[f"d{i}"] + 1
         return min(size, counts["rows"])
 
-    pending = wanted - {full}
+    pending = sought - {full}
     while pending:
         sources: dict[int, list[int]] = {}
         for combo in sorted(pending):
@@ -98,6 +106,6 @@ def roll_up(df: DataFrame, columns: Sequence[str], states: Mapping[str, tuple[Co
         lattice.held.append(made)
         lattice.rows.update({t: found.get(t, 0) for t in made})
         pending -= made
-    if full not in wanted:
+    if full not in sought:
         lattice.rows.pop(full)
     return lattice

@@ -32,14 +32,9 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
-def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, n_rows: int | None = None) -> bool:
-    """True when the rows of ``df`` measure at most ``max_bytes``.
-
-    With their known number, rows of fixed width need no job.
-    """
-    if n_rows is not None and not any(kind in ("string", "binary") or kind.startswith(("array", "struct", "map")) for _, kind in df.dtypes):
-        return 8 * len(df.columns) * n_rows <= max_bytes
-    return measured_bytes(df) <= max_bytes
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, n_bytes: int | None = None) -> bool:
+    """True when the rows of ``df`` measure at most ``max_bytes``; a size known from its fit needs no job."""
+    return (measured_bytes(df) if n_bytes is None else n_bytes) <= max_bytes
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -67,17 +62,17 @@ def _salted(base: DataFrame, table: DataFrame, keys: Sequence[str], weight: str
 
 def attach(base: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str] | None = None,
            weight: str | None = None, spread: Sequence[str] | None = None,
-           max_broadcast_bytes: int = BROADCAST_BYTES, n_rows: int | None = None) -> DataFrame:
+           max_broadcast_bytes: int = BROADCAST_BYTES, n_bytes: int | None = None) -> DataFrame:
     """Left join on null-safe ``keys``; ``table`` has at most one row per key and is cheap to re-read.
 
     ``weight`` names the column of ``table`` with the number of base rows per key, when the table was
     made from the base; otherwise hot keys are counted in the base.  ``spread`` lists the base columns
-    that distribute the rows of a hot key (the id, or every column). ``n_rows`` is the number of rows of ``table``, if known.
+    that distribute the rows of a hot key (the id, or every column). ``n_bytes`` is the size of ``table``, if known.
     """
     keys = list(keys)
     values = [c for c in table.columns if c not in keys and c != weight] if values is None else list(values)
     keep = base.columns
-    small = is_small(table, max_broadcast_bytes, n_rows)
+    small = is_small(table, max_broadcast_bytes, n_bytes)
     on = list(keys)
     if not small:
         spread = list(spread or (["id"] if "id" in keep else keep))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldsmith import creators
 from foldsmith.functions.exact import mean
 from foldsmith.operators import duplicates, encoders, external, metrics
 from foldsmith.operators.sets import adversarial_frame
@@ -114,6 +115,44 @@ def target_encode_nested(spark, sf):
     return _as_double(out, "te_mean_qty_disc")
 
 
+MANY = [["qty"], ["qty", "disc"], ["status", "qty"], ["status", "qty", "disc"], ["mon", "tax"], ["flag", "line", "mon"]]
+
+
+@query("target_encode_many", sql(
+    "SELECT t.id, " + ", ".join(f"e{i}.te AS {encoders.te_name(c)}" for i, c in enumerate(MANY)) + " FROM f t "
+    + " ".join(f"JOIN (SELECT * FROM m{i}_oof UNION ALL SELECT * FROM m{i}_test) e{i} ON e{i}.id = t.id" for i in range(len(MANY))) + " WHERE t.split <> 'ext'",
+    *[sql_te(f"m{i}", c) for i, c in enumerate(MANY)]))
+def target_encode_many(spark, sf):
+    """Six combinations from one roll-up of the folds' sums."""
+    tr, te = encoders.target_encode_many(train(spark, sf), test(spark, sf), "y", MANY, scale=CENTS)
+    names = [encoders.te_name(c) for c in MANY]
+    return _as_double(tr.select("id", *names).unionByName(te.select("id", *names)), *names)
+
+
+NESTED = [["qty"], ["qty", "disc"], ["status", "mon"]]
+
+
+@query("target_encode_nested_many", sql(
+    "SELECT n0.id, n0.outer_fold, n0.part, " + ", ".join(f"n{i}.te AS {encoders.te_name(c)}" for i, c in enumerate(NESTED)) + " FROM n0 "
+    + " ".join(f"JOIN n{i} ON n{i}.id = n0.id AND n{i}.outer_fold = n0.outer_fold AND n{i}.part = n0.part" for i in range(1, len(NESTED))),
+    *[sql_nested(f"n{i}", c) for i, c in enumerate(NESTED)]))
+def target_encode_nested_many(spark, sf):
+    out = encoders.target_encode_nested_many(train(spark, sf), test(spark, sf), "y", NESTED, scale=CENTS)
+    return _as_double(out, *[encoders.te_name(c) for c in NESTED])
+
+
+@query("pair_candidates", sql(
+    "SELECT 'arith' AS kind, a.c AS a, b.c AS b FROM d a JOIN d b ON a.place < b.place WHERE a.number AND b.number AND a.n > 1 AND b.n > 1 "
+    "UNION ALL SELECT 'combine', a.c, b.c FROM d a JOIN d b ON a.place < b.place WHERE a.n > 1 AND b.n > 1 AND (NOT a.number OR a.n <= 12) AND (NOT b.number OR b.n <= 12) "
+    "UNION ALL SELECT 'group', a.c, b.c FROM d a JOIN d b ON a.c <> b.c WHERE a.number AND a.n > 1 AND b.n > 1 AND (NOT b.number OR b.n <= 12)",
+    "d AS (" + " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS c, {str(c not in ('status', 'flag')).upper()} AS number, count(DISTINCT {c}) AS n FROM train"
+                                  for i, c in enumerate(FEATURES)) + ")"))
+def pair_candidates(spark, sf):
+    """Column pairs of each kind, enumerated from types and distinct counts."""
+    found = creators.candidate_pairs(train(spark, sf), FEATURES, max_nunique_if_numeric=12)
+    return spark.createDataFrame([(kind, a, b) for kind, pairs in found.items() for a, b in pairs], "kind string, a string, b string")
+
+
 SMOOTH_SQL = """SELECT id, CAST(CAST(coalesce(te, g) AS FLOAT) AS DOUBLE) AS te_mean_qty_disc_tax FROM (
  SELECT t.id, (coalesce(a.s - coalesce(k.s, 0), 0)::DOUBLE / 100.0::DOUBLE + 10.0::DOUBLE * g.g) / nullif((a.n - coalesce(k.n, 0))::DOUBLE + 10.0::DOUBLE, 10.0::DOUBLE) AS te, g.g
  FROM train t JOIN ea a USING (qty, disc, tax) JOIN ek k USING (qty, disc, tax, fold) JOIN gf g USING (fold)

@@ -237,3 +237,21 @@ def test_shares_of_lookups_left_empty(spark):
     found = external.external_aggregates(outer, ["a", "b"], "y", "mean")
     quotas = {r["combo"]: (r["rows"], r["nan_quota"], r["mean"]) for r in external.map_quotas(found, rows, rows).collect()}
     assert quotas == {"a": (8, 0.25, pytest.approx(10 / 3)), "b": (8, 0.25, 4.0), "a_b": (8, 0.5, 4.0)}
+
+
+@pytest.mark.parametrize("options", [{}, {"smooth": 3.0}, {"smooth": 2.0, "fillna": True}, {"fillna": True}])
+def test_many_encodings_equal_single_ones(spark, options):
+    rng = random.Random(2)
+    data = [(i, rng.choice(["u", "v", None]), rng.randrange(5), rng.choice([None, 1.5]), i % 4, rng.choice([None, *map(float, range(9))])) for i in range(300)]
+    train = spark.createDataFrame(data, "id int, a string, b int, c double, fold int, y double")
+    test = spark.createDataFrame([(1000 + i, rng.choice(["u", "w", None]), rng.randrange(7), None) for i in range(40)], "id int, a string, b int, c double")
+    combos = [["a"], ["b", "a"], ["c"], ["a", "c", "b"]]
+    many = encoders.target_encode_many(train, test, "y", combos, n_splits=4, **options)
+    nested = encoders.target_encode_nested_many(train, test, "y", combos, 4, 3, **options)
+    for cols in combos:
+        name = encoders.te_name(cols)
+        single = encoders.target_encode_kfold(train, test, "y", cols, n_splits=4, **options)
+        for one, all_ in zip(single, many):
+            assert by_id(one, name) == pytest.approx(by_id(all_, name))
+        key = lambda df: {(r["id"], r["outer_fold"], r["part"]): r[name] for r in df.collect()}  # noqa: E731, B023
+        assert key(encoders.target_encode_nested(train, test, "y", cols, 4, 3, **options)) == pytest.approx(key(nested))

@@ -49,3 +49,23 @@ def test_features_models_and_blend(spark, sf_dir, tmp_path):
     assert stack.score < 1.2 * first.score and stack.oof.count() == train.count()
     written = spark.read.csv(f"{out}/submission", header=True, schema="id string, y double")
     assert written.count() == test.count() == written.filter("y BETWEEN 1 AND 200000").select("id").distinct().count()
+
+
+def test_pair_search(spark, tmp_path):
+    """Pairs come from types and counts; constants take no part, repeats are left out across blocks."""
+    df = spark.range(200).select(F.col("id").cast("string").alias("id"), ((F.col("id") * 37) % 101).cast("double").alias("x"), (F.col("id") % 4 + 1).alias("k"),
+                                 F.lit(5).alias("same"), F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("s"))
+    columns = ["x", "k", "same", "s"]
+    pairs = creators.candidate_pairs(df, columns, 10)
+    assert pairs == {"arith": [("x", "k")], "combine": [("k", "s")], "group": [("x", "k"), ("x", "s"), ("k", "s")]}
+    assert creators.candidate_pairs(df, columns)["combine"] == []
+    sizes = {}
+    for at_once in (3, 60):
+        store = FeatureStore(spark, str(tmp_path / f"store{at_once}"))
+        found = creators.search_pair_features(store, df, df, columns, max_nunique_if_numeric=10, max_corr=0.999, at_once=at_once)
+        assert set(found) == {r["column_name"] for r in store.catalog().collect()}
+        assert store.read_features(found)[0].count() == 200
+        sizes[at_once] = sorted(found)
+        # the least of x and 1..4 hardly differs from x, and so does their maximum
+        assert "Combine_k_s" in found and "Multiply_x_k" in found and "Max_x_k" not in found and "Plus_x_k" not in found
+    assert sizes[3] == sizes[60]
