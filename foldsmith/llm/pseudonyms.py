@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 from datetime import date
@@ -13,22 +14,28 @@ from pyspark.sql import DataFrame
 
 from foldsmith.llm.common import map_batches, slices
 
-KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date")
+KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "ipv6", "date")
 ROUNDS = 8
-FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+FIRST_DAY, SHORT_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2000, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 NEEDLE = re.compile(r"[0-9@]")
 PATTERNS = {
-    "email": r"[A-Za-z0-9](?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\w-]|[./][0-9])",
+    "email": r"\w(?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}[a-z0-9]{11,30})(?![A-Za-z0-9])",
+    "date": r"(?<![\w.-])(?<![0-9]/)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+            r"|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{2}))(?!(?!T[0-9])[\w-]|[./][0-9])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])",
+    "ipv6": r"(?<![\w:])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-             r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?!\w)",
+             r"|(?<![0-9] )00[1-9][0-9]{0,2}(?:[ .-][0-9]{2,8}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?P<gap>[ .-])[0-9]{3}(?P=gap)[0-9]{4})(?!\w)",
 }
 FOUND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+# letters move among those of their own kind
+CLASSES = {"0": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz",
+           "À": "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)])), "à": "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))}
+CLASS_OF = {c: (kind, i) for kind, chars in CLASSES.items() for i, c in enumerate(chars)}
 # what may stand between the groups of a value whose pattern can run on into what follows it
 BETWEEN = {"iban": " ", "card": " -", "phone": " .-"}
 ALONE = {kind: re.compile(PATTERNS[kind]) for kind in BETWEEN}
@@ -69,19 +76,19 @@ def luhn_ok(digits: str) -> bool:
 
 
 def _classes(text: str, key: bytes, tweak: str) -> str:
-    """Digits, capitals and small ASCII letters moved within their classes; all else stays."""
-    bases = {"0": 10, "A": 26, "a": 26}
-    kinds = ["0" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "" for c in text]
+    """Digits, capitals and small letters, ASCII's and Latin-1's, moved within their classes; all else stays."""
+    known = [CLASS_OF.get(c) for c in text]
     value, size = 0, 1
-    for c, k in zip(text, kinds):
-        if k:
-            value, size = value * bases[k] + ord(c) - ord(k), size * bases[k]
-    value = moved(value, size, key, tweak + "".join(k or c for c, k in zip(text, kinds)))
+    for at in known:
+        if at:
+            width = len(CLASSES[at[0]])
+            value, size = value * width + at[1], size * width
+    value = moved(value, size, key, tweak + "".join(at[0] if at else c for c, at in zip(text, known)))
     out = []
-    for c, k in zip(reversed(text), reversed(kinds)):
-        if k:
-            value, rest = divmod(value, bases[k])
-            c = chr(ord(k) + rest)
+    for c, at in zip(reversed(text), reversed(known)):
+        if at:
+            value, rest = divmod(value, len(CLASSES[at[0]]))
+            c = CLASSES[at[0]][rest]
         out.append(c)
     return "".join(reversed(out))
 
@@ -102,12 +109,13 @@ def _card(text: str, key: bytes) -> str | None:
 
 
 def _iban(text: str, key: bytes) -> str | None:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
     if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
         return None
     body = _classes(plain[4:], key, "iban" + plain[:2])
-    return _fill(text, f"{plain[:2]}{98 - number(body + plain[:2] + '00') % 97:02d}{body}")
+    new = _fill(text, f"{plain[:2]}{98 - number(body + plain[:2] + '00') % 97:02d}{body}")
+    return new.lower() if text.islower() else new
 
 
 def _ssn(text: str, key: bytes) -> str | None:
@@ -127,31 +135,40 @@ def _ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, moved(int.from_bytes(bytes(octets), "big"), 1 << 32, key, "ip").to_bytes(4, "big")))
 
 
+def _ipv6(text: str, key: bytes) -> str | None:
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(moved(value, 1 << 128, key, "ipv6"))) if value > 1 else None
+
+
 def _date(text: str, key: bytes) -> str | None:
     parts = re.split(r"[-./]", text)
-    order = {"-": "ymd", ".": "dmy", "/": "mdy"}[re.search(r"[-./]", text)[0]]
+    order = "ymd" if len(parts[0]) == 4 else {".": "dmy", "/": "mdy"}[re.search(r"[./]", text)[0]]
     if order == "mdy" and int(parts[0]) > 12:
         order = "dmy"
-    fields = dict(zip(order, map(int, parts)))
+    fields, short = dict(zip(order, map(int, parts))), order != "ymd" and len(parts[2]) == 2
     try:
-        day = date(fields["y"], fields["m"], fields["d"]).toordinal()
+        day = date(fields["y"] + 2000 * short, fields["m"], fields["d"]).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    first = SHORT_DAY if short else FIRST_DAY
+    if not first <= day <= LAST_DAY:
         return None
-    new = date.fromordinal(FIRST_DAY + moved(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-    values = {"y": new.year, "m": new.month, "d": new.day}
-    wide = min(map(len, parts)) == 2 or order == "ymd"
+    new = date.fromordinal(first + moved(day - first, LAST_DAY - first + 1, key, "short date" if short else "date"))
+    values = {"y": new.year % 100 if short else new.year, "m": new.month, "d": new.day}
+    wide = min(map(len, parts[:2])) == 2 or order == "ymd"
     if order == "dmy" and "/" in text and new.day <= 12:
         order = "mdy"
-    return re.search(r"[-./]", text)[0].join(str(values[f]).zfill(2 if wide else 1) for f in order)
+    return re.search(r"[-./]", text)[0].join(str(values[f]).zfill(2 if wide or f == "y" else 1) for f in order)
 
 
 def _phone(text: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", text)
     if not 7 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+[0-9]{1,3}(?=\D)", text)
+    code = re.match(r"(?:\+|00)[0-9]{1,3}(?=\D)", text)
     head = text[:code.end()] if code else "+" if text[0] == "+" else ""
     return head + _classes(text[len(head):], key, "phone" + head)
 
@@ -161,7 +178,7 @@ def _email(text: str, key: bytes) -> str | None:
     return f"{_classes(name, key, 'email' + domain.lower())}@{domain}"
 
 
-RULES = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date}
+RULES = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "ipv6": _ipv6, "date": _date}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -177,7 +194,7 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     out, spans, at, end = [], [], 0, 0
     found = FOUND.search(text)
     while found:
-        kind = found.lastgroup
+        kind = next(k for k in PATTERNS if found[k] is not None)
         new, stop = pseudonym(kind, found[0], key), found.end()
         if new is None and kind in BETWEEN:
             kind, new, stop = _shorter(text, found, key)
@@ -211,7 +228,7 @@ def _shorter(text: str, found: re.Match, key: bytes) -> tuple[str, str | None, i
     A check digit also fits by chance, so a shorter value gives way to a longer one that starts at a later group of it. Digits
     that are no card number may begin with a phone number.
     """
-    kind, start = found.lastgroup, found.start()
+    kind, start = next(k for k in PATTERNS if found[k] is not None), found.start()
     new, stop = _reading(kind, text, start, key)
     length = lambda a, b: sum(map(str.isalnum, text[a:b]))
     for at in range(start + 1, stop):
@@ -238,7 +255,8 @@ def pseudonymize(documents: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, spans) per row of ``documents``: texts with personal values replaced, and where they are now.
 
     Kinds: e-mail addresses (the name changes, the domain stays), phone numbers (the country code stays), card numbers (Luhn), IBANs
-    (mod 97), social security numbers, IPv4 addresses and calendar dates from 1900 to 2099. Values that fail their check
+    (mod 97, in capitals or all in small letters), social security numbers, IPv4 and IPv6 addresses and calendar dates from 1900 to 2099,
+    also with a time behind them, and of two-digit years, which are those from 2000. Values that fail their check
     stay; a card number, IBAN or phone number is also found with groups of digits or capitals right behind it, as an expiry date or
     a currency. A value is encoded as a number below its format's size, moved by a keyed Feistel permutation and written in the same format
     with check digits made anew, so it stays valid, keeps its separators, and equal values are equal in all documents

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import ipaddress
+import random
 import re
 from datetime import date
 
 from foldsmith.llm.pseudonyms import feistel, luhn_ok, moved, pseudonymize, replace
-from tests.llm.tables import frame, plain
+from tests.llm.tables import frame, plain, sentence
 
 KEY = b"test"
 
@@ -37,6 +39,66 @@ def test_formats_and_checks_hold():
     assert all(0 <= int(o) < 256 for o in new("97.51.17.173").split(".")) and new("97.51.17.173") != "97.51.17.173"
 
 
+def test_more_formats():
+    for value in ("2024/01/05", "11/22/24", "10/12/1987", "555.123.4567", "555 123 4567", "(212) 555.0101", "0049 30 1234567", "0044-20-7946-0958",
+                  "gb82west12345698765432", "jürgen.groß@mail.example.de", "ÉLODIE@x.example.fr"):
+        other = new(value)
+        split = value.index("@") if "@" in value else len(value)
+        assert other != value and len(other) == len(value) and shape(other)[split:] == shape(value)[split:], (value, other)
+        assert [c.isalpha() for c in other] == [c.isalpha() for c in value] and [c.isupper() for c in other] == [c.isupper() for c in value], (value, other)
+    assert new("gb82west12345698765432").upper() == new("GB82WEST12345698765432")
+    stamp = new("2024-01-05T10:00:00Z")
+    assert stamp[10:] == "T10:00:00Z" and stamp[:10] == new("2024-01-05") != "2024-01-05"
+    short = new("1/2/24")
+    assert short != "1/2/24" and re.fullmatch(r"\d{1,2}/\d{1,2}/\d{2}", short)
+    for value in ("2001:db8::8a2e:370:7334", "fe80:0:0:0:202:b3ff:fe1e:8329", "FE80::1:2"):
+        assert ipaddress.IPv6Address(new(value)) != ipaddress.IPv6Address(value)
+    assert new("FE80::1:2") == new("fe80:0:0:0:0:0:1:2")  # one address, one pseudonym
+    for value in ("10:00:00", "::", "::1", "a:b:c", "1:2", "99/99/24", "2024/13/05", "1/2/3/24", "std::vec::new", "00:11:22"):
+        assert new(value) == value
+
+
+def test_generated_values_in_prose(spark):
+    """Every planted value of every kind goes, in any text; what stands around it stays; equal values stay equal."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    day = lambda low: date.fromordinal(rng.randrange(date(low, 1, 1).toordinal(), date(2099, 12, 31).toordinal()))
+
+    def card():
+        body = "4" + digits(14)
+        return body + next(c for c in "0123456789" if luhn_ok(body + c))
+
+    def iban():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    makers = {"email": lambda: f"{rng.choice(['anna', 'bé', 'x.y'])}{digits(2)}@h{digits(1)}.example.org", "card": card, "iban": iban,
+              "phone": lambda: rng.choice(["+1 ({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "({0}) {1}-{2}"]).format(rng.randint(200, 999), rng.randint(200, 999), digits(4)),
+              "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+              "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "ipv6": lambda: "2001:db8:" + ":".join(f"{rng.randint(1, 65535):x}" for _ in range(6)),
+              "date": lambda: rng.choice([lambda d: d.isoformat(), lambda d: d.strftime("%d.%m.%Y"), lambda d: d.strftime("%Y/%m/%d")])(day(1900))}
+    values = {kind: [make() for _ in range(25)] for kind, make in makers.items()}
+    texts, planted = {}, {}
+    for i in range(300):
+        parts, planted[i] = [], []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.choice(list(values))
+            planted[i].append((kind, rng.choice(values[kind])))
+            parts += [sentence(rng, 4).replace(".", ""), planted[i][-1][1]]
+        texts[i] = " ; ".join([*parts, "end"])
+    mapped: dict[str, set] = {}
+    for row in pseudonymize(plain(spark, texts), KEY).collect():
+        want = planted[row["doc_id"]]
+        assert [s["kind"] for s in row["spans"]] == [kind for kind, _ in want]
+        old = texts[row["doc_id"]].split(" ; ")
+        now = row["text"].split(" ; ")
+        assert now[0::2] == old[0::2] and len(now) == len(old)
+        for (kind, value), other, span in zip(want, now[1::2], row["spans"]):
+            assert other != value and row["text"][span["start"]:span["end"]] == other
+            mapped.setdefault(value, set()).add(other)
+    assert all(len(others) == 1 for others in mapped.values()) and len({next(iter(o)) for o in mapped.values()}) == len(mapped)
+
+
 def test_what_fails_its_check_stays():
     for value in ("9807915762804491", "300.1.1.1", "2023-02-30", "000-12-3456", "DE00 3704 0044 0532 0130 00", "1.2.3.4.5", "v1.2", "12345", "a@b", "0000000000000000"):
         assert new(value) == value
