@@ -6,13 +6,22 @@ partition sums its own part and a tiny table of partition totals supplies the of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foldsmith.functions.exact import quoted
 from foldsmith.operators.lookup import attach
-from foldsmith.storage import materialize
+from foldsmith.storage import materialize, write_table
+
+# a sketch's ranks are off by a share of 1 / ACCURACY at most; brackets reach twice as far to either side
+ACCURACY = 10_000
+# columns of so few values, and brackets with so few distinct ones, are read whole
+FEW, MOST = 100_000, 1_000_000
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], weights: Sequence[str],
@@ -55,8 +64,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return running_totals(counts, ["value"], ["n"], by=["column_name"])
 
 
-def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles as one row with an array column per input column."""
+def _by_running_totals(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """`quantile_row` from all distinct values, range-partitioned."""
     counts = value_counts(df, columns)
     rows = counts.groupBy("column_name").agg(F.sum("n").alias("rows"))
     # one row per column name
@@ -77,6 +86,101 @@ def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[
     return counts.agg(*found).selectExpr(*[between.format(quoted(c)) for c in columns])
 
 
+def _brackets(facts, i: int, probabilities: Sequence[float], wanted: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint intervals that hold the quantiles of column ``i``: between sketched ones, or the whole of a small column."""
+    n, low, high = facts[f"n{i}"], facts[f"a{i}"], facts[f"b{i}"]
+    if n <= FEW:
+        return [(low, high)] if n else []
+    at = dict(zip(wanted, facts[f"q{i}"]))
+    out: list[tuple[float, float]] = []
+    for p in sorted(probabilities):
+        under, over = p - 2 / ACCURACY, p + 2 / ACCURACY
+        lo, hi = low if under <= 0 else at[under], high if over >= 1 else at[over]
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _counted(values: DataFrame, brackets: Sequence[Sequence[tuple[float, float]]]) -> DataFrame:
+    """(c, outside, value, n): distinct values in the brackets of column ``c``, and rows between them (``outside``: how many
+    brackets lie below), in one pass; a task sends sums."""
+    bounds = [(np.array([lo for lo, _ in b]), np.array([hi for _, hi in b])) for b in brackets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, (lows, highs) in enumerate(bounds):
+                x = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
+                if not len(lows) or not len(x):
+                    continue
+                below = np.searchsorted(lows, x, "right")
+                inside = (below > 0) & (x <= highs[np.maximum(below - 1, 0)])
+                value, n = np.unique(x[inside], return_counts=True)
+                outside = np.bincount(below[~inside], minlength=len(lows) + 1)
+                gaps = np.flatnonzero(outside)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(value) + len(gaps), c, np.int32)), pa.array([None] * len(value) + gaps.tolist(), pa.int32()),
+                     pa.array([*value.tolist(), *[None] * len(gaps)], pa.float64()), pa.array([*n.tolist(), *outside[gaps].tolist()], pa.int64())],
+                    names=["c", "outside", "value", "n"])
+
+    told = values.mapInArrow(run, "c int, outside int, value double, n long")
+    return told.groupBy("c", "outside", "value").agg(F.sum("n").alias("n"))
+
+
+def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles as one row with an array column per input column.
+
+    One pass makes mergeable sketches, whose quantiles bracket the exact ones; a second counts the rows outside the
+    brackets and the distinct values inside, which is all that is shuffled. What is left to sort is some ten-thousandths of
+    the rows. Should it be more than a million values, or a bracket miss its rank, all distinct values are range-partitioned.
+    """
+    columns, probabilities = list(columns), [float(p) for p in probabilities]
+    spark = df.sparkSession
+    number = [F.col(quoted(c)).cast("double") for c in columns]
+    values = df.select(*[F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(number)])
+    wanted = sorted({q for p in probabilities for q in (p - 2 / ACCURACY, p + 2 / ACCURACY) if 0 < q < 1}) or [0.5]
+    facts = values.agg(*[f for i in range(len(columns)) for f in (
+        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"a{i}"), F.max(f"c{i}").alias(f"b{i}"),
+        F.percentile_approx(f"c{i}", F.lit(wanted), ACCURACY).alias(f"q{i}"))]).first()
+    brackets = [_brackets(facts, i, probabilities, wanted) for i in range(len(columns))]
+    counted = write_table(_counted(values, brackets), "brackets")
+    if counted.count() > MOST:
+        return _by_running_totals(df, columns, probabilities)
+    inside: list[list[tuple[float, int]]] = [[] for _ in columns]
+    outside = [[0] * (len(b) + 1) for b in brackets]
+    for r in counted.toArrow().to_pylist():
+        if r["value"] is None:
+            outside[r["c"]][r["outside"]] += r["n"]
+        else:
+            inside[r["c"]].append((r["value"], r["n"]))
+    row = []
+    for i in range(len(columns)):
+        found, seen, lows = [], 0, [lo for lo, _ in brackets[i]]
+        for value, n in sorted(inside[i]):
+            before = seen + sum(outside[i][:bisect_right(lows, value)])
+            found.append((before, before + n, value))
+            seen += n
+        starts = [b for b, _, _ in found]
+
+        def at(rank: int) -> float | None:
+            k = bisect_right(starts, rank) - 1
+            return found[k][2] if k >= 0 and rank < found[k][1] else None
+
+        cells: list[float | None] = []
+        for p in probabilities:
+            if not facts[f"n{i}"]:
+                cells.append(None)
+                continue
+            position = p * (facts[f"n{i}"] - 1)
+            low, high = at(floor(position)), at(ceil(position))
+            if low is None or high is None:
+                return _by_running_totals(df, columns, probabilities)
+            cells.append(low + (high - low) * (position - floor(position)))
+        row.append(cells)
+    return spark.createDataFrame([tuple(row)], ", ".join(f"{quoted(c)} array<double>" for c in columns))
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles as ``(column_name, q, value)`` rows."""
     probabilities = list(probabilities)

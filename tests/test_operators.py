@@ -6,6 +6,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,24 @@ def test_many_encodings_equal_single_ones(spark, options):
             assert by_id(one, name) == pytest.approx(by_id(all_, name))
         key = lambda df: {(r["id"], r["outer_fold"], r["part"]): r[name] for r in df.collect()}  # noqa: E731, B023
         assert key(encoders.target_encode_nested(train, test, "y", cols, 4, 3, **options)) == pytest.approx(key(nested))
+
+
+@pytest.mark.parametrize("few, accuracy, most", [(100_000, 10_000, 10**6), (50, 100, 10**6), (50, 100, 5), (0, 20, 10**6)])
+def test_quantiles_between_brackets(spark, monkeypatch, few, accuracy, most):
+    """Small columns whole, brackets between sketched quantiles, and the way for too many values: the same exact rows."""
+    monkeypatch.setattr(ordering, "FEW", few)
+    monkeypatch.setattr(ordering, "ACCURACY", accuracy)
+    monkeypatch.setattr(ordering, "MOST", most)
+    rng = np.random.default_rng(9)
+    table = {"a": rng.normal(0, 1, 3000), "b c": rng.integers(0, 7, 3000).astype(float), "c": np.where(rng.random(3000) < 0.4, np.nan, rng.exponential(1, 3000)),
+             "d": np.full(3000, np.nan), "e": np.where(rng.random(3000) < 0.9, 5.0, rng.normal(0, 100, 3000)), "f": np.full(3000, 2.0)}
+    rows = [tuple(float(v[i]) if not (np.isnan(v[i]) and i % 2) else None for v in table.values()) for i in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in table)).repartition(7)
+    shares = [0.0, 0.25, 1 / 3, 0.5, 0.51, 0.9, 0.999, 1.0]
+    got = ordering.quantile_row(df, list(table), shares).first()
+    for c, v in table.items():
+        v = v[~np.isnan(v)]
+        assert got[c] == ([None] * 8 if not len(v) else pytest.approx(list(np.quantile(v, shares)), rel=1e-12))
+    few_rows = df.limit(3)
+    assert ordering.quantile_row(few_rows, ["f"], [0.5]).first()["f"] == [2.0]
+    assert ordering.quantile_row(df.limit(0), ["f"], [0.5]).first()["f"] == [None]
