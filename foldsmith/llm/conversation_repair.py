@@ -221,7 +221,7 @@ def repair_conversations(conversations: DataFrame) -> Repair:
 
     Null roles and texts count as one space; null turns come first and are left out of ``gaps`` (missing turn numbers); rows without
     conv_id are a conversation of their own; repeated rows are duplicates. A conversation of blank rows ends up without rows. An
-    empty table gives empty results. Other columns are ignored. A conversation may be longer than a task holds.
+    empty table gives empty results. Other columns are ignored. A conversation may be longer than a task holds, a text is one value.
     """
     rows = _ordered(conversations)
     chunks = _chunks(_coded(rows))

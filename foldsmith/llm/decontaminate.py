@@ -169,7 +169,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, share: float = 0.0
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.08) -> DataFrame:
-    """The rows of ``documents`` that contain no item, with an id or without; rows are judged where they lie, without a shuffle."""
+    """The rows of ``documents`` that contain no item, with an id or without; rows are judged where they lie, without a shuffle.
+
+    Containing is as in `contamination`. Null and empty texts contain nothing and stay; so do rows without doc_id that contain
+    nothing; repeated rows stay or go together. An empty benchmark or table changes nothing.
+    """
     out, at = documents, documents.columns.index("text")
     for items in item_blocks(benchmark, share):
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

@@ -155,6 +155,9 @@ def mix_documents(documents: DataFrame, repetition: float | None = 2.0, entropy:
 
     How often follows from the row's source and key alone: whole rounds, and one more up to the key where the budget ends. So
     only a row per source is joined to the texts. Rows are not dealt to blocks or ordered; block, epoch and slot are `mixture`'s.
+
+    A null source is a source of its own. Null and empty texts have no words, take nothing of the budget, and are read at least once; repeated rows
+    and rows without doc_id are read like others. An empty table stays empty.
     """
     own = ("doc_id", "text", "source")
     keyed = with_keys(pack(documents, *own), seed)

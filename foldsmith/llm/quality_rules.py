@@ -124,7 +124,7 @@ def thresholds(sketch: DataFrame, spread: int = 6, weight: int = 100) -> DataFra
     The quantiles of a language and source are drawn towards their language's, and a language's towards the whole corpus's, by
     ``weight`` documents. Where the lower quartile is above 0, a value may lie ``spread`` quartile distances above the upper quartile.
     Where a quarter of the documents has none of what is counted, quartiles say little: the numerator may reach ``spread``
-    times what the ninth decile lets expect, plus ``spread`` events. No bound is above that of the whole corpus, so a group that is
+    times what the ninth decile lets expect (rounded up to the next thousandth, as values are rounded down), plus ``spread`` events. No bound is above that of the whole corpus, so a group that is
     largely junk does not set its own.
     """
     sketch = write_table(sketch, "sketch")
@@ -138,7 +138,7 @@ def thresholds(sketch: DataFrame, spread: int = 6, weight: int = 100) -> DataFra
     def bound(prefix: str) -> tuple[Column, Column]:
         low, high, top = (F.col(prefix + q) for q in QUANTILES)
         unit = F.create_map(*(F.lit(x) for m, (_, _, u) in METRICS.items() for x in (m, u)))[F.col("metric")]
-        return F.when(low > 0, high + spread * (high - low)).otherwise(spread * top), F.when(low > 0, 0).otherwise(1000 * spread * unit)
+        return F.when(low > 0, high + spread * (high - low)).otherwise(spread * (top + 1)), F.when(low > 0, 0).otherwise(1000 * spread * unit)
 
     (slope, offset), (most_slope, most_offset) = bound(""), bound("l_w_")
     bounds = {"slope": slope, "offset": offset, "most_slope": most_slope, "most_offset": most_offset}

@@ -65,7 +65,7 @@ _QUANTILES = f"""SELECT {{keys}} metric, size, low, {_LAST.format('high')} AS hi
     SELECT {{keys}} metric, low, sum(n) OVER (PARTITION BY {{keys}} metric ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {{keys}} metric) AS size
     FROM (SELECT {{keys}} metric, low, count(*) AS n FROM sk GROUP BY {{keys}} metric, low)) GROUP BY {{keys}} metric)"""
 _DRAWN = ", ".join("(c.size * c.{0} + 100 * p.{0}) // (c.size + 100) AS {0}".format(q) for q in ("low", "high", "top"))
-_BOUND = "CASE WHEN {0}.low > 0 THEN ({0}.high + 6 * ({0}.high - {0}.low)) * c.under ELSE 6 * ({0}.top * c.under + 1000 * c.unit) END"
+_BOUND = "CASE WHEN {0}.low > 0 THEN ({0}.high + 6 * ({0}.high - {0}.low)) * c.under ELSE 6 * (({0}.top + 1) * c.under + 1000 * c.unit) END"
 
 QUALITY_RULES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),

@@ -246,7 +246,11 @@ def read_token_files(spark, folder: str, doc_id_type: str = "long") -> DataFrame
 
 
 def token_digests(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of ``documents``, written as token files and read back from them."""
+    """(doc_id, start, n_tokens, ids_crc32) of ``documents``, written as token files and read back from them.
+
+    A null or empty text is the end id alone. Rows without doc_id come first, rows of one id in the order of their ids' hash, repeated
+    rows each for themselves. An empty table gives no rows. Other columns are ignored.
+    """
     spark = documents.sparkSession
     folder = scratch_path(spark, "tokens")
     write_token_files(documents, folder, tokenizer, end_id)

@@ -154,7 +154,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_byte
     ``archive`` is a whole .warc.zst file of about ``bundle_bytes``: independent frames of about ``frame_bytes`` of records, then the
     seek table. ``index`` maps record ids to frame and offset within it. Of records with equal payloads of at least
     ``min_bytes`` the one with the least page_id (then url; nulls last) is a response and the others revisit it. Null html is an
-    empty payload, a null url has no target header, repeated rows get a record each. Other columns are ignored.
+    empty payload, a null url has no target header, repeated rows get a record each. Other columns are ignored. A header is one line, so
+    runs of white space inside a url are read back as one blank.
     """
     plan = plan_records(pages, min_bytes)
 
@@ -220,7 +221,10 @@ def read_archives(spark, folder: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder and read every record back from them."""
+    """Write ``pages`` as archives in the shared folder and read every record back from them.
+
+    What nulls, empty payloads and repeated rows give is said in `write_archives`. An empty table gives no records.
+    """
     folder = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, folder, min_bytes)
     return read_archives(pages.sparkSession, folder)

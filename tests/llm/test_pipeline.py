@@ -15,7 +15,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from foldsmith.llm import queries
 from tests.compare import connect, difference
-from tests.llm.tables import sentence
+from foldsmith.llm.common import write_table
+from tests.llm.tables import frame, sentence
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -34,7 +35,7 @@ def documents(spark):
     clean = [sentence(rng, 80) for _ in range(60)]
     bench = [sentence(rng, 30) for _ in range(3)]
     texts = dict(enumerate(clean))
-    texts |= {100 + i: clean[i].replace("a", "A", 9) if i % 2 else clean[i] for i in range(10)}  # copies
+    texts |= {100 + i: clean[i].replace("a", "A", 5) if i % 2 else clean[i] for i in range(10)}  # copies
     texts |= {200 + i: sentence(rng, 60) + "\n" + bench[i].replace("a", "b", 1) + "\n" + sentence(rng, 60) for i in range(3)}  # leaks
     texts |= {300: "too short", 301: "same again " * 80, 302: "", 303: None}
     rows = [(i, t, "en", "hot" if (i or 0) % 3 else "cold", len(t or "")) for i, t in texts.items()]
@@ -68,6 +69,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_stages_on_awkward_rows(spark, sf_dir):
+    """Null and repeated ids, null and empty texts, repeated rows, a very long text, and columns with the names that stages compute."""
+    docs = frame(spark)
+    sizes = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        docs = write_table(stage(spark, docs, sf_dir), "awkward")
+        sizes.append(docs.count())
+        if k < 4:
+            assert docs.columns == before.columns and docs.schema == before.schema
+            assert docs.distinct().exceptAll(before.distinct()).count() == 0  # rows come through as they are
+    assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[3] == sizes[4] >= sizes[2]
+    assert docs.where("doc_id IS NULL").count() > 0 and docs.agg({"start": "min"}).first()[0] == 0
+
+
 def test_empty_documents(spark, tmp_path):
     docs, bench, _ = documents(spark)
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
