@@ -110,13 +110,27 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], batch: int = 100)
             seen = np.isfinite(x)
             x, seen = np.where(seen, x, 0.0), seen.astype(float)
             total += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["cells"])
+        yield lines({i: total[:, i].ravel() for i in range(size)})
 
-    cells = rows.mapInArrow(partial, "cells array<double>").select(F.posexplode("cells").alias("at", "cell"))
-    sums = np.zeros(4 * size * size)
-    for row in cells.groupBy("at").agg(F.sum("cell").alias("cell")).collect():
-        sums[row["at"]] = row["cell"]
-    n, x, xx, xy = sums.reshape(4, size, size)
+    def lines(found):
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.list_(pa.float64()))], names=["line", "cells"])
+
+    def added(batches):
+        found = {}
+        for part in batches:
+            for line, cells in zip(part.column(0).to_pylist(), part.column(1)):
+                own = cells.values.to_numpy()
+                found[line] = found[line] + own if line in found else own
+        if found:
+            yield lines(found)
+
+    # a task sends a row per line of its matrices, and the lines are added up on the executors
+    kind = "line int, cells array<double>"
+    told = rows.mapInArrow(partial, kind).repartition(min(size, 200), "line").mapInArrow(added, kind)
+    sums = np.zeros((4, size, size))
+    for row in told.toArrow().to_pylist():
+        sums[:, row["line"]] = np.reshape(row["cells"], (4, size))
+    n, x, xx, xy = sums
     spread = n * xx - x * x
     spread = np.where(spread > 1e-12 * n * xx, spread, np.nan)
     return (n * xy - x * x.T) / np.sqrt(spread * spread.T)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions import scalar
 from foldsmith.operators import encoders
+from foldsmith.operators.metrics import rmsle
 from foldsmith.plans.registry import query
 from foldsmith.plans.standin import CENTS, models_sql, predictions, sql, sql_nested, test, train
 from foldsmith.sources import feature_store as fs, predictions as store, tables
@@ -239,6 +240,26 @@ def predictions_write(spark, sf):
     return store.predictions_read(spark, path).select("model", "split", "id", "pred")
 
 
+@query("run_manifest", models_sql(
+    "SELECT model, array_to_string(list_sort(list_distinct(list(split))), ',') AS splits, round(sqrt(avg(CASE WHEN split = 'oof' THEN pow(ln(1 + pred) - ln(1 + y), 2) END)), 6) AS score, "
+    "CAST(count(DISTINCT split) AS BIGINT) AS versions FROM preds LEFT JOIN (SELECT id, y FROM train) USING (id) GROUP BY model"))
+def run_manifest(spark, sf):
+    """The manifest of three stored runs: their splits, as many versions, and the score that each was stored with."""
+    path = scratch_path(spark, "runs")
+    rows = predictions(spark, sf).join(train(spark, sf).select("id", "y"), "id", "left").cache()
+    try:
+        for model, splits in {"m_mean": store.SPLITS[:2], "m_qty": store.SPLITS, "m_qty_disc": store.SPLITS}.items():
+            own = rows.filter(F.col("model") == model)
+            score = own.filter("split = 'oof'").agg(rmsle(F.col("y"), F.col("pred"))).first()[0]
+            for s in splits:  # a later write adds its split to the run
+                store.predictions_write(path, model, score, **{s: own.filter(F.col("split") == s)})
+    finally:
+        rows.unpersist()
+    last = store.latest_runs(spark, path)
+    return last.select("model", F.array_join(F.array_sort(F.map_keys("versions")), ",").alias("splits"), F.round("score", 6).alias("score"),
+                       F.size(F.array_distinct(F.map_values("versions"))).cast("long").alias("versions"))
+
+
 @query("predictions_load", models_sql(
     "SELECT 'oof' AS kind, model, id, pred FROM preds WHERE split = 'oof' UNION ALL "
     "SELECT 'test', model, id, pred FROM preds WHERE split = 'test_from_full' UNION ALL "

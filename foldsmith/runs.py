@@ -20,22 +20,24 @@ from foldsmith.storage import materialize
 def run_model(name: str, trainer: CVTrainer, train: DataFrame, test: DataFrame, target: str, features: Sequence[str],
               predictions_path: str, feature_store: FeatureStore | None = None,
               stored: Sequence[str] = ()) -> RunResult:
-    """Add stored features, cross-validate, refit on all rows, store the three prediction splits."""
+    """Add stored features, cross-validate, refit on all rows, store the three prediction splits and a manifest row."""
     if stored:
         more_train, more_test = feature_store.read_features(stored)
         train, test = align_on_id(train, more_train), align_on_id(test, more_test)
     features = [*features, *stored]
     result = trainer.train_and_score(train, target, features, test)
     full = trainer.train_on_full(train, target, features, test, result.best_iterations if trainer.stops_early else None)
-    store.predictions_write(predictions_path, name, oof=result.oof, test=result.test, test_from_full=full)
+    store.predictions_write(predictions_path, name, result.score, result.best_iterations, trainer.params,
+                            oof=result.oof, test=result.test, test_from_full=full)
     return result
 
 
 def _aligned(spark: SparkSession, predictions_path: str, train: DataFrame, target: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Wide out-of-fold rows with the target, wide test rows, and the model names; predictions clipped at 0."""
-    loaded = materialize(store.predictions_load(store.predictions_read(spark, predictions_path))
+    stored = store.committed(spark, predictions_path)
+    loaded = materialize(store.predictions_load(store.predictions_read(spark, predictions_path), stored)
                          .withColumn("pred", bounded(F.col("pred"), lower=0.0)))
-    models = sorted(r[0] for r in loaded.select("model").distinct().collect())
+    models = sorted(m for m, splits in stored.items() if "oof" in splits)
     base = train.select(F.col("id").cast("string").alias("id"), target, *(["fold"] if "fold" in train.columns else []))
     oof = keep_base_rows(loaded.filter("kind = 'oof'"), base)
     return (store.align_models(oof, models).join(base, "id"),

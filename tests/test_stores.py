@@ -166,6 +166,29 @@ def test_full_refit_is_preferred_and_models_without_test_are_rejected(spark, tmp
         store.predictions_write(path, "m3", other=frame(("1", 4.0)))
 
 
+def test_runs_are_seen_once_their_manifest_row_is_there(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    frame = lambda *v: spark.createDataFrame(v, "id string, pred double")
+    store.predictions_write(path, "m", 0.5, [3, 4], {"maxDepth": 3}, oof=frame(("1", 1.0)), test=frame(("9", 2.0)))
+    with monkeypatch.context() as stopped:  # the driver is lost between the rows and the manifest
+        stopped.setattr(store, "committed", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.predictions_write(path, "m", 0.1, oof=frame(("1", 7.0)), test=frame(("9", 7.0)))
+        with pytest.raises(ZeroDivisionError):
+            store.predictions_write(path, "half", 0.1, oof=frame(("1", 7.0)))
+    assert rows(store.predictions_read(spark, path)) == [("1", 1.0, "m", "oof"), ("9", 2.0, "m", "test")]
+    run = store.latest_runs(spark, path).first()
+    assert (run["score"], run["best_iterations"], run["params"]) == (0.5, [3, 4], {"maxDepth": "3"})
+    store.predictions_write(path, "m", 0.4, test_from_full=frame(("9", 3.0)))
+    assert {s: len(v) for s, v in store.committed(spark, path)["m"].items()} == {"oof": 32, "test": 32, "test_from_full": 32}
+    assert store.manifest(spark, path).count() == 2 and store.latest_runs(spark, path).first()["score"] == 0.4
+    assert len(store.predictions_vacuum(spark, path)) == 3 and store.predictions_vacuum(spark, path) == []  # two splits of one version, and one
+    loaded = store.predictions_load(store.predictions_read(spark, path), store.committed(spark, path))
+    assert rows(loaded) == [("oof", "m", "1", 1.0), ("test", "m", "9", 3.0)]
+    plan = plan_of(loaded)
+    assert "PartitionFilters" in plan and "version" in plan
+
+
 def test_blend_uses_negative_weights_and_clips_models_first(spark):
     p = preds(spark, [("a", "test", "1", 10.0), ("b", "test", "1", -5.0), ("c", "test", "1", 4.0)])
     w = spark.createDataFrame([("a", 1.5), ("b", 1.0), ("c", -0.5)], "model string, weight double")
