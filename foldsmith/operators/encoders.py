@@ -207,7 +207,7 @@ def deviation_from_mean(df: DataFrame, col: str, by: str = "split", out: str | N
 class FrequencyEncoder:
     """Rows per value over the given frames, missing values counted as a value of their own.
 
-    All columns are counted in one pass (one grouping set per column).
+    All columns are counted in one pass (one grouping set per column), and the sizes of their tables are measured in another.
     """
 
     def __init__(self, columns: Sequence[str], prefix: str = "freq_"):
@@ -220,12 +220,16 @@ class FrequencyEncoder:
         counts = rows.groupingSets([[c] for c in self.columns], *self.columns).agg(
             F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"__not_{c}") for c in self.columns])
         self.table = materialize(counts)
+        own = [F.col(f"__not_{c}") == 0 for c in self.columns]
+        width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 24 for c in self.columns]
+        sizes = self.table.agg(*[F.sum(F.when(o, w)).alias(f"b{i}") for i, (o, w) in enumerate(zip(own, width))]).first()
+        self.bytes = {c: sizes[f"b{i}"] or 0 for i, c in enumerate(self.columns)}
         return self
 
     def encode(self, df: DataFrame) -> DataFrame:
         for c in self.columns:
             counts = self.table.filter(F.col(f"__not_{c}") == 0).select(c, F.col("n").alias(self.prefix + c))
-            df = attach(df, counts, [c], [self.prefix + c])
+            df = attach(df, counts, [c], [self.prefix + c], n_bytes=self.bytes[c])
         return df
 
 

@@ -19,7 +19,12 @@ HOT_SHARE = 256
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the rows as Spark would hold them, about: text by its length, nested values by their JSON."""
+    """Bytes of the rows as Spark would hold them, about: text by its length, nested values by their JSON.
+
+    The number is kept with the frame, so a fitted table is measured once, however many frames it is attached to.
+    """
+    if (known := getattr(df, "measured_bytes", None)) is not None:
+        return known
     width = F.lit(0).cast("long")
     for name, kind in df.dtypes:
         value = F.col(f"`{name}`")
@@ -29,7 +34,8 @@ def measured_bytes(df: DataFrame) -> int:
             width += F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 16
         else:
             width += F.lit(8)
-    return df.agg(F.sum(width)).first()[0] or 0
+    df.measured_bytes = df.agg(F.sum(width)).first()[0] or 0
+    return df.measured_bytes
 
 
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, n_bytes: int | None = None) -> bool:
