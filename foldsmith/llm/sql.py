@@ -22,6 +22,17 @@ def _form(url: str) -> str:
     return f"CASE WHEN contains({url}, '://') THEN {whole} ELSE {url} END"
 
 
+# "&amp;" last, so that "&amp;lt;" is "&lt;"
+_ENTITIES = (("quot|#0*34|#x0*22", '"'), ("apos|#0*39|#x0*27", "''"), ("lt|#0*60|#x0*3c", "<"), ("gt|#0*62|#x0*3e", ">"), ("#0*47|#x0*2f", "/"),
+             ("#0*58|#x0*3a", ":"), ("#0*61|#x0*3d", "="), ("#0*63|#x0*3f", "?"), ("amp|#0*38|#x0*26", "&"))
+
+
+def _decoded(text: str) -> str:
+    for names, char in _ENTITIES:
+        text = f"regexp_replace({text}, '&(?i:{names});', '{char}', 'g')"
+    return text
+
+
 URL_FILTER = f"""
 WITH RECURSIVE rules(rhost, rpath, said) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
@@ -31,17 +42,24 @@ fit AS (SELECT url, form, rhost || rpath AS rule, said, row_number() OVER (PARTI
   length(rhost || rpath) DESC, length(rhost) DESC, said) AS nth
   FROM u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
 ruled AS (SELECT url, form, rule, said FROM fit WHERE nth = 1),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE contains(url, '://')),
-hrefs AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE url IS NOT NULL),
+written AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
     THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
   WHEN regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')
     THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS href FROM tags),
-targets AS (SELECT url, CASE WHEN contains(href, '://') THEN href
-  WHEN starts_with(href, '//') THEN regexp_extract(url, '^([^:/?#]*)://', 1) || ':' || href
-  WHEN starts_with(href, '/') THEN regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || {_host('url')} || href
-  ELSE regexp_extract(url, '^([^:/?#]*)://', 1) || '://' || {_host('url')} || coalesce(nullif(regexp_extract({_path('url')}, '^(.*/)', 1), ''), '/') || href
-  END AS target FROM hrefs WHERE href <> ''),
-e AS (SELECT DISTINCT {_form('url')} AS a, {_form('target')} AS b FROM targets),
+hrefs AS (SELECT url, {_decoded('href')} AS href, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme, {_path('url')} AS path FROM written),
+rooted AS (SELECT *, scheme || '://' || {_host('url')} AS origin, CASE WHEN starts_with(href, '/') THEN href
+  ELSE coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || href END AS whole FROM hrefs WHERE href <> ''),
+parts AS (SELECT *, regexp_extract(whole, '^([^?#]*)', 1) AS place, regexp_extract(whole, '^[^?#]*(.*)$', 1) AS rest FROM rooted),
+kept AS (SELECT *, list_reduce(list_concat([[]::VARCHAR[]], list_transform(string_split(substr(place, 2), '/'), lambda x: [x])),
+  lambda out, x: CASE WHEN x[1] = '.' THEN out WHEN x[1] = '..' THEN out[1:len(out) - 1] ELSE list_concat(out, x) END) AS segments FROM parts),
+targets AS (SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+  WHEN starts_with(href, '//') THEN scheme || ':' || href
+  WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR NOT contains(url, '://') THEN NULL
+  WHEN starts_with(href, '?') THEN origin || path || href
+  WHEN starts_with(href, '#') THEN origin || path || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) || href
+  ELSE origin || '/' || array_to_string(segments, '/') || CASE WHEN regexp_matches(place, '/\\.\\.?$') THEN '/' ELSE '' END || rest END AS target FROM kept),
+e AS (SELECT DISTINCT {_form('url')} AS a, {_form('target')} AS b FROM targets WHERE target IS NOT NULL),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 tied AS (SELECT a AS form, min(b) AS tied FROM reach GROUP BY a),

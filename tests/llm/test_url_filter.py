@@ -32,6 +32,19 @@ def test_matches_sql(spark):
     assert difference(judged(spark), connect(pages=pages(spark)), sql.URL_FILTER) is None
 
 
+def test_references_match_sql(spark):
+    """Entities, dot segments, queries, fragments, other schemes and urls without one: components and verdicts of both."""
+    hrefs = ["/x?a=1&amp;b=2", "/x?a=1&#38;b=&quot;", "../x", "./x", "../../../x/./y/..", "?x=1", "e?u=../f", "/go?u=http://b.com/", "//b.com/x", "http://b.com/x", "#top",
+             "mailto:me", "/a/..", "..", "http:&#47;&#x2F;a.net/x", "&amp;lt;", "//a.net/./y", ".", "/./../z", "a/b/../c/"]
+    rows = [(i, f"http://h{i % 5}.com/b/c/d?q={i}", (LINK if i % 2 else REFRESH).format(h)) for i, h in enumerate(hrefs * 2)]
+    rows += [(100 + i, u, LINK.format(h)) for i, (u, h) in enumerate((u, h) for u in ("no scheme", "") for h in hrefs)]
+    rows += [(200, "http://a.net/x", ""), (201, "http://h1.com/b/x", LINK.format("http://a.net/x")), (202, "http://b.com/x", LINK.format("http://a.net/y"))]
+    found = judged(spark, rows)
+    assert difference(found, connect(pages=pages(spark, rows)), sql.URL_FILTER) is None
+    verdicts = [r["verdict"] for r in found.collect()]
+    assert 5 < verdicts.count("block") < len(verdicts)
+
+
 def test_blocks_reach_aliases_and_allow_stands(spark):
     found = {r["page_id"]: r for r in judged(spark).collect()}
     assert found[2]["verdict"] == "block" and found[2]["rule"] is None  # canonical link to a blocked page
