@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from foldsmith.llm.common import map_batches, slices, words
 
 MARK = "▁"
+KNOWN = 200_000  # distinct pre-tokens whose counts a task keeps from batch to batch
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -34,7 +35,7 @@ class TrieCounter:
 
     def __init__(self, pieces: dict[str, float], limit: int = 400_000) -> None:
         self.pieces, self.limit = pieces, limit
-        self.longest = max(map(len, pieces), default=1)
+        self.suffixes = {p[i:] for p in pieces for i in range(len(p))}
         self.unknown = min(pieces.values(), default=0.0) - 10
         self.clear()
 
@@ -65,8 +66,11 @@ class TrieCounter:
         get, score, tokens = self.pieces.get, self.score, self.tokens
         last = path[end - 1]
         best, fewest = score[last] + self.unknown, tokens[last] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-        for start in range(max(0, end - self.longest), end):
-            own = get(word[start:end])
+        for start in range(end - 1, -1, -1):
+            part = word[start:end]
+            if part not in self.suffixes:  # nor is anything longer that ends here the end of a piece
+                break
+            own = get(part)
             if own is not None:
                 at = path[start]
                 value = score[at] + own
@@ -90,17 +94,20 @@ def counter(path: str) -> TrieCounter:
 def count_tokens(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, n_words, n_tokens) per row of ``documents``, over whole texts.
 
-    Pre-tokens are the words between ASCII white space, each behind the vocabulary's word mark. A batch's distinct pre-tokens are
-    counted once, in sorted order, so that shared prefixes meet in the trie; a document's count is a sum over its words. Rows stay where
+    Pre-tokens are the words between ASCII white space, each behind the vocabulary's word mark. A task's distinct pre-tokens are
+    counted once, a batch's new ones in sorted order, so that shared prefixes meet in the trie; a document's count is a sum over its words. Rows stay where
     they are: nothing is shuffled, and no task holds more than its trie.
 
     Null and blank texts have 0 of both; ids may be null or repeat; other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = counter(vocabulary_path)
+        trie, counts = counter(vocabulary_path), {}
         for part in slices(batches, 512):
             rows = [words(t.as_py()) for t in part.column(1)]
-            counts = {w: trie.count(MARK + w.decode("utf-8", "surrogatepass")) for w in sorted({w for row in rows for w in row})}
+            if len(counts) > KNOWN:
+                counts.clear()
+            for w in sorted({w for row in rows for w in row} - counts.keys()):
+                counts[w] = trie.count(MARK + w.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(r) for r in rows], pa.int64()),
                  pa.array([sum(map(counts.__getitem__, r)) for r in rows], pa.int64())], names=["doc_id", "n_words", "n_tokens"])

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
+from foldsmith.llm import token_counts
 from foldsmith.llm.token_counts import MARK, TrieCounter, count_tokens, vocabulary
 from tests.llm.tables import frame, rows
 
@@ -46,6 +47,14 @@ def test_against_the_library(pieces):
     assert len(different) <= 2  # equal scores may be cut either way
 
 
+def test_kept_counts_are_bounded(spark, monkeypatch):
+    """Counts that a task keeps from batch to batch, and starting anew when they are many, change no result."""
+    docs = frame(spark)
+    whole = sorted(map(str, count_tokens(docs, PATH).collect()))
+    monkeypatch.setattr(token_counts, "KNOWN", 3)
+    assert sorted(map(str, count_tokens(docs, PATH).collect())) == whole
+
+
 def test_sums_over_documents(spark, pieces):
     trie = TrieCounter(pieces)
     want = []
