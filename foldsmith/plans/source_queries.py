@@ -69,11 +69,11 @@ def _fill_plain(spark, sf: str, made: fs.FeatureStore) -> fs.FeatureStore:
 
 
 def _fill_folded(spark, sf: str, made: fs.FeatureStore) -> fs.FeatureStore:
-    """Two folded features."""
-    for day, keys in ((6, ["qty"]), (7, ["qty", "disc"])):
-        rows = encoders.target_encode_nested(train(spark, sf), test(spark, sf), "y", keys, scale=CENTS)
-        made.save_folded(rows, encoders.te_name(keys), _meta(
-            "te", "te_mean without fillna", day, keys, agg="mean", outer_folds=5, inner_folds=4, smooth=0.0))
+    """Two folded features, encoded together and written as one family."""
+    both = {6: ["qty"], 7: ["qty", "disc"]}
+    rows = encoders.target_encode_nested_many(train(spark, sf), test(spark, sf), "y", list(both.values()), scale=CENTS)
+    made.save_folded_many(rows, {encoders.te_name(keys): _meta("te", "te_mean without fillna", day, keys, agg="mean", outer_folds=5, inner_folds=4, smooth=0.0)
+                                 for day, keys in both.items()})
     return made
 
 
