@@ -16,13 +16,13 @@ from foldsmith.llm.common import drop_table, map_batches, slices, write_table
 
 GRAM = 32  # leading bytes by which suffixes are dealt out
 STRETCH = 1 << 20  # windows of a long text that are worked on at a time
-SEEN = 1 << 18  # bundles that a task remembers
+SEEN = 1 << 17  # bundles that a task remembers
 FILTER_BITS = 1 << 27
 HOT_BITS = 1 << 24
 SLICES = 64
 HOT = 2_000  # bundles with one lead above which each suffix is dealt out by itself
 BUCKET_ROWS = 1 << 14
-WINDOWS = 1 << 18  # suffixes sorted at a time
+WINDOWS = 1 << 17  # suffixes sorted at a time
 LEAST_ID = -(1 << 63)
 
 C = [np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -192,7 +192,7 @@ def _candidates(documents: DataFrame, length: int) -> DataFrame:
                     single = _holds(hot, gram[wanted])
                     for s, n, at, each in zip(first[wanted].tolist(), count[wanted].tolist(), lead[wanted].tolist(), single.tolist()):
                         piece = raw[s:s + n + length - 1]
-                        known = met(xxhash.xxh3_128_digest(piece), (*order, s))
+                        known = met(xxhash.xxh3_128_digest(piece), (order, s))
                         if known:
                             if known == 1:
                                 out.known(doc, mark, s, n)
@@ -201,7 +201,7 @@ def _candidates(documents: DataFrame, length: int) -> DataFrame:
                         else:
                             for i in range(n):
                                 window = piece[i:i + length]
-                                known = met(xxhash.xxh3_128_digest(window), (*order, s + i)) if n > 1 else 0
+                                known = met(xxhash.xxh3_128_digest(window), (order, s + i)) if n > 1 else 0
                                 if known == 1:
                                     out.known(doc, mark, s + i, 1)
                                 elif not known:
