@@ -23,16 +23,20 @@ def linear_scorer(df: DataFrame, columns: Sequence[str], target: str, alpha: flo
 
 class TreeScorer:
     """Scores any subset of ``candidates`` with a trainer: the candidates are read, coded and cached once, as one vector, and a
-    subset is a slice of it. Use it as a context, or call ``close``."""
+    subset is a slice of it. Of many rows the trainer's cells are cached, where they do. Use it as a context, or call ``close``."""
 
     def __init__(self, trainer, df: DataFrame, target: str, candidates: Sequence[str]):
         self.trainer, self.candidates = trainer, list(candidates)
-        self.stage, rows = trainer.prepared(df, target, self.candidates)
+        made = trainer.cell_scorer(df, target, self.candidates)
+        self._score = trainer.score_cells if made else trainer.score_prepared
+        self.stage, rows = made or trainer.prepared(df, target, self.candidates)
+        if made:
+            rows = rows.repartition(max(rows.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
         self.rows = rows.persist()
 
     def __call__(self, chosen: list[str]) -> float:
         slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=[self.candidates.index(c) for c in chosen])
-        return self.trainer.score_prepared(slicer.transform(self.rows.withColumnRenamed("features", "__all")).drop("__all"), self.stage)
+        return self._score(slicer.transform(self.rows.withColumnRenamed("features", "__all")).drop("__all"), self.stage)
 
     def close(self) -> None:
         self.rows.unpersist()
