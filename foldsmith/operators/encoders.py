@@ -14,7 +14,7 @@ from foldsmith.functions.exact import mean, mean_of, mean_of_sql, quoted, units_
 from foldsmith.operators.folds import inner_fold
 from foldsmith.operators.lattice import roll_up
 from foldsmith.operators.lookup import attach
-from foldsmith.storage import materialize
+from foldsmith.storage import materialize, write_table
 
 
 def te_name(cols: Sequence[str]) -> str:
@@ -153,31 +153,38 @@ def target_encode_nested_many(train: DataFrame, test: DataFrame, target: str, co
         value = mean_of_sql(add(f"__cells_{i}", "s", o, without), add(f"__cells_{i}", "n", o, without), scale, smooth, overall)
         return f"coalesce({value}, {overall})" if fillna else value
 
-    def fitted_rows(o: int) -> str:
-        values = []
-        for i, cols in enumerate(combinations):
-            inside = " ".join(f"WHEN __inner_{o} = {j} THEN {encoded(i, o, j)}" for j in range(inner))
-            values.append(f"cast(CASE WHEN {own} = {o} THEN {encoded(i, o, None)} {inside} END AS float) AS {quoted(te_name(cols))}")
-        return f"struct({o} AS outer_fold, CASE WHEN {own} = {o} THEN 'val' ELSE 'train' END AS part, {', '.join(values)})"
+    # a key's encodings of all outer folds, leaving out each inner fold or (last) none, are worked out once a key and not once a row
+    cases = [(o, j) for o in range(outer) for j in (*range(inner), None)]
 
-    def other_rows(o: int) -> str:
-        values = [f"cast({encoded(i, o, None)} AS float) AS {quoted(te_name(cols))}" for i, cols in enumerate(combinations)]
-        return f"struct({o} AS outer_fold, 'test' AS part, {', '.join(values)})"
+    def value(i: int, o: int, at: str) -> str:
+        """Encoding of a row by combination ``i``; ``at`` is its inner fold, or the number of them for none."""
+        found = f"__te_{i}[{o * (inner + 1)} + {at}]"
+        return f"coalesce({found}, __overall[{o * (inner + 1)} + {at}])" if fillna else found
 
-    def long(joined: DataFrame, cell) -> DataFrame:
-        if with_prior:
-            joined = joined.withColumn("__prior", prior)
-        exploded = joined.select(id_col, F.expr(f"explode(array({', '.join(cell(o) for o in range(outer))}))").alias("c"))
-        return exploded.select(id_col, "c.*")
+    def cell(o: int, at: str, part: str) -> str:
+        values = [f"{value(i, o, at)} AS {quoted(te_name(cols))}" for i, cols in enumerate(combinations)]
+        return f"struct({o} AS outer_fold, {part} AS part, {', '.join(values)})"
+
+    def long(joined: DataFrame, cells: Sequence[str]) -> DataFrame:
+        if fillna:
+            overall = [f"cast({mean_of_sql(add('__prior', 's', o, j), add('__prior', 'n', o, j), scale)} AS float)" for o, j in cases]
+            joined = joined.withColumn("__prior", prior).withColumn("__overall", F.expr(f"array({', '.join(overall)})"))
+        return joined.select(id_col, F.expr(f"explode(array({', '.join(cells)}))").alias("c")).select(id_col, "c.*")
 
     cells = ", ".join(f"struct(__s{i} AS s, __n{i} AS n)" for i in range(outer * inner))
     fitted, others = rows, test.select(id_col, *columns)
     for i, cols in enumerate(combinations):
         table = lattice.table([lattice.id_of(cols)]).selectExpr(*map(quoted, cols), "__rows", f"array({cells}) AS __cells_{i}")
-        size = lattice.bytes_of(cols, 24 + 16 * outer * inner)
-        fitted = attach(fitted, table, cols, [f"__cells_{i}"], weight="__rows", spread=[id_col], n_bytes=size)
-        others = attach(others, table, cols, [f"__cells_{i}"], spread=[id_col], n_bytes=size)
-    return long(fitted, fitted_rows).unionByName(long(others, other_rows))
+        if with_prior:
+            table = table.withColumn("__prior", prior)
+        values = ", ".join(f"cast({encoded(i, o, j)} AS float)" for o, j in cases)
+        table = write_table(table.selectExpr(*map(quoted, cols), "__rows", f"array({values}) AS __te_{i}"), "encodings")
+        size = lattice.bytes_of(cols, 32 + 4 * len(cases))
+        fitted = attach(fitted, table, cols, [f"__te_{i}"], weight="__rows", spread=[id_col], n_bytes=size)
+        others = attach(others, table, cols, [f"__te_{i}"], spread=[id_col], n_bytes=size)
+    own_fold = [(f"CASE WHEN {own} = {o} THEN {inner} ELSE __inner_{o} END", f"CASE WHEN {own} = {o} THEN 'val' ELSE 'train' END") for o in range(outer)]
+    return long(fitted, [cell(o, *facts) for o, facts in enumerate(own_fold)]).unionByName(
+        long(others, [cell(o, str(inner), "'test'") for o in range(outer)]))
 
 
 def groupby_then_mean(train: DataFrame, value: str, key: str, *frames: DataFrame, fit_on: str = "train",
