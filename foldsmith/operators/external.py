@@ -6,13 +6,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from foldsmith.functions.exact import mean, mean_of, units
 from foldsmith.operators.lattice import Lattice, combos, roll_up
 from foldsmith.operators.lookup import attach
 from foldsmith.storage import materialize, write_table
 
+# target values of more rows are counted as (key, value) pairs
+HOT = 4096
 AGGREGATES = ("mean", "max", "min", "nunique")
 _PREFIX = {"mean": "map_orig_targets_", "max": "map_orig_targets_max_", "min": "map_orig_targets_min_",
            "nunique": "map_orig_targets_nunique_"}
@@ -35,11 +40,11 @@ def _states(agg: str, scale: int | None) -> dict[str, tuple[Column, str]]:
         return {"__s": (F.sum(y.cast("double") if scale is None else units(y, scale)), "sum"), "__n": (F.count(y), "sum")}
     if agg in ("max", "min"):
         return {"__v": ({"max": F.max, "min": F.min}[agg](y), agg)}
-    return {"__u": (F.count_if("__single"), "sum")}
+    raise ValueError(f"no mergeable states of {agg}")
 
 
 def _value(agg: str, scale: int | None) -> Column:
-    return mean_of(F.col("__s"), F.col("__n"), scale) if agg == "mean" else F.col({"nunique": "__u"}.get(agg, "__v"))
+    return mean_of(F.col("__s"), F.col("__n"), scale) if agg == "mean" else F.col("__v")
 
 
 @dataclass
@@ -63,25 +68,84 @@ def external_aggregates(external: DataFrame, columns: Sequence[str], target: str
                         scale: int | None = None) -> ExternalAggregates:
     """Aggregate of ``target`` for every combination of ``columns``, each from the smallest combination that contains it.
 
-    Means roll up as sums and counts. Of distinct counts, values that the whole table has once add up like rows; the others
-    roll up as distinct (key, value) pairs.
+    Means roll up as sums and counts. Distinct counts roll up as counts of the distinct rows of each target value, less those rows whose
+    key another row of the same value has before them; so no (key, value) pairs are made for every combination. Only values of more
+    than ``HOT`` rows, whose rows are not brought to one task, roll up as such pairs.
     """
     columns = list(columns)
     rows = external.select(*columns, F.col(target).alias("__y"))
     if agg != "nunique":
         lattice = roll_up(rows, columns, _states(agg, scale), sizes)
         return ExternalAggregates(lattice, lattice.table().select("combo_id", *columns, _value(agg, scale).alias("value")))
-    often = write_table(rows.where("__y IS NOT NULL").groupBy("__y").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
-                        .select(F.col("__y").alias("__often")), "often")
-    known = rows.join(often, F.col("__y") == F.col("__often"), "left")
-    single = F.col("__y").isNotNull() & F.col("__often").isNull()
-    lattice = roll_up(known.withColumn("__single", single), columns, _states(agg, scale), sizes)
-    pairs = roll_up(known.where("__often IS NOT NULL"), columns, {"__rows": (F.count(F.lit(1)), "sum")}, sizes, always=["__y"])
-    both = lattice.table().select("combo_id", *columns, "__u").unionByName(pairs.table().select("combo_id", *columns, F.lit(1).cast("long").alias("__u")))
-    table = both.groupBy("combo_id", *columns).agg(F.sum("__u").alias("value"))
+    rows = rows.select(*[(F.col(c) + 0.0).cast(kind).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in rows.dtypes])
+    known = rows.where("__y IS NOT NULL")
+    hot = write_table(known.groupBy("__y").agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > HOT).select(F.col("__y").alias("__hot")), "hot")
+    some = hot.count() > 0
+    is_hot = F.col("__y") == F.col("__hot")
+    others = known.join(F.broadcast(hot), is_hot, "left_anti") if some else known
+    lattice_of = Lattice(columns)
+    ids = [lattice_of.id_of(c) for c in combos(columns, sizes)]
+    met = write_table(others.repartition("__y").sortWithinPartitions("__y").mapInArrow(
+        _repeats(columns, ids), StructType([*(rows.schema[c] for c in columns), StructField("__again", ArrayType(IntegerType()))])), "met")
+    ones = met.select(*columns, F.lit(1).cast("long").alias("__one"))
+    ones = ones.unionByName(rows.where("__y IS NULL").select(*columns, F.lit(0).cast("long").alias("__one")))
+    if some:
+        ones = ones.unionByName(known.join(F.broadcast(hot), is_hot, "left_semi").select(*columns, F.lit(0).cast("long").alias("__one")))
+    lattice = roll_up(ones, columns, {"__u": (F.sum("__one"), "sum")}, sizes)
+    again = met.select(F.explode("__again").alias("combo_id"), *columns)
+    again = again.select("combo_id", *[F.when(F.col("combo_id").bitwiseAND(1 << i) != 0, F.col(c)).alias(c) for i, c in enumerate(columns)])
+    parts = [lattice.table().select("combo_id", *columns, "__u"), again.groupBy("combo_id", *columns).agg((-F.count(F.lit(1))).alias("__u"))]
+    if some:
+        pairs = roll_up(known.join(F.broadcast(hot), is_hot, "left_semi"), columns, {"__rows": (F.count(F.lit(1)), "sum")}, sizes, always=["__y"])
+        parts.append(pairs.table().select("combo_id", *columns, F.lit(1).cast("long").alias("__u")))
+    table = reduce(DataFrame.unionByName, parts).groupBy("combo_id", *columns).agg(F.sum("__u").alias("value"))
     return ExternalAggregates(lattice, table)
 
 
+def _repeats(columns: Sequence[str], ids: Sequence[int]):
+    """Task function over rows sorted by ``__y``: of the distinct rows of a target value, the combinations (``__again``) whose keys an
+    earlier one of them has too. Such a row adds nothing to the distinct count of those keys."""
+    width = len(columns)
+
+    def codes(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        places = [codes(table[c]) for c in columns]
+        made = {0: codes(table["__y"])}
+
+        def code(combo: int) -> np.ndarray:
+            if combo not in made:
+                top = combo.bit_length() - 1
+                lower = code(combo & ~(1 << top))
+                made[combo] = np.unique(lower * (places[top].max() + 1) + places[top], return_inverse=True)[1]
+            return made[combo]
+
+        distinct = np.sort(np.unique(code((1 << width) - 1), return_index=True)[1])
+        again = np.ones((len(distinct), len(ids)), bool)
+        for k, combo in enumerate(ids):
+            again[np.unique(code(combo)[distinct], return_index=True)[1], k] = False
+        offsets = np.concatenate([[0], np.cumsum(again.sum(axis=1))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(ids, np.int32)[np.nonzero(again)[1]]))
+        kept = table.select(columns).take(pa.array(distinct)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in kept.columns), lists], names=[*columns, "__again"])
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            own = codes(table["__y"])
+            before = np.flatnonzero(own != own[-1]) if len(own) else []
+            whole = int(before[-1]) + 1 if len(before) else 0  # the last value may go on in the next batch
+            if whole:
+                yield told(table.slice(0, whole))
+            left = table.slice(whole)
+        if left is not None and left.num_rows:
+            yield told(left)
+    return run
+
+
 def external_by_combo(external: DataFrame, columns: Sequence[str], target: str, agg: str = "mean",
                       sizes: Sequence[int] | None = None, scale: int | None = None) -> DataFrame:
     """(combo, columns, value): the aggregate of ``target`` for every combination of ``columns``.
