@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from foldsmith.models import selection, trainers
@@ -127,3 +128,49 @@ def test_distinct_counts_by_combination(monkeypatch, spark, hot):
             want.add(("_".join(keys), *[r[c] if c in keys else None for c in ("a", "b", "c")], r["v"]))
     assert got == want
     assert (["__y"] in calls) == (hot < 4096)  # pairs of key and value are made for hot values alone
+
+
+@pytest.mark.parametrize("options", [{}, {"weight_col": "w", "chunk": 2}, {"scoring_fn": lambda y, p: F.avg(F.abs(y - p))}])
+def test_trees_on_drawn_rows_come_from_their_sums(monkeypatch, spark, rows, options):
+    params = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.4, "subsample": 0.7}
+    trainer = trainers.CVTrainer(params, n_splits=3, **options)
+    monkeypatch.setattr(trainers, "FEW_ROWS", 0)
+    monkeypatch.setattr(trainers, "CELLS_PER_ROW", 1.0)
+    monkeypatch.setattr(trainers.CVTrainer, "_fit", lambda *a: pytest.fail("fitted on the rows"))
+    stored = trainers.stored_rows(rows, ["x", "z", "s"], ["id", "y", "w"])
+    run = trainer.train_and_score(stored, "y", ["x", "z", "s"], rows)
+    found = {r["id"]: r["pred"] for r in run.oof.collect()}
+    assert len(found) == rows.count() == run.test.count() and run.best_iterations == [3, 3, 3]
+    assert run.score == pytest.approx(run.oof.agg(trainer.scoring_fn(F.col("y"), F.col("pred"))).first()[0], abs=1e-9)
+    assert trainer.train_and_score(rows.repartition(3), "y", ["x", "z", "s"]).score == pytest.approx(run.score, abs=1e-9)
+    # the same trees fitted on the drawn rows themselves
+    stage, data = trainer.prepared(rows, "y", ["x", "z", "s"])
+    fit = data.where("fold <> 0").withColumn("__sum", F.lit(0.0))
+    weight = {"weightCol": "w"} if "weight_col" in options else {}
+    total, held = F.lit(0.0), data.where("fold = 0")
+    for n in range(3):
+        target = F.col("__label") if n == 0 else 2.0 * (F.col("__label") - F.col("__sum"))
+        drawn = fit.withColumn("__target", target).where(trainer._drawn(n))
+        assert 0.5 < drawn.count() / fit.count() < 0.9
+        tree = DecisionTreeRegressor(labelCol="__target", predictionCol="__t", maxDepth=2, **weight).fit(drawn)
+        step = F.lit(1.0 if n == 0 else 0.4) * F.col("__t")
+        fit = tree.transform(fit).withColumn("__sum", F.col("__sum") + step).drop("__t")
+        held = tree.transform(held).withColumn(f"__p{n}", step).drop("__t")
+        total = total + F.col(f"__p{n}")
+    want = {r["id"]: r["p"] for r in held.select("id", F.expm1(total).alias("p")).collect()}
+    assert {i: found[i] for i in want} == pytest.approx(want, abs=1e-9)
+
+
+def test_drawn_rows_that_hardly_equal_are_fitted_themselves(monkeypatch, spark, rows):
+    monkeypatch.setattr(trainers, "FEW_ROWS", 0)
+    monkeypatch.setattr(trainers.CVTrainer, "_run_on_drawn_cells", lambda *a: pytest.fail("summed up"))
+    trainer = trainers.CVTrainer({"n_estimators": 2, "max_depth": 2, "subsample": 0.7}, n_splits=3)
+    own = rows.withColumn("u", F.xxhash64("id").cast("double"))
+    assert trainer.train_and_score(own, "y", ["x", "u"]).oof.count() == rows.count()
+
+
+def test_missing_labels_of_drawn_runs_are_refused(monkeypatch, rows):
+    monkeypatch.setattr(trainers, "FEW_ROWS", 0)
+    monkeypatch.setattr(trainers, "CELLS_PER_ROW", 1.0)
+    with pytest.raises(ValueError, match="labels"):
+        trainers.CVTrainer({"n_estimators": 1, "subsample": 0.5}, n_splits=3).train_and_score(rows.withColumn("y", F.when(F.col("x") > 1, F.col("y"))), "y", ["x"])
