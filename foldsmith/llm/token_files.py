@@ -61,6 +61,8 @@ class WordIds(dict):
     def __init__(self, tokenizer: Tokenizer, dtype: np.dtype, limit: int) -> None:
         super().__init__()
         self.tokenizer, self.dtype, self.limit, self.old = tokenizer, dtype, limit, {}
+        # each look at ``tokenizer.model`` and at ``dtype.char`` makes an object anew
+        self.merge, self.code = tokenizer.model.tokenize, dtype.char
         self.by_letter = True
         self.by_letter = all(self.learn(w.encode()) == self.library(w) for w in PROBE.split())
         self.clear()
@@ -69,8 +71,8 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def merged(self, stem: bytes) -> bytes:
-        tokens = self.tokenizer.model.tokenize(charmap_decode(stem, "strict", BYTE_CHARS)[0])
-        return array(self.dtype.char, [t.id for t in tokens]).tobytes()
+        text = stem.decode() if stem.isascii() else charmap_decode(stem, "strict", BYTE_CHARS)[0]  # ASCII letters are written as they are
+        return array(self.code, [t.id for t in self.merge(text)]).tobytes()
 
     def learn(self, word: bytes) -> bytes:
         """A word of Latin letters goes to the library's merge model in lower case, and the marks that follow it are a
@@ -106,7 +108,7 @@ class WordEncoder:
     order. That is probed on the vocabulary at hand; one that doesn't work that way gets whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from foldsmith.llm.token_files import WordEncoder, decode_values, encode_values, read_token_files, token_digests, write_token_files
+from foldsmith.llm.token_files import WordEncoder, WordIds, decode_values, encode_values, read_token_files, token_digests, write_token_files
 from foldsmith.storage import scratch_path
 from tests.llm.tables import frame, plain, rows, sentence
 
@@ -97,3 +97,21 @@ def test_many_parts_and_blocks(spark):
 
 def test_empty(spark):
     assert token_digests(frame(spark, []), PATH).count() == 0
+
+
+def test_the_merge_model_is_looked_up_once():
+    class Counted:
+        looks = 0
+
+        def __getattr__(self, name):
+            return getattr(LIBRARY, name)
+
+        @property
+        def model(self):
+            Counted.looks += 1
+            return LIBRARY.model
+
+    known = WordIds(Counted(), np.dtype("<u2"), 1000)
+    words = ["overlong", "Été", "naïveté", "x", "Zebra,"]
+    assert [np.frombuffer(known[w.encode()], "<u2").tolist() for w in words] == [ids_of(w) for w in words]
+    assert Counted.looks == 1
