@@ -174,3 +174,34 @@ def test_missing_labels_of_drawn_runs_are_refused(monkeypatch, rows):
     monkeypatch.setattr(trainers, "CELLS_PER_ROW", 1.0)
     with pytest.raises(ValueError, match="labels"):
         trainers.CVTrainer({"n_estimators": 1, "subsample": 0.5}, n_splits=3).train_and_score(rows.withColumn("y", F.when(F.col("x") > 1, F.col("y"))), "y", ["x"])
+
+
+@pytest.mark.parametrize("options", [{}, {"weight_col": "w"}, {"early_stop_rounds": 2, "chunk": 2}])
+def test_categories_of_more_levels_than_cells(monkeypatch, rows, options):
+    """Three letters and none are four cells; with those for missing and other ones the category has five levels."""
+    def run():
+        trainer = trainers.CVTrainer(SMALL, n_splits=3, **options)
+        other = rows.withColumn("id", F.concat(F.lit("t"), "id"))
+        run = trainer.train_and_score(rows, "y", ["s"], other)
+        return run.score, predictions(run), {r["id"]: r["pred"] for r in trainer.train_on_full(rows, "y", ["s"], other).collect()}
+    plain, cells = both(monkeypatch, run)
+    for a, b in zip(plain, cells):
+        assert b == pytest.approx(a, abs=1e-9)
+
+
+def test_adversarial_on_a_category_of_one_level(monkeypatch, rows):
+    def run():
+        sides = rows.withColumn("s", F.lit("a")), rows.withColumns({"id": F.concat(F.lit("t"), "id"), "s": F.lit("a")})
+        found, _, oof = trainers.adversarial_validation(*sides, ["s"], SMALL, 3)
+        return found.first()["auc"], {r["id"]: r["score"] for r in oof.collect()}
+    plain, cells = both(monkeypatch, run)
+    for a, b in zip(plain, cells):
+        assert b == pytest.approx(a, abs=1e-9)
+
+
+def test_drawn_rows_of_a_category_of_more_levels_than_cells(monkeypatch, rows):
+    monkeypatch.setattr(trainers, "FEW_ROWS", 0)
+    monkeypatch.setattr(trainers, "CELLS_PER_ROW", 1.0)
+    monkeypatch.setattr(trainers.CVTrainer, "_fit", lambda *a: pytest.fail("fitted on the rows"))
+    run = trainers.CVTrainer({"n_estimators": 3, "max_depth": 2, "subsample": 0.7}, n_splits=3).train_and_score(rows, "y", ["s"])
+    assert run.oof.groupBy("pred").count().count() <= 3 * 4 and run.oof.count() == rows.count()
