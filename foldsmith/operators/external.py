@@ -105,26 +105,26 @@ def external_aggregates(external: DataFrame, columns: Sequence[str], target: str
 def _repeats(columns: Sequence[str], ids: Sequence[int]):
     """Task function over rows sorted by ``__y``: of the distinct rows of a target value, the combinations (``__again``) whose keys an
     earlier one of them has too. Such a row adds nothing to the distinct count of those keys."""
-    width = len(columns)
+    # each combination is made from the one without its last column, so that comes first
+    steps = sorted({combo & ((2 << i) - 1) for combo in ids for i in range(len(columns))} - {0})
 
     def codes(column: pa.ChunkedArray) -> np.ndarray:
         return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def told(table: pa.Table) -> pa.RecordBatch:
-        places = [codes(table[c]) for c in columns]
-        made = {0: codes(table["__y"])}
-
-        def code(combo: int) -> np.ndarray:
-            if combo not in made:
-                top = combo.bit_length() - 1
-                lower = code(combo & ~(1 << top))
-                made[combo] = np.unique(lower * (places[top].max() + 1) + places[top], return_inverse=True)[1]
-            return made[combo]
+    def finer(coarse: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.unique(coarse * (place.max() + 1) + place, return_inverse=True)[1]
 
-        distinct = np.sort(np.unique(code((1 << width) - 1), return_index=True)[1])
+    # no function in here may call itself: such a closure is a cycle, and keeps the arrays of its batch until Python looks for cycles
+    def told(table: pa.Table) -> pa.RecordBatch:
+        values, places = codes(table["__y"]), [codes(table[c]) for c in columns]
+        distinct = np.sort(np.unique(reduce(finer, places, values), return_index=True)[1])
+        made, places = {0: values[distinct]}, [place[distinct] for place in places]
+        for combo in steps:
+            top = combo.bit_length() - 1
+            made[combo] = finer(made[combo & ~(1 << top)], places[top])
         again = np.ones((len(distinct), len(ids)), bool)
         for k, combo in enumerate(ids):
-            again[np.unique(code(combo)[distinct], return_index=True)[1], k] = False
+            again[np.unique(made[combo], return_index=True)[1], k] = False
         offsets = np.concatenate([[0], np.cumsum(again.sum(axis=1))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(ids, np.int32)[np.nonzero(again)[1]]))
         kept = table.select(columns).take(pa.array(distinct)).combine_chunks()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
@@ -130,6 +134,25 @@ def test_distinct_counts_by_combination(monkeypatch, spark, hot):
     assert (["__y"] in calls) == (hot < 4096)  # pairs of key and value are made for hot values alone
 
 
+def test_distinct_counts_keep_no_arrays_of_earlier_batches():
+    columns, held = ["a", "b", "c", "d"], []
+
+    def batches():
+        for k in range(12):
+            held.append(tracemalloc.get_traced_memory()[0])
+            values = [k * 1000 + n // 2 for n in range(2000)]
+            yield pa.RecordBatch.from_pydict({**{c: [n % (i + 2) for n in range(2000)] for i, c in enumerate(columns)}, "__y": values})
+
+    gc.disable()
+    tracemalloc.start()
+    try:
+        told = sum(b.num_rows for b in external._repeats(columns, list(range(1, 16)))(batches()))
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert told == 24000 and held[-1] - held[2] < 15 * 2000 * 8  # less than what one batch needs
+
+
 @pytest.mark.parametrize("options", [{}, {"weight_col": "w", "chunk": 2}, {"scoring_fn": lambda y, p: F.avg(F.abs(y - p))}])
 def test_trees_on_drawn_rows_come_from_their_sums(monkeypatch, spark, rows, options):
     params = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.4, "subsample": 0.7}
