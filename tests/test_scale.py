@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import tracemalloc
 
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from foldsmith.models import selection, trainers
 from foldsmith.operators import external
 from foldsmith.operators.folds import kfold
-from foldsmith.storage import write_table
+from foldsmith.plans import registry
+from foldsmith.storage import shuffles_dropped, write_buckets, write_table
 
 SMALL = {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.3}
 
@@ -228,3 +230,33 @@ def test_drawn_rows_of_a_category_of_more_levels_than_cells(monkeypatch, rows):
     monkeypatch.setattr(trainers.CVTrainer, "_fit", lambda *a: pytest.fail("fitted on the rows"))
     run = trainers.CVTrainer({"n_estimators": 3, "max_depth": 2, "subsample": 0.7}, n_splits=3).train_and_score(rows, "y", ["s"])
     assert run.oof.groupBy("pred").count().count() <= 3 * 4 and run.oof.count() == rows.count()
+
+
+def test_folded_frames_come_together_without_a_shuffle(spark, sf_dir):
+    registry.load()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = registry.QUERIES["folded_training_frame"](spark, sf_dir)
+        assert "Join" in (plan := made._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert made.count() == 5 * made.select("id").distinct().count()
+
+
+def test_buckets_keep_rows_and_drop_their_shuffle_files(spark, rows):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    odd = rows.unionByName(rows.where("x < 1")).withColumn("id", F.when(F.col("id") != "r5", F.col("id")))
+    want = sorted(map(repr, odd.collect()))
+    before, kept = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    stored = write_buckets(odd, "odd", ["fold", "z"])
+    assert sorted(map(repr, stored.collect())) == want and stored.schema == odd.schema
+    with shuffles_dropped(spark):
+        write_table(rows.groupBy("x").count(), "counts")
+    end = time.time() + 20
+    while (left := shuffled() - before) and time.time() < end:
+        time.sleep(0.5)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
