@@ -260,3 +260,17 @@ def test_buckets_keep_rows_and_drop_their_shuffle_files(spark, rows):
     while (left := shuffled() - before) and time.time() < end:
         time.sleep(0.5)
     assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+
+
+def test_folds_of_a_hook_are_counted_by_id_without_a_shuffle(monkeypatch, spark, sf_dir):
+    registry.load()
+    monkeypatch.setattr(trainers, "FEW_ROWS", 0)
+    monkeypatch.setattr(trainers.CVTrainer, "_learner", lambda self, *a, made=trainers.CVTrainer._learner, **o: made(self, *a, **{**o, "maxIter": 1, "maxDepth": 2}))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = registry.QUERIES["cv_with_folded_features"](spark, sf_dir)
+        assert "hashpartitioning" not in facts._jdf.queryExecution().executedPlan().toString()
+        assert all(r["rows"] == r["ids"] > 0 and r["missing"] == r["below"] == 0 and r["score_matches"] in (None, True) for r in facts.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
